@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import fingerprint, langid, media, neardup, packing, rollup, secrets, sharding, toxicity
+from fieldloom.llm import fingerprint, langid, media, neardup, packing, pieces, rollup, secrets, sharding, toxicity
 from fieldloom.llm.store import Scratch
 
 
@@ -58,6 +58,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word of all documents: its occurrences, its ids, and the text that they decode to."""
+    path = vocabulary("piece_bpe_32k.model")
+    coded = Scratch(spark, "pieces").keep("words", pieces.encode_words(pieces.vocabulary(_table(spark, sf_dir, "documents")), path))
+    back = pieces.decode(coded, path, ["word", "n"], keep_lead=True)
+    return coded.join(back, ["word", "n"]).select("word", "n", F.size("ids").alias("n_pieces"), F.array_join("ids", ",").alias("ids"), F.col("text").alias("decoded"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, index, base = media.store(_table(spark, sf_dir, "documents"))
     back = media.read_back(index, base)
@@ -96,6 +104,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_media_columns": op5_media_columns,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sharding": op7_sharding,
