@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.queries import stats
+from fieldloom.queries import arrays, elementwise, stats
 
-_MODULES = (stats,)
+_MODULES = (elementwise, stats, arrays)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
