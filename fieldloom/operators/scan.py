@@ -17,18 +17,18 @@ def block_of(idx: Column, size: int = BLOCK) -> Column:
 
 
 def _offsets(totals: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn("before", F.coalesce(F.sum("total").over(w), F.lit(0))).select(*keys, "block", "before")
+    w = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn("__before", F.coalesce(F.sum("__total").over(w), F.lit(0))).select(*keys, "__block", "__before")
 
 
 def inclusive_scan(df: DataFrame, val: str = "val", idx: str = "idx", by: list[str] | None = None, block: int = BLOCK, out: str = "scan") -> DataFrame:
     """Running sums of an integer column in index order, within the groups of ``by`` if given."""
     by = by or []
-    rows = df.withColumn("block", block_of(F.col(idx), block))
-    totals = rows.groupBy(*by, "block").agg(F.sum(F.col(val).cast("bigint")).alias("total"))
-    inside = F.sum(F.col(val).cast("bigint")).over(Window.partitionBy(*by, "block").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
-    scanned = rows.withColumn(out, inside).join(_offsets(totals, by), [*by, "block"])
-    return scanned.withColumn(out, F.col(out) + F.col("before")).select(*df.columns, out)
+    rows = df.withColumn("__block", block_of(F.col(idx), block))
+    totals = rows.groupBy(*by, "__block").agg(F.sum(F.col(val).cast("bigint")).alias("__total"))
+    inside = F.sum(F.col(val).cast("bigint")).over(Window.partitionBy(*by, "__block").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
+    scanned = rows.withColumn(out, inside).join(_offsets(totals, by), [*by, "__block"])
+    return scanned.withColumn(out, F.col(out) + F.col("__before")).select(*df.columns, out)
 
 
 def exclusive_scan(df: DataFrame, val: str = "val", idx: str = "idx", by: list[str] | None = None, block: int = BLOCK, out: str = "scan") -> DataFrame:
@@ -42,16 +42,30 @@ def total(df: DataFrame, val: str = "val") -> int:
     return int(df.agg(F.coalesce(F.sum(F.col(val).cast("bigint")), F.lit(0))).first()[0])
 
 
-def dense_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """Rows numbered 0 .. n-1 in the order of columns: range partitions, numbered within, offset by their counts."""
-    rows = df.repartitionByRange(*order).withColumn("block", F.spark_partition_id())
-    rows = rows.withColumn("row", F.monotonically_increasing_id())  # pins the partition of each row to its content's range
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy(*order, "row")) - 1)
-    totals = ranked.groupBy("block").agg(F.count("*").alias("total"))
-    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("block", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("before"))
-    got = ranked.join(offsets, "block").withColumn(out, (F.col("k") + F.col("before")).cast("bigint"))
-    return got.select(*df.columns, out) if out not in df.columns else got.select(*df.columns)
+def dense_index(df: DataFrame, order: list[str], out: str = "idx", block: int = BLOCK, most: int = 512) -> DataFrame:
+    """Rows numbered 0 .. n-1 in the order of columns, which must be a total order for a fixed result.
+
+    Rows are dealt to about n / ``block`` ranges (``most`` at most; ranges spill, they need not fit in memory) by
+    boundaries taken from a bounded sample, numbered within their range and offset by the counts of those before. The
+    boundaries are literals, so a row's range does not depend on how a plan is run.
+    """
+    n = df.count()
+    ranges = max(1, min(most, -(-n // block)))
+    if ranges > 1:
+        per = 20
+        sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * per).orderBy(*order).collect()
+        kinds = [df.schema[c].dataType for c in order]
+        at = lambda r: F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order, r, kinds, strict=True)])
+        cuts = F.array(*[at(sample[k]) for k in range(per, len(sample), per)])
+        rows = df.withColumn("__block", F.aggregate(cuts, F.lit(0), lambda k, c: k + (F.struct(*order) >= c).cast("int")))
+    else:
+        rows = df.withColumn("__block", F.lit(0))
+    totals = rows.groupBy("__block").agg(F.count("*").alias("__total"))
+    w = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__block", F.coalesce(F.sum("__total").over(w), F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1)
+    got = ranked.join(F.broadcast(offsets), "__block")  # ``most`` rows at most
+    return got.withColumn(out, (F.col("__k") + F.col("__before")).cast("bigint")).drop("__block", "__k", "__before")
 
 
 def compact(df: DataFrame, keep: Column, idx: str = "idx", block: int = BLOCK) -> DataFrame:

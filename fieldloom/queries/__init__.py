@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.queries import arrays, elementwise, stats
+from fieldloom.queries import arrays, elementwise, geometry, stats
 
-_MODULES = (elementwise, stats, arrays)
+_MODULES = (elementwise, stats, arrays, geometry)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -159,7 +159,7 @@ def matmul(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS sqr, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm,
-    round(e[2] * e[6] - e[3] * e[5], 9) AS cx, round(e[3] * e[4] - e[1] * e[6], 9) AS cy, round(e[1] * e[5] - e[2] * e[4], 9) AS cz, round(e[1] / sqrt(e[1] * e[1] + e[2] * e[2] + e[3] * e[3]), 9) AS nx, round((e[1] + e[4]) * label, 9) AS ax, round((e[1] - e[4]) / 2.0, 9) AS sx FROM v""")
+    round(e[2] * e[6] - e[3] * e[5], 9) AS cx, round(e[3] * e[4] - e[1] * e[6], 9) AS cy, round(e[1] * e[5] - e[2] * e[4], 9) AS cz, round(e[1] / sqrt(e[1] * e[1] + e[2] * e[2] + e[3] * e[3]), 9) AS nx, round((e[1] + e[4]) * (label + 1), 9) AS ax, round((e[1] - e[4]) / 2.0, 9) AS sx FROM v""")
 def vec_dot_norm_cross_normalized(spark, d):
     e = vec.doubles(F.col("embedding"))
     a, b = F.slice("e", 1, 3), F.slice("e", 4, 3)
@@ -168,7 +168,7 @@ def vec_dot_norm_cross_normalized(spark, d):
     A, B = F.col("a"), F.col("b")
     return df.select(
         "vec_id", F.round(vec.dot(F.col("e"), F.col("e")), 6).alias("sqr"), F.round(vec.norm(F.col("e")), 6).alias("norm"), *[F.round(F.get("c", F.lit(k)), 9).alias(n) for k, n in enumerate(("cx", "cy", "cz"))],
-        x0(vec.normalized(A)).alias("nx"), x0(vec.scale(vec.add(A, B), F.col("label"))).alias("ax"), x0(vec.div(vec.sub(A, B), 2.0)).alias("sx"),
+        x0(vec.normalized(A)).alias("nx"), x0(vec.scale(vec.add(A, B), F.col("label") + 1)).alias("ax"), x0(vec.div(vec.sub(A, B), 2.0)).alias("sx"),
     )
 
 
@@ -263,18 +263,18 @@ def heat_step(spark, d):
     return stencil.heat_step(_grid16(spark, d), _SHAPE, 0.1).select("idx", F.round("val", 6).alias("val"))
 
 
-_LIFE = "(SELECT event_id AS idx, event_id // 64 AS i, event_id % 64 AS j, (value > 350)::BIGINT AS val FROM events WHERE event_id < 1024)"
+_LIFE = "(SELECT event_id AS idx, event_id // 64 AS i, event_id % 64 AS j, (round(value * 100)::BIGINT % 3 = 0)::BIGINT AS val FROM events WHERE event_id < 1024)"
 
 
 @query(f"WITH g AS {_LIFE}, n AS (SELECT *, {_nb(*[c for c in _BOX if c[:2] != (0, 0)])} AS s FROM g) SELECT idx, (s = 3 OR (val = 1 AND s = 2))::BIGINT AS val FROM n")
 def life_step(spark, d):
-    g = _grid16(spark, d).withColumn("val", (F.col("val") > 350).cast("int"))
+    g = _grid16(spark, d).withColumn("val", (cents("val") % 3 == 0).cast("int"))
     return stencil.life_step(g, _SHAPE).select("idx", F.col("val").cast("bigint").alias("val"))
 
 
-@query("SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM events WHERE value > 400 GROUP BY user_id")
+@query("SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM events WHERE value > 50 GROUP BY user_id")
 def trim_ranges(spark, d):
-    return table(spark, d, "events").where("value > 400").groupBy("user_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return table(spark, d, "events").where("value > 50").groupBy("user_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
 @query("SELECT a.range + 4 * b.range AS pt_id, a.range * 0.5 AS x, b.range * 2.0 AS y, a.range AS ix, b.range AS iy FROM range(4) a, range(3) b")
