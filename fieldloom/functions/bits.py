@@ -13,6 +13,11 @@ from fieldloom.functions.ieee import idiv
 HASH_XOR, HASH_MULTIPLIER = 61, 668265261
 
 
+def let(c: Column, f) -> Column:
+    """``f(c)`` with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def wrap32(x: Column) -> Column:
     """The low 32 bits, signed."""
     return F.shiftright(F.shiftleft(x.cast("bigint"), 32), 32)
@@ -20,20 +25,17 @@ def wrap32(x: Column) -> Column:
 
 def pixel_hash(x: Column) -> Column:
     """A non-negative integer hash in 32-bit wrapping arithmetic."""
-    x = wrap32(x)
-    x = x.bitwiseXOR(F.lit(HASH_XOR).cast("bigint")).bitwiseXOR(F.shiftright(x, 16))
-    x = wrap32(x + F.shiftleft(x, 3))
-    x = x.bitwiseXOR(F.shiftright(x, 4))
-    x = wrap32(x * F.lit(HASH_MULTIPLIER).cast("bigint"))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    return F.abs(x)
+    xor = lambda v, k: v.bitwiseXOR(F.shiftright(v, k))
+    x = let(wrap32(x), lambda v: xor(v, 16).bitwiseXOR(F.lit(HASH_XOR).cast("bigint")))
+    x = let(x, lambda v: wrap32(v + F.shiftleft(v, 3)))
+    x = let(x, lambda v: wrap32(xor(v, 4) * F.lit(HASH_MULTIPLIER).cast("bigint")))
+    return let(x, lambda v: F.abs(xor(v, 15)))
 
 
 def halton(index: Column, base: int, digits: int = 20) -> Column:
     """The radical inverse of index + 1, exact for indices under ``base ** digits``."""
-    n = index.cast("bigint") + 1
-    terms = [(idiv(n, base**k) % base).cast("double") / float(base ** (k + 1)) for k in range(digits)]
-    return reduce(lambda a, b: a + b, terms)
+    digit = lambda n: lambda k: (idiv(n, F.pow(F.lit(float(base)), k).cast("bigint")) % base).cast("double") / F.pow(F.lit(float(base)), k + 1)
+    return let(index.cast("bigint") + 1, lambda n: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), digit(n)), F.lit(0.0), lambda a, x: a + x))
 
 
 def spread3(x: Column) -> Column:

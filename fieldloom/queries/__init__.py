@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.queries import arrays, elementwise, geometry, stats
+from fieldloom.queries import arrays, elementwise, geometry, rendering, stats
 
-_MODULES = (elementwise, stats, arrays, geometry)
+_MODULES = (elementwise, stats, arrays, geometry, rendering)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
