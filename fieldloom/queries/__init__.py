@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.queries import arrays, elementwise, geometry, rendering, stats
+from fieldloom.queries import arrays, elementwise, geometry, kernels, rendering, stats
 
-_MODULES = (elementwise, stats, arrays, geometry, rendering)
+_MODULES = (elementwise, stats, arrays, geometry, rendering, kernels)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
