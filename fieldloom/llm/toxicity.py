@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.ship import shipped
+from fieldloom.llm.store import Scratch
 
 #: What a character of the channel may stand for.
 LOOKS = {
@@ -32,6 +33,7 @@ SEPARATORS = " .-_*~'/\\,:;#^=`"
 #: Costs in nats.
 LOOK_COST, DROP_SEPARATOR, KEEP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT, DROP_DOUBLE = 0.3, 0.2, 2.0, 0.1, 3.0, 4.0
 LONGEST = 64  # longer strings without white space are data, not words in disguise
+SMALL = 1_000_000
 CACHE = 200_000  # chunks remembered; affects speed alone
 
 #: The model's alphabet: 0 is a word's end, 1 any other letter.
@@ -227,12 +229,15 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int = 1000, min_docs: int =
     1 (G-squared of 10.8 or more, in ``min_docs`` documents or more); their weights are fitted on at most
     ``max_rows`` labelled rows, the first by a hash of their id.
     """
+    scratch = Scratch(df.sparkSession, "toxicity")
     cost = language_model(df, text_col)
-    marks = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("toxic")).where("toxic is not null").dropDuplicates(["key"])
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (F.lit(True) if train is None else train).alias("train"))
-    rows = rows.where("train and text is not null").join(marks, "key")
+    docs = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (F.lit(True) if train is None else train).alias("train")).where("train and text is not null")
+    marks = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null").dropDuplicates(["key"])
+    marks = scratch.keep("marks", docs.select("key").join(marks, "key").dropDuplicates(["key"]))  # ids alone are shuffled
+    total = marks.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    # labels are broadcast up to SMALL of them (16 MB), else texts are shuffled once
+    rows = docs.join(F.broadcast(marks) if sum(total) <= SMALL else marks, "key")
     counted = rows.select("text", "toxic").mapInArrow(shipped(__name__, "_word_counts", cost), "word string, pos long, neg long")
-    total = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     p, n = (float(x) + 1e-9 for x in total)
     summed = counted.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {int(min_docs)} and pos * {n!r} > neg * {p!r}")
     part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
@@ -241,7 +246,8 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int = 1000, min_docs: int =
     g2 = 2 * (part(pos, share * p) + part(neg, share * n) + part(p - pos, (1 - share) * p) + part(n - neg, (1 - share) * n))
     words = [r["word"] for r in summed.withColumn("g2", g2).where("g2 >= 10.8").orderBy(F.desc("g2"), "word").limit(max_words).collect()]
     index = {w: i for i, w in enumerate(words)}
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(max_rows).select("text", F.col("toxic").cast("int").alias("toxic"))
+    chosen = scratch.keep("sample", marks.orderBy(F.xxhash64("key"), "key").limit(max_rows))
+    sample = docs.join(F.broadcast(chosen), "key").select("text", "toxic")  # max_rows rows at most
     got = sample.mapInArrow(shipped(__name__, "_hits", cost, index), "hits array<int>, toxic int").collect()
     w = _logistic([r["hits"] for r in got], np.array([r["toxic"] for r in got], float), len(words))
     return {"cost": cost, "weights": {x: float(w[i]) for x, i in index.items() if w[i] > 0}, "intercept": float(w[-1])}
