@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.store import Scratch
+
 LEAF = 200
 _LEAVES = rf"[^.!?\n]{{1,{LEAF}}}[.!?]*|[.!?]+"
 
@@ -99,22 +101,28 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("t", tree(F.col("text"))).select(id_col, "text", fingerprint(F.col("t")).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, id_col: str, cols: list[str], rows_a_range: int = 1000) -> DataFrame:
-    """Each row with the ``cols`` of the next row by descending integer id, then ``cols`` (after the last: the first), as struct ``next``.
+def with_next(df: DataFrame, id_col: str, text_col: str, rows_a_range: int = 1000) -> DataFrame:
+    """``fingerprints`` of each row, with text and fingerprint of the next one by descending integer id, then text (after the last:
+    the first), as struct ``next``.
 
-    Rows are dealt to ranges of the id of about ``rows_a_range`` rows, one shuffle of the payload; a window
-    orders each range. A range's last row takes the first row of the range below from a table of one row a
-    range. Ids that lie unevenly make ranges uneven, which costs time alone.
+    Rows are dealt to ranges of the id of about ``rows_a_range`` rows, the one shuffle of texts; a window orders each
+    range. A range's last row takes the first row of the range below from a written table of one row a range. Ids that
+    lie unevenly make ranges uneven, which costs time alone.
     """
-    n, low, high = rows.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
+    scratch = Scratch(df.sparkSession, "fingerprint")
+    n, low, high = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
     ranges = max(1, -(-n // rows_a_range))
     width = (high - low) // ranges + 1 if n else 1
-    placed = rows.withColumn("range", F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)).cast("long"))
-    first = placed.groupBy("range").agg(F.max(id_col).alias("head")).where("range is not null")
-    chain = first.select("head", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
-    heads = placed.select(F.col(id_col).alias("head"), F.struct(*cols).alias("s")).join(chain, "head").groupBy(F.col("to").alias("range")).agg(F.min("s").alias("over"))
-    order = Window.partitionBy("range").orderBy(F.desc(id_col), *cols)
-    led = placed.withColumn("led", F.lead(F.struct(*cols)).over(order))
+    range_of = F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)).cast("long")
+    first = df.select(F.col(id_col).alias("head"), range_of.alias("range")).where("range is not null").groupBy("range").agg(F.max("head").alias("head"))
+    down = Window.orderBy("range")
+    chain = first.select("head", F.coalesce(F.lead("range").over(down), F.min("range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    chain = scratch.keep("chain", chain)  # written, so that its size is known and the join below does not move texts
+    s = F.struct("text", "fingerprint")
+    heads = fingerprints(df.join(chain, df[id_col] == chain["head"]).select(F.col("to").alias(id_col), text_col), id_col, text_col)
+    heads = scratch.keep("heads", heads.groupBy(F.col(id_col).alias("range")).agg(F.min(s).alias("over")))
+    placed = fingerprints(df, id_col, text_col).withColumn("range", range_of)
+    led = placed.withColumn("led", F.lead(s).over(Window.partitionBy("range").orderBy(F.desc(id_col), "text")))
     return led.join(heads, "range", "left").withColumn("next", F.coalesce("led", "over")).drop("range", "led", "over")
 
 
@@ -123,7 +131,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The edited text is the text with its last half (rounded down) replaced by the start of the next document's.
     """
-    rows = with_next(fingerprints(df, id_col, text_col), id_col, ["text", "fingerprint"])
+    rows = with_next(df, id_col, text_col)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     following = F.coalesce(F.col("next.text"), F.lit(""))
