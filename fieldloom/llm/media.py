@@ -4,8 +4,9 @@ A payload is stored losslessly as an 8-bit greyscale PNG, 64 samples a row, unde
 of the shared folder. Rows carry digest, shard, offset and length. Metadata columns are filled by range
 reads of the header alone; payloads come back by range reads of their member.
 
-Copies collapse twice before anything is stored: in each scan task, then by digest, so a payload that a third
-of all rows share is one member. A task writes shards under names of its own attempt and its rows name
+Rows that repeat the payload of a row with a smaller id are found by digest before anything is stored (digests and ids alone
+are shuffled), and left out of the scan that stores; what a null or repeated id lets through collapses in its task and
+in the index. So payloads never cross the network, and one that a third of all rows share is one member. A task writes shards under names of its own attempt and its rows name
 them, so a retried task leaves an unreferenced shard, never a wrong row; ``sweep`` deletes such shards.
 
 Defined results: null text is empty (64 zero bytes); equal texts share a member and all values; an empty
@@ -32,6 +33,7 @@ from fieldloom.llm.store import Scratch
 WIDTH = 64
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # signature and IHDR chunk
+COPIES = 1_000_000
 
 
 def payload(text: str | None) -> bytes:
@@ -161,11 +163,23 @@ def store(df: DataFrame, level: int = 6, shard_bytes: int = 64 << 20, id_col: st
     padded = F.greatest(F.lit(WIDTH), F.ceil(n / WIDTH) * WIDTH)
     data = F.concat(F.encode(text, "utf-8"), F.unhex(F.repeat(F.lit("00"), (padded - n).cast("int"))))
     rows = df.select(F.col(id_col), n.cast("long").alias("n_bytes"), F.unhex(F.sha2(data, 256)).alias("digest"))
-    media = df.select(F.col(text_col)).mapInArrow(shipped(__name__, "_encode", level), "digest binary, media binary")
-    index = media.repartition("digest").mapInArrow(shipped(__name__, "_shard", base, shard_bytes), "digest binary, shard string, offset long, length long")
+    known = scratch.keep("digests", rows.select(F.col(id_col).alias("id"), "digest"))
+    owners = known.groupBy("digest").agg(F.min("id").alias("owner"))
+    copies = scratch.keep("copies", known.join(owners, "digest").where("id <> owner").select("id", "digest").distinct())
+    n_copies = copies.count()
+    fresh = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(data, 256)).alias("digest"))
+    # copies are broadcast up to COPIES of them (about 100 MB), else both sides are shuffled
+    fresh = fresh.join(F.broadcast(copies) if n_copies <= COPIES else copies, ["id", "digest"], "left_anti")
+    index = fresh.select("text").mapInArrow(shipped(__name__, "_store", base, level, shard_bytes), "digest binary, shard string, offset long, length long")
+    index = scratch.keep("found", index)
+    index = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
     return rows, scratch.keep("index", index), base
 
 
+def _store(batches, base: str, level: int, limit: int):
+    return _shard(_encode(batches, level), base, limit)
+
+
 def sweep(index: DataFrame, base: str) -> int:
     """Deletes shards that no row of the index names (of failed attempts); returns how many."""
     from pyarrow import fs
