@@ -26,7 +26,7 @@ SQUARE = [(0, 1), (1, 2), (2, 3), (3, 0)]
 
 @cache
 def triangles(case: int) -> tuple[tuple[int, int, int], ...]:
-    """Triangles of a case (bit c: corner c is above) as edge numbers, counter-clockwise seen from below the isovalue."""
+    """Triangles of a case (bit c: corner c is above) as edge numbers, counter-clockwise seen from where values are lower."""
     above = [bool(case >> c & 1) for c in range(8)]
     number = {frozenset(e): k for k, e in enumerate(EDGES)}
     follows: dict[int, int] = {}
@@ -45,7 +45,7 @@ def triangles(case: int) -> tuple[tuple[int, int, int], ...]:
             left.discard(at)
             loop.append(at)
             at = follows[at]
-        out += [(loop[0], loop[k + 1], loop[k]) for k in range(1, len(loop) - 1)]
+        out += [(loop[0], loop[k], loop[k + 1]) for k in range(1, len(loop) - 1)]
     return tuple(out)
 
 

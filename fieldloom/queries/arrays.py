@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import bits, vectors as vec
 from fieldloom.operators import joins, scan, stencil
-from fieldloom.queries.common import LINE_KEYS, cents, grid, table
+from fieldloom.queries.common import LINE_KEYS, cents, doubles, grid, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -282,3 +282,6 @@ def axis_product(spark, d):
     x = spark.range(4).select(F.col("id").alias("ix"), (F.col("id") * 0.5).alias("x"))
     y = spark.range(3).select(F.col("id").alias("iy"), (F.col("id") * 2.0).alias("y"))
     return joins.product((x, "ix", "x"), (y, "iy", "y"))
+
+
+ORACLES["axis_product"] = doubles(ORACLES["axis_product"], "x", "y")

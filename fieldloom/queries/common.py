@@ -28,3 +28,8 @@ def grid(spark: SparkSession, *shape: int, names: str = "ijk") -> DataFrame:
 def cents(c) -> F.Column:
     """A value of cent precision as an integer."""
     return F.round(F.col(c) * 100 if isinstance(c, str) else c * 100).cast("bigint")
+
+
+def doubles(sql: str, *cols: str) -> str:
+    """SQL whose decimal literals are to come out as DOUBLE."""
+    return f"SELECT * REPLACE ({', '.join(f'{c}::DOUBLE AS {c}' for c in cols)}) FROM ({sql})"

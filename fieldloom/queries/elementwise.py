@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions import bits, ieee, types as ty
-from fieldloom.queries.common import LINE_KEYS, cents, grid, table
+from fieldloom.queries.common import LINE_KEYS, cents, doubles, grid, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,3 +152,6 @@ def ieee_edges(spark, d):
     return table(spark, d, "events").select(
         "event_id", (ieee.fdiv(cents("value"), z) == inf).alias("div_inf"), F.isnan(ieee.fdiv(z, z)).alias("div_nan"), (ieee.fdiv(-F.col("value"), z) == -inf).alias("div_neg"), (ieee.log(z) == -inf).alias("log_zero")
     )
+
+
+ORACLES["gyroid_grid"] = doubles(ORACLES["gyroid_grid"], "sphere", "plane")

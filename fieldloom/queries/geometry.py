@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.operators import amr, contour, fe, mesh
-from fieldloom.queries.common import grid, table
+from fieldloom.queries.common import doubles, grid, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -247,3 +247,8 @@ def fe_gathered_dofs(spark, d):
     ind = spark.range(24).select(F.col("id").alias("at"), F.expr("(id div 4) * 3 + id % 4").alias("idx"))
     val = spark.range(19).select(F.col("id").alias("idx"), (F.col("id") * 1.5).alias("val"))
     return fe.gathered_dofs(off, ind, val, [1, 0, 2, 3]).withColumn("j", F.col("j").cast("bigint"))
+
+
+ORACLES["fe_quad_eval"] = doubles(ORACLES["fe_quad_eval"], "v")
+ORACLES["fe_quad_map"] = doubles(ORACLES["fe_quad_map"], "x", "y", "det")
+ORACLES["fe_gathered_dofs"] = doubles(ORACLES["fe_gathered_dofs"], "val")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import bvh, camera, colour, pathtrace, raster, volume
 from fieldloom.operators.scene import GLASS, MIRROR, Actor, Light, Material, Scene
-from fieldloom.queries.common import grid, table
+from fieldloom.queries.common import doubles, grid, table
 from fieldloom.queries.geometry import height_mesh
 
 QUERIES: dict = {}
@@ -187,3 +187,6 @@ def path_trace(spark, d):
     glass = pane.withColumn("x", F.col("x") + 3.5)
     scene = Scene([Actor(pts, tris, (0.6, 0.7, 0.8)), Actor(pane, one, material=Material(MIRROR), smooth=False), Actor(glass, one, material=Material(GLASS, 1.5), smooth=False)], [Light((4.0, 4.0, 9.0), 40.0), Light((0.0, 0.6, 0.8), 0.5, directional=True)], (0.1, 0.1, 0.2))
     return pathtrace.trace(scene, camera.perspective((4, 4, 14), (4, 4, 0), width=12, height=12), spark, 1, 1, cells=8)
+
+
+ORACLES["orthographic_rays"] = doubles(ORACLES["orthographic_rays"], "ox", "oy")

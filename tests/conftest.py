@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from fieldloom.sources.session import local
 
-    s = local(4, "3g", 4)
+    s = local(2, "3g", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
