@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import bits, vectors as vec
 from fieldloom.operators import joins, scan, stencil
-from fieldloom.queries.common import LINE_KEYS, cents, doubles, grid, table
+from fieldloom.queries.common import LINE_KEYS, cents, doubles, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -172,13 +172,13 @@ def vec_dot_norm_cross_normalized(spark, d):
     )
 
 
-@query("""SELECT vec_id, idx, round(val, 9) AS val FROM (SELECT vec_id, (vec_id * 64 + unnest(range(64)))::BIGINT AS idx, unnest(embedding)::DOUBLE AS val FROM embeddings) WHERE idx % 3 = 0""")
+@query("""SELECT vec_id, idx, round(val, 9) AS val FROM (SELECT vec_id, (vec_id * 64 + unnest(range(64)))::BIGINT AS idx, unnest(embedding)::DOUBLE AS val FROM embeddings)""")
 def vector_interleave(spark, d):
     from fieldloom.sources.field import from_tuples
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("val"))
     out = from_tuples(e, 64)
-    return out.where(F.col("idx") % 3 == 0).select(F.call_function("div", "idx", F.lit(64).cast("bigint")).alias("vec_id"), "idx", F.round(F.col("val").cast("double"), 9).alias("val"))
+    return out.select(F.call_function("div", "idx", F.lit(64).cast("bigint")).alias("vec_id"), "idx", F.round(F.col("val").cast("double"), 9).alias("val"))
 
 
 _AXIS = "(SELECT range AS cell, 10.0 * range + (range % 3) AS coord FROM range(50))"
@@ -215,33 +215,35 @@ def wave_step(spark, d):
     return stencil.wave_step(e, e.count(), 0.25).withColumn("curr", F.round("curr", 9))
 
 
-_G = "(SELECT event_id AS idx, event_id // 64 AS i, event_id % 64 AS j, value AS val FROM events WHERE event_id < 1024)"
-_SHAPE = (16, 64)
+# the events as rows of 50
+_G = "(SELECT event_id AS idx, event_id // 50 AS i, event_id % 50 AS j, value AS val FROM events)"
+_H = "(SELECT count(*) // 50 FROM events)"
 
 
-def _grid16(spark, d):
-    e = table(spark, d, "events").where("event_id < 1024").select(F.col("event_id").alias("idx"), F.col("value").alias("val"))
-    return grid(spark, *_SHAPE).join(e, "idx")
+def _rows50(spark, d):
+    """The grid (idx, i, j, val) and its shape."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.expr("event_id div 50").alias("i"), (F.col("event_id") % 50).alias("j"), F.col("value").alias("val"))
+    return e, (e.count() // 50, 50)
 
 
 def _nb(*cells: tuple[int, int, float]) -> str:
     return " + ".join(f"{w} * coalesce((SELECT n.val FROM g n WHERE n.i = g.i + ({a}) AND n.j = g.j + ({b})), 0)" for a, b, w in cells)
 
 
-_IN = "g.i BETWEEN 1 AND 14 AND g.j BETWEEN 1 AND 62"
+_IN = f"g.i BETWEEN 1 AND {_H} - 2 AND g.j BETWEEN 1 AND 48"
 _BOX = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 _CROSS = [(-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)]
 
 
 @query(f"WITH g AS {_G} SELECT idx, round(CASE WHEN {_IN} THEN ({_nb(*_BOX)}) / 9.0 ELSE val END, 6) AS out FROM g")
 def blur_3x3(spark, d):
-    return stencil.box_blur(_grid16(spark, d), _SHAPE).select("idx", F.round("out", 6).alias("out"))
+    return stencil.box_blur(*_rows50(spark, d)).select("idx", F.round("out", 6).alias("out"))
 
 
-@query(f"""WITH g AS {_G}, h AS (SELECT *, CASE WHEN j BETWEEN 2 AND 61 THEN avg(val) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE val END AS x FROM g)
-    SELECT idx, round(CASE WHEN i BETWEEN 2 AND 13 THEN avg(x) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE x END, 6) AS out FROM h""")
+@query(f"""WITH g AS {_G}, h AS (SELECT *, CASE WHEN j BETWEEN 2 AND 47 THEN avg(val) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE val END AS x FROM g)
+    SELECT idx, round(CASE WHEN i BETWEEN 2 AND {_H} - 3 THEN avg(x) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE x END, 6) AS out FROM h""")
 def separable_blur(spark, d):
-    return stencil.separable_blur(_grid16(spark, d), _SHAPE).select("idx", F.round("out", 6).alias("out"))
+    return stencil.separable_blur(*_rows50(spark, d)).select("idx", F.round("out", 6).alias("out"))
 
 
 _GX = [(a, b, float(b * (2 - abs(a)))) for a in (-1, 0, 1) for b in (-1, 1)]
@@ -250,26 +252,27 @@ _GY = [(a, b, float(a * (2 - abs(b)))) for b in (-1, 0, 1) for a in (-1, 1)]
 
 @query(f"WITH g AS {_G} SELECT idx, round(CASE WHEN {_IN} THEN sqrt(pow({_nb(*_GX)}, 2) + pow({_nb(*_GY)}, 2)) ELSE 0.0 END, 6) AS out FROM g")
 def sobel(spark, d):
-    return stencil.sobel(_grid16(spark, d), _SHAPE).select("idx", F.round("out", 6).alias("out"))
+    return stencil.sobel(*_rows50(spark, d)).select("idx", F.round("out", 6).alias("out"))
 
 
 @query(f"WITH g AS {_G} SELECT idx, round(CASE WHEN {_IN} THEN ({_nb(*_CROSS)}) / 4.0 ELSE val END, 6) AS val FROM g")
 def jacobi_step(spark, d):
-    return stencil.jacobi_step(_grid16(spark, d), _SHAPE).select("idx", F.round("val", 6).alias("val"))
+    return stencil.jacobi_step(*_rows50(spark, d)).select("idx", F.round("val", 6).alias("val"))
 
 
 @query(f"WITH g AS {_G} SELECT idx, round(val + 0.1 * CASE WHEN {_IN} THEN ({_nb(*_CROSS)}) - 4.0 * val ELSE 0.0 END, 6) AS val FROM g")
 def heat_step(spark, d):
-    return stencil.heat_step(_grid16(spark, d), _SHAPE, 0.1).select("idx", F.round("val", 6).alias("val"))
+    return stencil.heat_step(*_rows50(spark, d), 0.1).select("idx", F.round("val", 6).alias("val"))
 
 
-_LIFE = "(SELECT event_id AS idx, event_id // 64 AS i, event_id % 64 AS j, (round(value * 100)::BIGINT % 3 = 0)::BIGINT AS val FROM events WHERE event_id < 1024)"
+_LIFE = "(SELECT event_id AS idx, event_id // 50 AS i, event_id % 50 AS j, (round(value * 100)::BIGINT % 3 = 0)::BIGINT AS val FROM events)"
 
 
 @query(f"WITH g AS {_LIFE}, n AS (SELECT *, {_nb(*[c for c in _BOX if c[:2] != (0, 0)])} AS s FROM g) SELECT idx, (s = 3 OR (val = 1 AND s = 2))::BIGINT AS val FROM n")
 def life_step(spark, d):
-    g = _grid16(spark, d).withColumn("val", (cents("val") % 3 == 0).cast("int"))
-    return stencil.life_step(g, _SHAPE).select("idx", F.col("val").cast("bigint").alias("val"))
+    g, shape = _rows50(spark, d)
+    g = g.withColumn("val", (cents("val") % 3 == 0).cast("int"))
+    return stencil.life_step(g, shape).select("idx", F.col("val").cast("bigint").alias("val"))
 
 
 @query("SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM events WHERE value > 50 GROUP BY user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.plans.kernel import func, kernel
-from fieldloom.queries.common import cents, grid, table
+from fieldloom.queries.common import cents, table
 from fieldloom.streaming import stepping
 
 QUERIES: dict = {}
@@ -135,14 +135,14 @@ def kernel_vectors(spark, d):
     return _directions(flat, None, e.count())["out"].select("idx", F.round("val", 6).alias("val"))
 
 
-_G = "(SELECT event_id AS idx, event_id // 32 AS i, event_id % 32 AS j, value AS val FROM events WHERE event_id < 512)"
-_STEP = lambda src: f"SELECT g.idx, g.i, g.j, CASE WHEN g.i BETWEEN 1 AND 14 AND g.j BETWEEN 1 AND 30 THEN (a.val + b.val + c.val + e.val) / 4 ELSE g.val END AS val FROM {src} g LEFT JOIN {src} a ON a.i = g.i - 1 AND a.j = g.j LEFT JOIN {src} b ON b.i = g.i + 1 AND b.j = g.j LEFT JOIN {src} c ON c.i = g.i AND c.j = g.j - 1 LEFT JOIN {src} e ON e.i = g.i AND e.j = g.j + 1"
+_G = "(SELECT event_id AS idx, event_id // 50 AS i, event_id % 50 AS j, value AS val FROM events)"
+_STEP = lambda src: f"SELECT g.idx, g.i, g.j, CASE WHEN g.i BETWEEN 1 AND (SELECT count(*) // 50 - 2 FROM events) AND g.j BETWEEN 1 AND 48 THEN (a.val + b.val + c.val + e.val) / 4 ELSE g.val END AS val FROM {src} g LEFT JOIN {src} a ON a.i = g.i - 1 AND a.j = g.j LEFT JOIN {src} b ON b.i = g.i + 1 AND b.j = g.j LEFT JOIN {src} c ON c.i = g.i AND c.j = g.j - 1 LEFT JOIN {src} e ON e.i = g.i AND e.j = g.j + 1"
 
 
 @query(f"WITH s0 AS {_G}, s1 AS ({_STEP('s0')}), s2 AS ({_STEP('s1')}), s3 AS ({_STEP('s2')}) SELECT idx, round(val, 8) AS val FROM s3")
 def jacobi_3_steps(spark, d):
-    e = table(spark, d, "events").where("event_id < 512").select(F.col("event_id").alias("idx"), F.col("value").alias("val"))
-    out = stepping.jacobi(grid(spark, 16, 32).join(e, "idx"), (16, 32), 3)
+    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.expr("event_id div 50").alias("i"), (F.col("event_id") % 50).alias("j"), F.col("value").alias("val"))
+    out = stepping.jacobi(e, (e.count() // 50, 50), 3)
     return out.select("idx", F.round("val", 8).alias("val"))
 
 

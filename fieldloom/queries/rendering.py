@@ -37,7 +37,7 @@ def _voxels(spark):
 
 def _sample_sql(clamp: str) -> str:
     at = lambda c: clamp.format(f"({c} * 7.0)")
-    return f"""WITH p AS (SELECT event_id, (event_id % 97) / 96.0 AS u, (event_id % 89) / 88.0 AS v, (event_id % 83) / 82.0 AS w FROM events WHERE event_id < 2000), f AS (SELECT event_id, {at("u")} AS fx, {at("v")} AS fy, {at("w")} AS fz FROM p),
+    return f"""WITH p AS (SELECT event_id, (event_id % 97) / 96.0 AS u, (event_id % 89) / 88.0 AS v, (event_id % 83) / 82.0 AS w FROM events), f AS (SELECT event_id, {at("u")} AS fx, {at("v")} AS fy, {at("w")} AS fz FROM p),
     b AS (SELECT *, floor(fx)::BIGINT AS bx, floor(fy)::BIGINT AS b_y, floor(fz)::BIGINT AS bz FROM f), c AS (SELECT event_id, least(7, bx + a.range) AS ix, least(7, b_y + o.range) AS iy, least(7, bz + e.range) AS iz,
     (CASE WHEN a.range = 1 THEN fx - bx ELSE 1 - fx + bx END) * (CASE WHEN o.range = 1 THEN fy - b_y ELSE 1 - fy + b_y END) * (CASE WHEN e.range = 1 THEN fz - bz ELSE 1 - fz + bz END) AS k FROM b, range(2) a, range(2) o, range(2) e)
     SELECT event_id, round(sum(k * s), 6) AS val FROM c JOIN {_VOX} USING (ix, iy, iz) GROUP BY 1"""
@@ -45,7 +45,7 @@ def _sample_sql(clamp: str) -> str:
 
 def _sample_points(spark, d):
     e = F.col("event_id")
-    return table(spark, d, "events").where("event_id < 2000").select("event_id", (e % 97 / 96.0).alias("u"), (e % 89 / 88.0).alias("v"), (e % 83 / 82.0).alias("w"))
+    return table(spark, d, "events").select("event_id", (e % 97 / 96.0).alias("u"), (e % 89 / 88.0).alias("v"), (e % 83 / 82.0).alias("w"))
 
 
 @query(_sample_sql("{0}"))
@@ -137,11 +137,11 @@ def tree_parents(spark, d):
     return bvh.parents(n)
 
 
-@query("""WITH RECURSIVE s AS (SELECT event_id // 16 AS pid, event_id % 16 AS step, least(10, trunc(least(1.0, greatest(0.0, value / 300.0))::DOUBLE * 10.0)::INT) / 10.0 AS c FROM events WHERE event_id < 4096), a AS (SELECT pid, step, c, 1.0 - exp(-(0.5 * c) * 2.0 * 0.5) AS al FROM s),
+@query("""WITH RECURSIVE s AS (SELECT event_id // 16 AS pid, event_id % 16 AS step, least(10, trunc(least(1.0, greatest(0.0, value / 300.0))::DOUBLE * 10.0)::INT) / 10.0 AS c FROM events), a AS (SELECT pid, step, c, 1.0 - exp(-(0.5 * c) * 2.0 * 0.5) AS al FROM s),
     f(pid, step, r, al) AS (SELECT pid, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT pid FROM a) UNION ALL SELECT f.pid, f.step + 1, CASE WHEN f.al > 0.99 THEN f.r ELSE f.r + (1 - f.al) * a.al * a.c END, CASE WHEN f.al > 0.99 THEN f.al ELSE f.al + (1 - f.al) * a.al END FROM f JOIN a ON a.pid = f.pid AND a.step = f.step + 1)
-    SELECT pid, round(r + (1 - al) * 0.25, 6) AS r, round(al, 6) AS alpha FROM f WHERE step = 15""")
+    SELECT pid, round(r + (1 - al) * 0.25, 6) AS r, round(al, 6) AS alpha FROM f QUALIFY step = max(step) OVER (PARTITION BY pid)""")
 def volume_composite(spark, d):
-    s = table(spark, d, "events").where("event_id < 4096").select(F.expr("event_id div 16").alias("pid"), (F.col("event_id") % 16).alias("step"), F.col("value").alias("val"))
+    s = table(spark, d, "events").select(F.expr("event_id div 16").alias("pid"), (F.col("event_id") % 16).alias("step"), F.col("value").alias("val"))
     out = volume.composite(s, ["pid"], "step", colour.TransferFunction("grayscale", n=11, range_=(0.0, 300.0)), 0.5, 2.0, (0.25, 0.25, 0.25))
     return out.select("pid", F.round("r", 6).alias("r"), F.round("alpha", 6).alias("alpha"))
 
@@ -152,10 +152,10 @@ def volume_render(spark, d):
     return volume.render(cam, _voxels(spark), (_N,) * 3, (-1, -1, -1), (1, 1, 1), colour.TransferFunction("cool_to_warm", n=64, range_=(0.0, 6.1)), 0.1)
 
 
-@query("""SELECT event_id, arg_max(b, lvl * 100 + b)::BIGINT AS block_id FROM (SELECT event_id, (event_id % 64) / 4.0 AS x, (event_id % 48) / 4.0 AS y FROM events WHERE event_id < 3000) p JOIN (SELECT range AS b, CASE WHEN range = 0 THEN 0 ELSE 1 END AS lvl, CASE WHEN range = 0 THEN 0 ELSE range * 4.0 END AS lx, CASE WHEN range = 0 THEN 16.0 ELSE range * 4.0 + 3 END AS hx FROM range(4)) k ON x >= lx AND x < hx AND y < 16 GROUP BY 1""")
+@query("""SELECT event_id, arg_max(b, lvl * 100 + b)::BIGINT AS block_id FROM (SELECT event_id, (event_id % 64) / 4.0 AS x, (event_id % 48) / 4.0 AS y FROM events) p JOIN (SELECT range AS b, CASE WHEN range = 0 THEN 0 ELSE 1 END AS lvl, CASE WHEN range = 0 THEN 0 ELSE range * 4.0 END AS lx, CASE WHEN range = 0 THEN 16.0 ELSE range * 4.0 + 3 END AS hx FROM range(4)) k ON x >= lx AND x < hx AND y < 16 GROUP BY 1""")
 def block_lookup(spark, d):
     e = F.col("event_id")
-    p = table(spark, d, "events").where("event_id < 3000").select("event_id", (e % 64 / 4.0).alias("x"), (e % 48 / 4.0).alias("y"), F.lit(1.0).alias("z"))
+    p = table(spark, d, "events").select("event_id", (e % 64 / 4.0).alias("x"), (e % 48 / 4.0).alias("y"), F.lit(1.0).alias("z"))
     i = F.col("id")
     b = spark.range(4).select(i.alias("block_id"), F.when(i == 0, 0).otherwise(1).alias("level"), F.when(i == 0, 0.0).otherwise(i * 4.0).alias("lo_x"), F.when(i == 0, 16.0).otherwise(i * 4.0 + 3).alias("hi_x"), F.lit(0.0).alias("lo_y"), F.lit(16.0).alias("hi_y"), F.lit(0.0).alias("lo_z"), F.lit(16.0).alias("hi_z"))
     return volume.block_lookup(p, b, 4.0).select("event_id", "block_id")
