@@ -8,10 +8,11 @@ different sets is missed, and pairs are never spelled out within a group of copi
    linked sets must share one) and token bitmap. Equal sets collapse to one class by digest.
 2. Classes that share a min-hash are verified against the least of them, a star, so families of near copies
    become components at linear cost.
-3. Classes of different components that share a prefix shingle are candidates. Their components are cut into
-   nodes (size band and hash, at most about ``NODE`` classes) with an OR-combined bitmap and a size range. Node
-   pairs are pruned by the largest overlap that these allow, then both nodes' trees are traversed together
-   down to pairs of classes, pruned in the same way.
+3. Classes of different components that share a prefix shingle are a group. Groups with the same members collapse to
+   one. A group's classes form a signature tree, a node of which holds an OR-combined bitmap and a size range; the tree
+   is traversed against itself, node pairs are pruned by the largest overlap that these allow (and where both nodes lie in
+   one component), down to pairs of classes, which are given only where their bitmaps allow a link. A group of more than
+   ``BLOCK`` classes is cut into blocks, and each pair of blocks is traversed on its own.
 4. What is left is verified on the whole sets, the best pair of two components first.
 
 The order of a prefix puts the shingles that recur most (found over all documents) last; any order is
@@ -26,7 +27,6 @@ space, A-Z lower-cased.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
@@ -36,12 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.ship import shipped
+from fieldloom.llm.ship import pair_shipped, shipped
 from fieldloom.llm.store import Scratch
 
 HEAVY = 200_000  # shingles known as frequent; affects the order of prefixes alone
-NODE = 1024  # classes expected in a node
-LEAF = 16  # classes below which a tree is not split
+BLOCK = 4096  # classes of a group that one traversal takes
+LEAF = 64  # classes below which a tree is not split
 KEYS = 4  # min-hashes
 SMALL = 1_000_000  # ids that are broadcast (16 MB); beyond, the join shuffles
 _U = np.uint64
@@ -131,18 +131,20 @@ def _profile(batches, words: int, percent: int, spread):
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(mins, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary())], names)
 
 
-def _verify(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """One group: the text of ``a`` and of its partners."""
-    a = pdf["a"].iloc[0]
-    own = pdf["id"] == a
-    s = shingles(pdf.loc[own, "text"].iloc[0], words)
+def _verify(pairs: pd.DataFrame, texts: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) of one deal that link, by the whole sets of its texts (id2, text)."""
+    sets: dict[int, np.ndarray] = {}
+    for i, text in texts[["id2", "text"]].itertuples(index=False):
+        sets[i] = shingles(text, words)
     found = []
-    for b, text in pdf.loc[~own, ["id", "text"]].drop_duplicates("id").itertuples(index=False):
-        t = shingles(text, words)
+    for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
+        s, t = sets[a], sets[b]
+        if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+            continue
         both = len(np.intersect1d(s, t, assume_unique=True))
         if both and 100 * both >= percent * (len(s) + len(t) - both):
-            found.append(b)
-    return pd.DataFrame({"u": np.full(len(found), a, np.int64), "v": np.array(found, np.int64)})
+            found.append((a, b))
+    return pd.DataFrame(found, columns=["u", "v"]).astype({"u": "int64", "v": "int64"})
 
 
 def _matrix(bits: list[bytes], width: int) -> np.ndarray:
@@ -151,21 +153,23 @@ def _matrix(bits: list[bytes], width: int) -> np.ndarray:
 
 
 class Tree:
-    """Classes by size; a node holds the OR of its bitmaps, its size range and the most shingles that share bits."""
+    """Classes in the order of large components, then size; a node holds the OR of its bitmaps, its size range, the most
+    shingles of a class that share bits, and its component if it lies in one."""
 
     def __init__(self, ids, comp, n, bits, width: int):
-        order = np.argsort(n, kind="stable")
+        _, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((ids, n, np.where(count[where] > 1, comp, -1)))
         self.ids, self.comp, self.n = ids[order], comp[order], n[order]
         self.own = np.array([len(b) * 8 for b in bits])[order] == width * 64  # bitmaps of full width
-        self.bits = _matrix(bits, width)[order]
-        self.ones = np.bitwise_count(self.bits).sum(1)
-        self.excess = np.where(self.own, self.n - self.ones, 0)
+        self.bits = _matrix([bits[k] for k in order], width)
+        self.excess = np.where(self.own, self.n - np.bitwise_count(self.bits).sum(1), 0)
         self.nodes: dict[tuple[int, int], tuple] = {}
 
     def node(self, i: int, j: int) -> tuple:
         if (i, j) not in self.nodes:
-            whole = bool(self.own[i:j].all())
-            self.nodes[i, j] = (np.bitwise_or.reduce(self.bits[i:j]), int(self.n[i]), int(self.n[j - 1]), int(self.excess[i:j].max()) if whole else None)
+            whole, one = bool(self.own[i:j].all()), bool((self.comp[i:j] == self.comp[i]).all())
+            n = self.n[i:j]
+            self.nodes[i, j] = (np.bitwise_or.reduce(self.bits[i:j]), int(n.min()), int(n.max()), int(self.excess[i:j].max()) if whole else None, int(self.comp[i]) if one else None)
         return self.nodes[i, j]
 
 
@@ -180,23 +184,28 @@ def _may(overlap: int, least_total: int, percent: int) -> bool:
 
 
 def traverse(x: Tree, y: Tree, percent: int):
-    """Pairs (row of x, row of y, largest overlap) of different components that may link."""
+    """Pairs (row of x, row of y, largest overlap) of different components that may link; of one tree, each pair once."""
+    same = x is y
     stack = [((0, len(x.ids)), (0, len(y.ids)))]
     while stack:
         p, q = stack.pop()
+        if same and q[1] <= p[0]:
+            continue  # the mirrored pair
         a, b = x.node(*p), y.node(*q)
+        if a[4] is not None and a[4] == b[4]:
+            continue
         if 100 * a[2] < percent * b[1] or 100 * b[2] < percent * a[1] or not _may(most(a, b), a[1] + b[1], percent):
             continue
         if p[1] - p[0] <= LEAF and q[1] - q[0] <= LEAF:
-            for i in range(*p):
-                shared = np.bitwise_count(x.bits[i] & y.bits[q[0] : q[1]]).sum(1)
-                top = np.minimum(x.n[i], y.n[q[0] : q[1]])
-                if x.own[i]:
-                    top = np.minimum(top, shared + x.excess[i])
-                top = np.where(y.own[q[0] : q[1]], np.minimum(top, shared + y.excess[q[0] : q[1]]), top)
-                may = ((100 + percent) * top >= percent * (x.n[i] + y.n[q[0] : q[1]])) & (x.comp[i] != y.comp[q[0] : q[1]])
-                for j in np.flatnonzero(may):
-                    yield i, q[0] + int(j), int(top[j])
+            shared = np.bitwise_count(x.bits[p[0] : p[1], None] & y.bits[None, q[0] : q[1]]).sum(2).astype(np.int64)
+            nx, ny = x.n[p[0] : p[1], None], y.n[None, q[0] : q[1]]
+            top = np.minimum(nx, ny)
+            for own, excess in ((x.own[p[0] : p[1], None], x.excess[p[0] : p[1], None]), (y.own[None, q[0] : q[1]], y.excess[None, q[0] : q[1]])):
+                top = np.where(own, np.minimum(top, shared + excess), top)
+            may = ((100 + percent) * top >= percent * (nx + ny)) & (x.comp[p[0] : p[1], None] != y.comp[None, q[0] : q[1]])
+            for i, j in zip(*np.nonzero(may), strict=True):
+                if not same or p[0] + i < q[0] + j:
+                    yield p[0] + int(i), q[0] + int(j), int(top[i, j])
         elif p[1] - p[0] >= q[1] - q[0]:
             mid = (p[0] + p[1]) // 2
             stack += [((p[0], mid), q), ((mid, p[1]), q)]
@@ -205,35 +214,57 @@ def traverse(x: Tree, y: Tree, percent: int):
             stack += [(p, (q[0], mid)), (p, (mid, q[1]))]
 
 
-def _dual(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """One pair of nodes (side 0 and 1) to its candidate pairs of classes."""
-    width = max(map(len, pdf["bits"])) // 8
-    tree = []
-    for side in (0, 1):
-        p = pdf[pdf["side"] == side].sort_values("id")
-        tree.append(Tree(p["id"].to_numpy(), p["comp"].to_numpy(), p["n"].to_numpy(), list(p["bits"]), width))
-    x, y = tree
-    out = [(min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j]), t / (x.n[i] + y.n[j] - t)) for i, j, t in traverse(x, y, percent)]
-    return pd.DataFrame(out, columns=["a", "b", "bound"]).astype({"a": "int64", "b": "int64", "bound": "float64"})
-
-
-def _node(pdf: pd.DataFrame) -> pd.DataFrame:
-    width = max(map(len, pdf["bits"])) // 8
-    t = Tree(pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), list(pdf["bits"]), width)
-    bits, low, high, excess = t.node(0, len(t.ids))
-    return pd.DataFrame({"node": [pdf["node"].iloc[0]], "or_bits": [bits.tobytes()], "low": [low], "high": [high], "excess": [-1 if excess is None else excess]})
-
-
-def _prune(batches, percent: int):
-    for batch in batches:
-        keep = []
-        for r in batch.to_pylist():
-            x, y = (np.frombuffer(r[k], np.uint64) for k in ("bits1", "bits2"))
-            w = max(len(x), len(y))
-            node = lambda b, k: (np.tile(b, w // len(b)), r[f"low{k}"], r[f"high{k}"], r[f"excess{k}"] if r[f"excess{k}"] >= 0 and len(b) == w else None)  # noqa: E731, B023
-            a, b = node(x, 1), node(y, 2)
-            keep.append(100 * a[2] >= percent * b[1] and 100 * b[2] >= percent * a[1] and _may(most(a, b), a[1] + b[1], percent))
-        yield batch.select(["node1", "node2"]).filter(pa.array(keep, pa.bool_()))
+def _dual(pdf: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Groups (h, i, j) of classes, each dealt to block i or j, with their sizes and bitmaps, to candidate pairs of classes."""
+    found: dict[tuple[int, int], float] = {}
+    col = {c: pdf[c].to_numpy() for c in ("h", "i", "j", "block", "id", "comp")}
+    sets = sets.sort_values("id", ignore_index=True)
+    at = np.searchsorted(sets["id"].to_numpy(), col["id"])
+    col |= {"n": sets["n"].to_numpy()[at] if len(at) else np.zeros(0, np.int64), "bits": sets["bits"].to_numpy()[at] if len(at) else np.zeros(0, object)}
+    order = np.lexsort((col["id"], col["block"], col["j"], col["i"], col["h"]))
+    col = {c: v[order] for c, v in col.items()}
+    cut = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
+        if hi - lo == 2 and col["i"][lo] == col["j"][lo]:
+            _pair(col, lo, percent, found)
+            continue
+        if hi == lo:
+            continue
+        width = max(map(len, col["bits"][lo:hi])) // 8
+        ends = [lo, hi] if col["i"][lo] == col["j"][lo] else [lo, lo + int(np.searchsorted(col["block"][lo:hi], col["j"][lo])), hi]
+        spans = list(zip(ends[:-1], ends[1:], strict=True))
+        if any(a == b for a, b in spans):
+            continue
+        trees = [Tree(col["id"][a:b], col["comp"][a:b], col["n"][a:b], col["bits"][a:b], width) for a, b in spans]
+        x, y = trees[0], trees[-1]
+        for r, c, t in traverse(x, y, percent):
+            a, b = int(x.ids[r]), int(y.ids[c])
+            key = (min(a, b), max(a, b))
+            bound = t / float(x.n[r] + y.n[c] - t)
+            found[key] = min(bound, found.get(key, bound))
+    deal = int(pdf["deal"].iloc[0]) if len(pdf) else 0
+    out = pd.DataFrame([(deal, a, b, v) for (a, b), v in found.items()], columns=["deal", "a", "b", "bound"])
+    return out.astype({"deal": "int64", "a": "int64", "b": "int64", "bound": "float64"})
+
+
+def _pair(col: dict, k: int, percent: int, found: dict) -> None:
+    """A group of two classes: two leaves and no tree above them."""
+    n, m = int(col["n"][k]), int(col["n"][k + 1])
+    if col["comp"][k] == col["comp"][k + 1] or 100 * min(n, m) < percent * max(n, m):
+        return
+    x, y = col["bits"][k], col["bits"][k + 1]
+    width = max(len(x), len(y))
+    own = [(len(b) == width, size, int.from_bytes(b)) for b, size in ((x, n), (y, m))]
+    a, b = (int.from_bytes(z * (width // len(z))) for z in (x, y))
+    shared = (a & b).bit_count()
+    top = min([n, m, *(shared + size - bits.bit_count() for full, size, bits in own if full)])
+    if _may(top, n + m, percent):
+        key = (int(col["id"][k]), int(col["id"][k + 1]))
+        found[key] = min(top / (n + m - top), found.get(key, 1.0))
+
+
+def _second(both, name: str, last: tuple):
+    return globals()[name](*both, *last)
 
 
 class Join:
@@ -250,16 +281,18 @@ class Join:
         return rows.join(F.broadcast(ids) if n <= SMALL else ids, "key", "left_semi").dropDuplicates(["key"])
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b), a < b, that link, as (u, v), kept in the scratch folder."""
-        pairs = self.scratch.keep(f"{name}-pairs", pairs.select("a", "b").distinct())
-        ids = self.scratch.keep(f"{name}-ids", pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        texts = self.near(ids, ids.count())
-        salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-        need = salted.select("a", "salt", F.col("b").alias("key")).unionByName(salted.select("a", "salt", F.col("a").alias("key")).distinct())
-        rows = need.join(texts, "key").select("a", "salt", F.col("key").alias("id"), "text")
-        links = rows.groupBy("a", "salt").applyInPandas(shipped(__name__, "_verify", self.words, self.percent), "u long, v long")
+        """The pairs (deal, a, b) that link, as (u, v), kept in the scratch folder.
+
+        A deal is a set of pairs that share texts; each of its texts is sent once.
+        """
+        pairs = self.scratch.keep(f"{name}-pairs", pairs.select("deal", "a", "b").distinct())
+        need = self.scratch.keep(f"{name}-need", pairs.select("deal", F.explode(F.array("a", "b")).alias("key")).distinct())
+        ids = self.scratch.keep(f"{name}-ids", need.select("key").distinct())
+        texts = need.join(self.near(ids, ids.count()), "key").select(F.col("deal").alias("deal2"), F.col("key").alias("id2"), "text")
+        both = pairs.groupBy("deal").cogroup(texts.groupBy("deal2"))
+        links = both.applyInPandas(pair_shipped(__name__, "_verify", self.words, self.percent), "u long, v long")
         links = self.scratch.keep(f"{name}-links", links)
-        self.scratch.drop(f"{name}-pairs", f"{name}-ids")
+        self.scratch.drop(f"{name}-pairs", f"{name}-need", f"{name}-ids")
         return links
 
     def labelled(self, classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -286,41 +319,44 @@ class Join:
             "key long, n long, digest binary, mins array<long>, prefix array<long>, bits binary",
         )
         prof = s.keep("profiles", prof)
-        classes = prof.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("mins", True).alias("mins"), F.first("prefix", True).alias("prefix"), F.first("bits", True).alias("bits"))
-        classes = s.keep("classes", classes)
+        members = s.keep("members", prof.select("key", "n", "digest"))
+        # one holder of each set: a row that has its prefix, under the smallest id of all copies
+        held = members.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("id"))
+        holders = prof.where("prefix is not null and key is not null").groupBy("digest").agg(F.min("key").alias("key"))
+        holders = s.keep("holders", holders.join(held, "digest").select("key", "id"))
+        small = holders.count() <= SMALL
+        classes = prof.where("prefix is not null").drop("digest").join(F.broadcast(holders) if small else holders, "key")
 
         keyed = classes.select("id", "n", F.posexplode("mins").alias("k", "m"))
         stars = keyed.groupBy("k", "m").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
         near = keyed.join(stars, ["k", "m"]).where(F.col("id") != F.col("lead.id")).where(self.fits(F.col("n"), F.col("lead.n")))
-        links = self.verified(near.select(F.col("lead.id").alias("a"), F.col("id").alias("b")), "stars")
+        near = near.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.ceil(F.col("size") / 256).alias("salts"))
+        near = s.keep("near", near)
+        deals = max(1, -(-near.count() // 2000))
+        deal = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(deals))
+        links = self.verified(near.select(deal.alias("deal"), "a", "b"), "stars")
         comps = components(links, s, "cc-a")
 
-        # nodes: singletons are their own; larger components are cut by size band and hash
-        cut = s.keep("cuts", comps.join(comps.groupBy("comp").agg(F.ceil(F.count("*") / NODE).alias("cuts")), "comp").select("id", "comp", "cuts"))
-        whole = self.labelled(classes.drop("mins", "digest"), cut)
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
-        whole = whole.withColumn("band", band).withColumn("node", F.concat_ws(".", "comp", "band", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1)))))
-        rows = whole.select("comp", "band", F.explode("prefix").alias("h"))
+        # groups: shingles that classes of different components have in their prefixes
+        whole = self.labelled(classes.select("id", "n", "prefix"), comps)
+        rows = whole.select("id", "comp", F.explode("prefix").alias("h"))
         over = Window.partitionBy("h")
-        mixed = rows.withColumns({"lo": F.min("comp").over(over), "hi": F.max("comp").over(over)}).where("lo < hi").select("h", "comp", "band").distinct()
+        mixed = rows.withColumns({"lo": F.min("comp").over(over), "hi": F.max("comp").over(over)}).where("lo < hi").select("h", "id", "comp")
         mixed = s.keep("mixed", mixed)
-        l, r = mixed.toDF("h", "comp1", "band1"), mixed.toDF("h", "comp2", "band2")
-        touching = l.join(r, "h").where("comp1 < comp2 and abs(band1 - band2) <= 1").select("comp1", "comp2").distinct()
-        touching = s.keep("touching", touching)
-        ids = s.keep("touched", touching.select(F.explode(F.array("comp1", "comp2")).alias("comp")).distinct())
-        n = ids.count()
-        members = whole.select("id", "comp", "n", "node", "bits").join(F.broadcast(ids) if n <= SMALL else ids, "comp", "left_semi")
-        members = s.keep("members", members)
-        nodes = s.keep("nodes", members.groupBy("node").applyInPandas(ship("_node"), "node string, or_bits binary, low long, high long, excess long"))
-        of = members.select("comp", "node").distinct()
-        pairs = touching.join(of.toDF("comp1", "node1"), "comp1").join(of.toDF("comp2", "node2"), "comp2")
-        for k in "12":
-            pairs = pairs.join(nodes.toDF(f"node{k}", f"bits{k}", f"low{k}", f"high{k}", f"excess{k}"), f"node{k}")
-        left = pairs.select(*[f"{c}{k}" for k in "12" for c in ("node", "bits", "low", "high", "excess")]).mapInArrow(ship("_prune", self.percent), "node1 string, node2 string")
-        left = s.keep("node-pairs", left.distinct())
-        sides = left.select("node1", "node2", F.col("node1").alias("node"), F.lit(0).alias("side")).unionByName(left.select("node1", "node2", F.col("node2").alias("node"), F.lit(1).alias("side")))
-        found = sides.join(members, "node").select("node1", "node2", "side", "id", "comp", "n", "bits").groupBy("node1", "node2").applyInPandas(ship("_dual", self.percent), "a long, b long, bound double")
+        # of groups with the same members one is enough
+        sets = mixed.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
+        one = s.keep("groups", sets.groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "least")).alias("g")).select("g.h", "g.least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        kept = mixed.join(one, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        kept = kept.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        kept = kept.withColumns({"i": F.least("block", "peer"), "j": F.greatest("block", "peer")})
+        # groups are dealt by their least member, so those of one family meet (a quarter each) and share its bitmaps
+        deals = max(1, -(-mixed.count() // 20_000))
+        kept = kept.withColumn("deal", F.pmod(F.xxhash64("least", F.pmod("h", F.lit(4))), F.lit(deals))).select("deal", "h", "i", "j", "block", "id", "comp")
+        kept = s.keep("dealt", kept)
+        bits = s.keep("wanted", kept.select("deal", "id").distinct()).join(classes.select("id", "n", "bits"), "id")
+        found = kept.groupBy("deal").cogroup(bits.groupBy("deal")).applyInPandas(pair_shipped(__name__, "_dual", self.percent), "deal long, a long, b long, bound double")
         found = s.keep("candidates", found)
+        found = found.groupBy("a", "b").agg(F.min("bound").alias("bound"), F.min("deal").alias("deal"))
 
         # the best pair of two components first, then all pairs whose components still differ
         for step in ("best", "rest"):
@@ -328,16 +364,16 @@ class Join:
             lab = lambda c, k: c.join((F.broadcast if n <= SMALL else lambda d: d)(comps.toDF(k, f"comp_{k}")), k, "left").withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", k))  # noqa: E731, B023
             open_ = lab(lab(found, "a"), "b").where("comp_a <> comp_b")
             if step == "best":
-                open_ = open_.groupBy(F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y")).agg(F.max(F.struct("bound", "a", "b")).alias("t")).select("t.a", "t.b")
+                open_ = open_.groupBy(F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y")).agg(F.max(F.struct("bound", "a", "b", "deal")).alias("t")).select("t.deal", "t.a", "t.b")
             else:
-                open_ = open_.join(tried, ["a", "b"], "left_anti")
-            tried = s.keep(f"tried-{step}", open_.select("a", "b"))
+                open_ = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            tried = s.keep(f"tried-{step}", open_.select("deal", "a", "b"))
             if tried.isEmpty():
                 break
             links = s.keep(f"links-{step}", links.unionByName(self.verified(tried, step)))
             comps = components(links, s, f"cc-{step}")
-        final = self.labelled(classes.select("digest", "id"), comps).select("digest", "comp")
-        return prof.select("key", "digest", F.col("n").alias("n_shingles")).join(final, "digest", "left").select("key", "n_shingles", F.coalesce("comp", "key").alias("comp"))
+        final = self.labelled(held, comps).select("digest", "comp")
+        return members.select("key", "digest", F.col("n").alias("n_shingles")).join(final, "digest", "left").select("key", "n_shingles", F.coalesce("comp", "key").alias("comp"))
 
 
 def jaccard_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

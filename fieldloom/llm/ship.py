@@ -28,4 +28,14 @@ def shipped(module: str, name: str, *last, **params):
     return run
 
 
+def pair_shipped(module: str, name: str, *last):
+    """``f(x, y) == module.name(x, y, *last)``, for functions of two frames."""
+    one = shipped(module, "_second", name, last)
+
+    def run(first, second):
+        return one((first, second))
+
+    return run
+
+
 register_pickle_by_value(sys.modules[__name__])
