@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
-A candidate is a long string with letters and digits that follows a sensitive word. It is compressed with
-zstandard primed by the code around it and a dictionary of identifiers; its marginal bytes are what it adds
-beyond an empty frame. Identifiers, paths and repeated code cost a few bytes, secrets nearly their length;
-those at ``ratio`` of their length or more are reported as ``novel``.
+A candidate is a long string with letters and digits that follows a sensitive word. Its marginal bytes are what it
+adds to a zstandard frame of a dictionary of identifiers and the code around it, in which no long string stands,
+so that a key that stands twice does not prime itself. Identifiers, paths and words cost less than a random string
+of their length and alphabet under the same dictionary; those at ``ratio`` of its cost or more are reported as ``novel``.
 
 Defined results: null text is empty; an empty text or table has no spans; equal rows have equal spans;
 columns other than id and text are not read. Offsets count code points, ends are exclusive.
@@ -11,6 +11,8 @@ columns other than id and text are not read. Offsets count code points, ends are
 
 from __future__ import annotations
 
+import functools
+import random
 import re
 
 import pyarrow as pa
@@ -43,18 +45,45 @@ IDENTIFIERS = (
 )
 
 
-def _novel(text: str, around: int, ratio: float, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The alphabets of keys, narrow before wide; strings in capitals alone count as small letters.
+_ALPHABETS = ("0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_STEADY = 256  # from this length on, a random string's cost is in proportion to its length
+
+
+def _marginal(word: str, around: str) -> int:
     import zstandard as z
 
+    press = z.ZstdCompressor(level=19, write_content_size=False).compress
+    before = f"{IDENTIFIERS}\n{around}\n".encode("utf-8", "replace")
+    return len(press(before + word.encode())) - len(press(before))
+
+
+@functools.lru_cache(None)
+def _random_cost(alphabet: str, n: int) -> float:
+    """Mean marginal bytes of random strings."""
+    draw = random.Random(f"{alphabet} {n}")
+    return sum(_marginal("".join(draw.choices(alphabet, k=n)), "") for _ in range(16)) / 16
+
+
+def _share(word: str, around: str) -> float:
+    """Marginal bytes of a string as a share of those of random strings of its length and alphabet."""
+    word = word.lower() if word.isupper() else word
+    signs = set(word) - set("+/_=-")
+    alphabet = next(a for a in _ALPHABETS if signs <= set(a))
+    n = min(len(word), _STEADY)
+    return _marginal(word, around) * n / (len(word) * _random_cost(alphabet, n))
+
+
+def _novel(text: str, around: int, ratio: float, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    plain = _RUN.sub(lambda m: " " * len(m.group()), text)
     out = []
     for m in _SENSITIVE.finditer(text):
         s, e = m.span(1)
         word = m.group(1)
         if any(s < b and a < e for a, b in taken) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             continue
-        primed = z.ZstdCompressionDict((IDENTIFIERS + text[max(0, s - around) : s] + text[e : e + around]).encode("utf-8", "replace"), dict_type=z.DICT_TYPE_RAWCONTENT)
-        press = z.ZstdCompressor(level=19, dict_data=primed, write_content_size=False).compress
-        if len(press(word.encode())) - len(press(b"")) >= ratio * len(word):
+        if _share(word, plain[max(0, s - around) : s] + plain[e : e + around]) >= ratio:
             out.append((s, e))
     return out
 

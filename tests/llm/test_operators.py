@@ -59,6 +59,17 @@ def test_novel_secrets():
     assert secrets.redact("a password=abcdefgh1 b", secrets.find("a password=abcdefgh1 b"), "#") == "a # b"
 
 
+def test_long_and_repeated_secrets():
+    rng = np.random.default_rng(5)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        for n in (64, 128, 512, 2048):
+            key = "".join(rng.choice(list(alphabet), n))
+            assert secrets.find(f"bearer {key}") == [(7, 7 + n, "novel")]
+    key = "x9Kq2LmZ8vTr4WpYc7Nd1BsF"
+    assert secrets.find(f"bearer {key}\nbearer {key}") == [(7, 31, "novel"), (39, 63, "novel")]
+    assert secrets.find("session " + "wxy1" * 40) == [] == secrets.find("session usr/local/lib/python3/site-packages/config")
+
+
 # 2
 def test_language(spark, docs, odd, empty):
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
