@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
-A candidate is a long string with letters and digits that follows a sensitive word. Its marginal bytes are what it
+A candidate is every string of 16 or more key characters within ``around`` characters of a sensitive word, on either
+side and on any line, or as near to a string that was reported (the lines of a key's body). Its marginal bytes are what it
 adds to a zstandard frame of a dictionary of identifiers and the code around it, in which no long string stands,
 so that a key that stands twice does not prime itself. Identifiers, paths and words cost less than a random string
 of their length and alphabet under the same dictionary; those at ``ratio`` of its cost or more are reported as ``novel``.
+Of a string below that, its parts between signs are measured alone (a key behind a long name or path).
 
 Defined results: null text is empty; an empty text or table has no spans; equal rows have equal spans;
 columns other than id and text are not read. Offsets count code points, ends are exclusive.
@@ -12,6 +14,7 @@ columns other than id and text are not read. Offsets count code points, ends are
 from __future__ import annotations
 
 import functools
+import math
 import random
 import re
 
@@ -29,7 +32,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make their surroundings sensitive.
 CONTEXT = ("password", "passwd", "passphrase", "pwd", "secret", "token", "credential", "authorization", "bearer", "private", "api_key", "apikey", "api-key", "access_key", "access-key", "auth_key", "signature", "cookie", "session")
-_SENSITIVE = re.compile("(?:" + "|".join(map(re.escape, CONTEXT)) + r")[^\n]{0,40}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.ASCII | re.IGNORECASE)
+_CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.ASCII | re.IGNORECASE)
 _BASE_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Common identifiers that prime the compressor.
@@ -45,7 +48,23 @@ IDENTIFIERS = (
 )
 
 
+#: Pieces of ordinary words prime it too, as words of 16 or more letters are measured.
+_WORDS = (
+    "international information organization administration communication responsibility availability possibilities characteristic "
+    "understanding environmental development management government department experience independent revolution traditional "
+    "professional constitution transformation implementation representation interpretation investigation mathematical knowledge "
+    "national relation station mission vision ability ibility ically ization isation fulness ousness lessness ability ments counter "
+    "inter trans under over super micro macro multi pseudo electro photo thermo psycho anti auto hyper infra ultra contra retro "
+    "database server client service controller handler manager factory builder provider repository production development staging "
+    "connection timeout seconds default network cluster dashboard deployment container kubernetes resource component template "
+    "authentication permission validation exception listener interface abstract serialize deserialize initialize "
+    "gesellschaft wissenschaft wirtschaft versicherung regierung verwaltung entwicklung verantwortung möglichkeit geschwindigkeit "
+    "rechts schutz arbeits kranken bundes landes stadt schiff fahrt dampf donau haupt bahnhof ungen lichkeit ischen keiten "
+    "constitution gouvernement développement administrativement naturellement ement ations responsabilidad internacional desarrollo "
+    "administración características aciones mente iones idades"
+)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9]{16,}")
 #: The alphabets of keys, narrow before wide; strings in capitals alone count as small letters.
 _ALPHABETS = ("0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _STEADY = 256  # from this length on, a random string's cost is in proportion to its length
@@ -55,7 +74,7 @@ def _marginal(word: str, around: str) -> int:
     import zstandard as z
 
     press = z.ZstdCompressor(level=19, write_content_size=False).compress
-    before = f"{IDENTIFIERS}\n{around}\n".encode("utf-8", "replace")
+    before = f"{IDENTIFIERS} {_WORDS}\n{around}\n".encode("utf-8", "replace")
     return len(press(before + word.encode())) - len(press(before))
 
 
@@ -75,17 +94,44 @@ def _share(word: str, around: str) -> float:
     return _marginal(word, around) * n / (len(word) * _random_cost(alphabet, n))
 
 
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group())
+
+
 def _novel(text: str, around: int, ratio: float, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    plain = _RUN.sub(lambda m: " " * len(m.group()), text)
-    out = []
-    for m in _SENSITIVE.finditer(text):
-        s, e = m.span(1)
-        word = m.group(1)
-        if any(s < b and a < e for a, b in taken) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        if _share(word, plain[max(0, s - around) : s] + plain[e : e + around]) >= ratio:
-            out.append((s, e))
-    return out
+    """Strings outside the spans ``taken``, by start."""
+    marks = [m.span() for m in _CONTEXT.finditer(text)]
+    kept, at = [], 0
+    for a, b in sorted(taken):
+        kept += [text[at:a], " " * (b - max(a, at))]
+        at = max(at, b)
+    text = "".join([*kept, text[at:]])
+    runs = [m.span() for m in _RUN.finditer(text)]
+    plain = _RUN.sub(_blank, text)
+    found: dict[int, list[tuple[int, int]]] = {}
+
+    def novel(k: int) -> list[tuple[int, int]]:
+        if k not in found:
+            s, e = runs[k]
+            near = plain[max(0, s - around) : s] + plain[e : e + around]
+            parts = [(s, e)] if _share(text[s:e], near) >= ratio else [m.span() for m in _PART.finditer(text, s, e) if _share(m.group(), near) >= ratio]
+            found[k] = parts
+        return found[k]
+
+    last, i = -math.inf, 0
+    for k, (s, e) in enumerate(runs):
+        while i < len(marks) and marks[i][0] < e:
+            last, i = max(last, marks[i][1]), i + 1
+        if s - last <= around and novel(k):
+            last = max(last, e)
+    last, i = math.inf, len(marks) - 1
+    for k in range(len(runs) - 1, -1, -1):
+        s, e = runs[k]
+        while i >= 0 and marks[i][1] > s:
+            last, i = min(last, marks[i][0]), i - 1
+        if last - e <= around and novel(k):
+            last = min(last, s)
+    return sorted(x for parts in found.values() for x in parts)
 
 
 def find(text: str | None, around: int = 256, ratio: float = 0.75) -> list[tuple[int, int, str]]:
