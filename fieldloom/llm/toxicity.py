@@ -32,7 +32,7 @@ LOOKS = {
 SEPARATORS = " .-_*~'/\\,:;#^=`"
 #: Costs in nats.
 LOOK_COST, DROP_SEPARATOR, KEEP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT, DROP_DOUBLE = 0.3, 0.2, 2.0, 0.1, 3.0, 4.0
-LONGEST = 64  # longer strings without white space are data, not words in disguise
+LONGEST = 64  # longer strings are decoded in windows that overlap by so much
 SMALL = 1_000_000
 CACHE = 200_000  # chunks remembered; affects speed alone
 
@@ -41,10 +41,14 @@ ALPHABET = "".join(chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xDF,
 SYMBOL = {c: k + 2 for k, c in enumerate(ALPHABET)}
 WIDTH = 64
 
-_APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\s]){2,}(?!\S)|(?<!\S)[0-9@$!|+][ .\-_*][^\s](?:[ .\-_*][^\s])+(?!\S)")
+_GAP = rf"[\s{re.escape(SEPARATORS)}]"
+_APART = re.compile(rf"(?<![\w@$!|+])(?:[^\W_]|[@$!|+])(?:{_GAP}+[^\s{re.escape(SEPARATORS)}]){{2,}}(?![\w@$|+])")
+_GAPS = re.compile(rf"{_GAP}{{3,}}|\s")
 _EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡¿«»…“”„’–—"
 _RUN = re.compile(r"[^\W\d_]+")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -132,6 +136,24 @@ def decode(noisy: str, cost: np.ndarray, double: float = DROP_DOUBLE) -> str:
     return min((x + (float(cost[a, b, 0]) if b else 0.0), out) for (a, b), (x, out) in states.items())[1].strip()
 
 
+def undouble(word: str, cost: np.ndarray) -> str:
+    """``decode`` of a word of letters without a triple one: as pairs share no trigram, each is decided alone."""
+    drop = []
+    for m in _DOUBLE.finditer(word):
+        i = m.start()
+        a, b, c = (SYMBOL.get(word[k], 1) if 0 <= k < len(word) else 0 for k in (i - 1, i, i + 2))
+        if DROP_DOUBLE + float(cost[a, b, c]) < float(cost[a, b, b]) + float(cost[b, b, c]):
+            drop.append(i)
+    for i in reversed(drop):
+        word = word[:i] + word[i + 1 :]
+    return word
+
+
+def windows(text: str):
+    """The text whole, or in windows that overlap by a word's length."""
+    return [text] if len(text) <= LONGEST else [text[i : i + 5 * LONGEST] for i in range(0, max(1, len(text) - LONGEST), 4 * LONGEST)]
+
+
 class Reader:
     """The words of a text, with those restored from disguise."""
 
@@ -139,17 +161,24 @@ class Reader:
         self.cost = cost
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def decoded(self, noisy: str) -> list[str]:
+        if len(noisy) > LONGEST:
+            noisy = _LONG_RUN.sub(r"\1\1\1", noisy)
+        return [w for part in windows(noisy) for double in (DROP_DOUBLE, 99.0) for w in decode(part, self.cost, double).split()]
+
     def chunk(self, chunk: str) -> tuple[str, ...]:
         core = chunk.strip(_EDGE)
         if core.isalpha() and not _TRIPLE.search(core):
             found = (core,)
+            if _DOUBLE.search(core) and (single := undouble(core, self.cost)) != core:
+                found = (core, single)
         else:
             words = _RUN.findall(core)
-            if words and len(chunk) <= LONGEST and (_TRIPLE.search(core) or len(core) != sum(map(len, words))):
-                words += decode(core, self.cost).split() + decode(core, self.cost, 99.0).split()
+            if words and (_TRIPLE.search(core) or len(core) != sum(map(len, words))):
+                words += self.decoded(core)
             wide = chunk.strip(SEPARATORS + "?")  # signs at a word's edge can be letters too: $tupid
-            if wide != core and len(chunk) <= LONGEST and any(c in LOOKS for c in wide) and any(c.isalpha() for c in wide):
-                words += decode(wide, self.cost).split() + decode(wide, self.cost, 99.0).split()
+            if wide != core and any(c in LOOKS for c in wide) and any(c.isalpha() for c in wide):
+                words += self.decoded(wide)
             found = tuple(dict.fromkeys(words))
         if len(self.known) > CACHE:
             self.known.clear()
@@ -164,10 +193,10 @@ class Reader:
             got = get(c)
             out.update(new(c) if got is None else got)
         for m in _APART.finditer(low):
-            run = m.group()
+            run = _GAPS.sub(lambda g: "  "[: len(g.group())], m.group())
             if len(set(run) - {" "}) > 2:
-                for i in range(0, len(run), 4 * LONGEST):  # windows overlap by a word's length
-                    restored = decode(run[i : i + 5 * LONGEST], self.cost)
+                for part in windows(run):
+                    restored = decode(part, self.cost)
                     out.update(restored.split())
                     out.add(restored.replace(" ", ""))
         return out

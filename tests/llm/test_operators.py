@@ -303,6 +303,40 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.Scorer(none)("anything") == pytest.approx(0, abs=1e-5)
 
 
+@pytest.fixture(scope="module")
+def characters(spark):
+    text = " ".join(["river stone garden window letter music paper silver winter copper stupid idiot"] * 50)
+    return toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
+
+
+def test_doubled_letters_are_decided_as_by_decode(characters):
+    rng = np.random.default_rng(8)
+    words = ["stuupid", "iddiot", "letter", "coopper", "sstupidd", "ßßa", "жжя", "aa"]
+    words += ["".join(rng.choice(list("aestpidu"), 9)) for _ in range(400)]
+    for w in words:
+        if not toxicity._TRIPLE.search(w):
+            assert toxicity.undouble(w, characters) == toxicity.decode(w, characters)
+
+
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [
+        ("river stuupid stone", "stupid"),
+        ("an iddiot", "idiot"),
+        ("st" + "u" * 70 + "pid", "stupid"),
+        ("/".join(["stone", "river", "garden", "window", "letter", "1d10t", "music", "paper", "silver", "winter", "copper", "stone"]), "idiot"),
+        ("-".join(["stone"] * 200 + ["1d10t"] + ["river"] * 200), "idiot"),
+        ("i, d, i, o, t", "idiot"),
+        ("river i  d  i  o  t stone", "idiot"),
+        ("i\td\ti\to\tt", "idiot"),
+        ("i\nd\ni\no\nt", "idiot"),
+        ("an i d i o t, (s/t/u/p/i/d)", "idiot"),
+    ],
+)
+def test_disguise_of_any_length_and_spacing(characters, text, word):
+    assert word in toxicity.Reader(characters).words(text)
+
+
 # 10
 def test_fingerprints(spark, docs, odd, empty):
     con = duckdb.connect()
