@@ -251,11 +251,11 @@ def _logistic(hits: list[list[int]], y: np.ndarray, width: int, ridge: float = 1
     return w
 
 
-def fit(df: DataFrame, labels: DataFrame, max_words: int = 1000, min_docs: int = 3, max_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None) -> dict:
+def fit(df: DataFrame, labels: DataFrame, max_words: int | None = None, min_docs: int = 3, max_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None) -> dict:
     """A model: the character model of all texts, and word weights from the labelled rows for which ``train`` holds.
 
-    Document counts of words cover all these rows. The words are the ``max_words`` most associated with label
-    1 (G-squared of 10.8 or more, in ``min_docs`` documents or more); their weights are fitted on at most
+    Document counts of words cover all these rows. The words are all that are associated with label 1
+    (G-squared of 10.8 or more, in ``min_docs`` documents or more), or the first ``max_words`` of these; their weights are fitted on at most
     ``max_rows`` labelled rows, the first by a hash of their id.
     """
     scratch = Scratch(df.sparkSession, "toxicity")
@@ -273,7 +273,8 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int = 1000, min_docs: int =
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     share = (pos + neg) / (p + n)
     g2 = 2 * (part(pos, share * p) + part(neg, share * n) + part(p - pos, (1 - share) * p) + part(n - neg, (1 - share) * n))
-    words = [r["word"] for r in summed.withColumn("g2", g2).where("g2 >= 10.8").orderBy(F.desc("g2"), "word").limit(max_words).collect()]
+    marked = summed.withColumn("g2", g2).where("g2 >= 10.8").orderBy(F.desc("g2"), "word").select("word")
+    words = [r["word"] for r in (marked if max_words is None else marked.limit(max_words)).collect()]
     index = {w: i for i, w in enumerate(words)}
     chosen = scratch.keep("sample", marks.orderBy(F.xxhash64("key"), "key").limit(max_rows))
     sample = docs.join(F.broadcast(chosen), "key").select("text", "toxic")  # max_rows rows at most

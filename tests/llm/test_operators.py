@@ -303,6 +303,14 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.Scorer(none)("anything") == pytest.approx(0, abs=1e-5)
 
 
+def test_toxic_words_are_not_capped(spark):
+    name = lambda k: "w" + "".join("abcdefghij"[int(c)] for c in f"{k:04}")
+    rows = [(3 * k + j, f"river {name(k)}", 1) for k in range(1200) for j in range(3)] + [(10_000 + k, "river", 0) for k in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {name(k) for k in range(1200)} <= set(model["weights"])
+
+
 @pytest.fixture(scope="module")
 def characters(spark):
     text = " ".join(["river stone garden window letter music paper silver winter copper stupid idiot"] * 50)
