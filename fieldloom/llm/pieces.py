@@ -27,6 +27,7 @@ from fieldloom.llm.store import Scratch
 
 SPACE = "▁"
 LONGEST = 64
+HOT = 20_000  # most frequent words, joined by broadcast; the others have no large share of the rows
 _WORD = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 _BASE = LONGEST + 1
 
@@ -122,23 +123,46 @@ def vocabulary(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _by_document(df: DataFrame, coded: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, w of the rows that have words: each document's words in order, as structs of their place and their columns in ``coded``."""
+    cols = [c for c in coded.columns if c not in ("word", "n")]
+    hot = Scratch(df.sparkSession, "pieces").keep("hot", coded.orderBy(F.desc("n"), "word").limit(HOT))
+    placed = df.select(id_col, F.posexplode(words_of(F.col(text_col))).alias("__at", "word"))
+    often = placed.join(F.broadcast(hot.select("word", *cols)), "word")
+    seldom = placed.join(F.broadcast(hot.select("word")), "word", "left_anti").join(coded.select("word", *cols), "word")
+    rows = often.unionByName(seldom).select(id_col, F.struct("__at", *cols).alias("w"))
+    return rows.groupBy(id_col).agg(F.array_sort(F.collect_list("w")).alias("w"))
+
+
+def _wordless(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.where(F.coalesce(F.length(text_col), F.lit(0)) == 0).select(id_col, F.array().cast("array<int>").alias("ids"))
+
+
 def encode(df: DataFrame, path: str, mode: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids of every row: each document's words, joined to the encoded words. Ids must be unique."""
     coded = Scratch(df.sparkSession, "pieces").keep("words", encode_words(vocabulary(df, text_col), path, mode))
-    placed = df.select(id_col, F.posexplode(words_of(F.col(text_col))).alias("at", "word")).join(coded.select("word", "ids"), "word")
-    got = placed.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("w"))
-    got = got.select(F.col(id_col).alias("__id"), F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
-    out = df.select(id_col).join(got, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    return out.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    got = _by_document(df, coded, id_col, text_col)
+    return got.select(id_col, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids")).unionByName(_wordless(df, id_col, text_col))
+
+
+def round_trip(df: DataFrame, path: str, mode: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids, text of every row: its ids, and what they decode to.
+
+    No piece crosses a word, so a sequence decodes to its words' texts in order; each distinct word's ids are decoded once.
+    """
+    scratch = Scratch(df.sparkSession, "pieces")
+    coded = scratch.keep("words", encode_words(vocabulary(df, text_col), path, mode))
+    coded = scratch.keep("texts", coded.join(decode(coded, path, ["word"], keep_lead=True), "word"))
+    got = _by_document(df, coded, id_col, text_col)
+    text = F.regexp_replace(F.array_join(F.transform("w", lambda x: x["text"]), ""), "^ ", "")
+    got = got.select(id_col, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"), text.alias("text"))
+    return got.unionByName(_wordless(df, id_col, text_col).withColumn("text", F.lit("")))
 
 
 def decoded(pieces: Column) -> Column:
     """The text of an array of (piece, byte) structs; the space before all goes."""
-    raw = F.aggregate(
-        pieces,
-        F.lit("").cast("string"),
-        lambda a, x: F.concat(a, F.when(x["byte"].isNotNull(), F.lpad(F.hex(x["byte"]), 2, "0")).otherwise(F.hex(F.encode(F.replace(x["piece"], F.lit(SPACE), F.lit(" ")), "utf-8")))),
-    )
+    code = lambda x: F.when(x["byte"].isNotNull(), F.lpad(F.hex(x["byte"]), 2, "0")).otherwise(F.hex(F.encode(F.replace(x["piece"], F.lit(SPACE), F.lit(" ")), "utf-8")))
+    raw = F.array_join(F.transform(pieces, code), "")
     return F.decode(F.unhex(raw), "utf-8")
 
 

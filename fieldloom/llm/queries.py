@@ -59,11 +59,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct word of all documents: its occurrences, its ids, and the text that they decode to."""
-    path = vocabulary("piece_bpe_32k.model")
-    coded = Scratch(spark, "pieces").keep("words", pieces.encode_words(pieces.vocabulary(_table(spark, sf_dir, "documents")), path))
-    back = pieces.decode(coded, path, ["word", "n"], keep_lead=True)
-    return coded.join(back, ["word", "n"]).select("word", "n", F.size("ids").alias("n_pieces"), F.array_join("ids", ",").alias("ids"), F.col("text").alias("decoded"))
+    """Every document: its ids, and the digest of the text that they decode to."""
+    back = pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return back.select("doc_id", F.size("ids").alias("n_pieces"), F.array_join("ids", ",").alias("ids"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

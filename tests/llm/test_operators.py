@@ -137,6 +137,22 @@ def test_sentencepiece(spark, docs, odd):
     assert back == {k: t for k, t in texts.items() if t}
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_sentencepiece_query_codes_every_document(spark, docs, monkeypatch, tmp_path, hot):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "HOT", hot)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " "), (-4, " a  b\n\n c "), (-5, "y" * 3000), (-6, "漢字 😀 á"), (-7, "the " * 5000)], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    want = set()
+    for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        ids = sp.encode(r["text"] or "")
+        want.add((r["doc_id"], len(ids), ",".join(map(str, ids)), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    got = queries.op4_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "ids", "decoded_sha256").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_viterbi(spark):
     """The unigram fold against brute force over all segmentations."""
     path = queries.vocabulary("piece_bpe_32k.model")
