@@ -43,10 +43,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_token_counts(spark: SparkSession, sf_dir: str, counters: dict[str, rollup.Counter] | None = None) -> DataFrame:
     """Inserts all documents, revises them to their text without its first line, deletes later copies, repeats the first batch."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    roll = rollup.Rollup(spark, Scratch(spark, "rollup").root)
+    roll = rollup.Rollup(spark, Scratch(spark, "rollup").root, counters)
     first = docs.withColumn("op", F.lit("insert"))
     roll.apply("1-load", first)
     roll.apply("2-headless", docs.withColumns({"op": F.lit("revise"), "text": F.regexp_replace("text", r"^[^\n]*\n", "")}))
@@ -58,6 +58,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
+def op3_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes, counted by the supplied tokenizer too, which is beyond SQL."""
+    return op3_token_counts(spark, sf_dir, rollup.NATIVE | {"word_bpe_49k@1": rollup.bpe(vocabulary())})
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its ids, and the digest of the text that they decode to."""
     back = pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -102,6 +107,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op3_tokenizer_counts": op3_tokenizer_counts,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_media_columns": op5_media_columns,
     "op6_ngram_jaccard": op6_ngram_jaccard,

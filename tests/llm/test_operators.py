@@ -121,6 +121,22 @@ def test_rollup(spark, tmp_path):
     assert [x["n"] for x in n] == [2, 0]
 
 
+def test_tokenizer_counts_are_registered(spark):
+    got = queries.QUERIES["op3_tokenizer_counts"](spark, DIR).collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    assert sorted((r[:] for r in got if not r["version"].startswith("word_bpe")), key=str) == sorted(con.sql(queries.ORACLES["op3_token_counts"]).fetchall(), key=str)
+    ref = tokens.load(queries.vocabulary()).slow
+    want, seen = defaultdict(lambda: [0, 0]), set()
+    for i, source, lang, text in sorted(con.sql("select doc_id, source, lang, text from documents").fetchall()):
+        if text is None or text not in seen:
+            seen.add(text)
+            n = len(ref.encode(re.sub(r"\A[^\n]*\n", "", text or ""), add_special_tokens=False).ids)
+            want[source, lang][0] += 1
+            want[source, lang][1] += n
+    assert {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in got if r["version"] == "word_bpe_49k@1"} == want
+
+
 # 4
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
