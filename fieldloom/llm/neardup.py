@@ -113,7 +113,7 @@ def _profile(batches, words: int, percent: int, spread):
             ids.append(key)
             ns.append(len(s))
             digests.append(d)
-            if len(s) and d not in seen:
+            if len(s) and key is not None and d not in seen:  # a row without a key cannot hold its set
                 seen.add(d)
                 m = [int(s[0]) if not k else int(_mixed(s * _MIX[k]).min()) for k in range(KEYS)]
                 mins.append(np.array(m, np.uint64).view(np.int64))

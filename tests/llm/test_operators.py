@@ -248,6 +248,14 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert kept.count() == len({c for n, c in got.values() if n}) + 2 and set(kept.columns) == set(df.columns)
 
 
+def test_a_row_without_id_hides_no_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(None, text), (1, text), (2, near), (3, "far from the others in all its words")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.jaccard_components(df).where("doc_id is not null").collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_tree_finds_every_pair():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(20)]
