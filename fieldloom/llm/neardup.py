@@ -4,29 +4,31 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Two docu
 ``100 * |x & y| >= percent * |x | y|``. The result is the components of these links; no link between
 different sets is missed, and pairs are never spelled out within a group of copies.
 
-1. ``_profile``: each set's size, 128-bit digest, min-hashes, prefix (enough of its rarest shingles that two
-   linked sets must share one) and token bitmap. Equal sets collapse to one class by digest.
-2. Classes that share a min-hash are verified against the least of them, a star, so families of near copies
-   become components at linear cost.
-3. Classes of different components that share a prefix shingle are a group. Groups with the same members collapse to
-   one. A group's classes form a signature tree, a node of which holds an OR-combined bitmap and a size range; the tree
-   is traversed against itself, node pairs are pruned by the largest overlap that these allow (and where both nodes lie in
-   one component), down to pairs of classes, which are given only where their bitmaps allow a link. A group of more than
-   ``BLOCK`` classes is cut into blocks, and each pair of blocks is traversed on its own.
-4. What is left is verified on the whole sets, the best pair of two components first.
-
-The order of a prefix puts the shingles that recur most (found over all documents) last; any order is
-exact, this one keeps passages that many documents share out of prefixes.
+1. ``_blocks`` and ``_recurrent`` sift. Of n shingles, two linked sets miss at most n - ceil(percent * n / 100) each, so a
+   set with more shingles than that which no other set holds links with nothing. Only hashes of the lower half are
+   tried, of all sets alike, so the same bound holds there; codes of these, packed by block of documents and bucket of
+   codes, meet by bucket, and the counts go back to the block. What is left (a seventh of the test documents) shares most
+   of its text.
+2. ``_sets``: the sets that are left, and min-hashes of them. Classes of equal sets that share a min-hash are verified
+   against the least of them, a star, so families of near copies become components at linear cost.
+3. Each class has a prefix, the rarest shingles of which two linked sets must share one. Classes of different components
+   that share a prefix shingle are a group; overlapping groups are a family.
+4. A family's classes, their sets with them, meet in one task and form a signature tree, a node of which holds an
+   OR-combined bitmap and a size range; the tree is traversed against itself, node pairs are pruned by the largest
+   overlap that these allow (and where both nodes lie in one component), and leaves are compared on whole sets. Of the
+   links found only a spanning forest leaves the task. A family of more than ``bound`` bytes is traversed group by group,
+   and a group of more than that in blocks of like size, each pair of blocks that may hold a link on its own.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; rows with fewer
-words than a shingle have their whole sequence as one; repeated rows are one class; an empty table gives an
-empty result; columns other than id and text are not read. Words are runs of other than ASCII white
-space, A-Z lower-cased.
+words than a shingle have their whole sequence as one; repeated rows are one class; rows without an id keep their size
+and have no component of their own; an empty table gives an empty result; columns other than id and text are not read.
+Words are runs of other than ASCII white space, A-Z lower-cased.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -39,12 +41,13 @@ from fieldloom.llm.components import components
 from fieldloom.llm.ship import pair_shipped, shipped
 from fieldloom.llm.store import Scratch
 
-HEAVY = 200_000  # shingles known as frequent; affects the order of prefixes alone
-BLOCK = 4096  # classes of a group that one traversal takes
 LEAF = 64  # classes below which a tree is not split
 KEYS = 4  # min-hashes
 SMALL = 1_000_000  # ids that are broadcast (16 MB); beyond, the join shuffles
+BOUND = 16 << 20  # bytes of sets that meet in one task of the trees, or in one of two blocks
+PACKED = 1 << 21  # codes that a block holds, and those that a bucket is made for
 _U = np.uint64
+_HALF = _U(1 << 63)
 _MIX = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 
 
@@ -69,122 +72,228 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def _frequent(batches, words: int, least: int, block: int):
-    """(text) to (h, n): shingles that recur among a task's distinct sets."""
-    seen: set[bytes] = set()
-    held, size = [], 0
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s, digest_size=16).digest()
 
-    def out():
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep], pa.int64())], ["h", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            s = shingles(text, words)
-            if len(s) and (d := hashlib.blake2b(s, digest_size=16).digest()) not in seen:
-                seen.add(d)
-                held.append(s)
-                size += len(s)
-                if size > block:
-                    yield out()
-                    held, size = [], 0
-    if held:
-        yield out()
-
-
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Token bits of a set as 64-bit words; a power of two of bits, at least twice the set's size."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(s & _U(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def _profile(batches, words: int, percent: int, spread):
-    heavy, rank = spread.value  # the frequent shingles, sorted, and how often each recurs
+def missable(n: int, percent: int) -> int:
+    """One more than the shingles of a set of n that a linked set may lack."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Small numbers by their bytes' planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+_BLOCKS = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()), ("place", pa.int64()), ("own", pa.int64()), ("bucket", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary())])
+_BLOCKS_SQL = "key long, tag long, n long, digest binary, block long, place long, own long, bucket long, gaps binary, who binary"
+
+
+def _rows(**cols) -> pa.RecordBatch:
+    size = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in _BLOCKS], schema=_BLOCKS)
+
+
+def _blocks(batches, words: int, percent: int, bits: int, buckets: int):
+    """(key, text, tag) to a row of each document and, by block and bucket, the codes of the tried shingles.
+
+    A document's ``own`` is how many of its tried shingles no other document of its block holds, less those that it
+    may lack; a document that a task has seen before has no place. Codes that several documents of a block hold are sent
+    once, without a document.
+    """
+    from pyspark import TaskContext
+
+    part, block = TaskContext.get().partitionId(), 0
     seen: set[bytes] = set()
-    names = ["key", "n", "digest", "mins", "prefix", "bits"]
+    edges = np.arange(1, buckets, dtype=np.uint64) * _U((1 << bits) // buckets)
+    held: dict[str, list] = {"key": [], "tag": [], "n": [], "digest": [], "codes": [], "lack": []}
+
+    def out(number: int):
+        codes, sizes = np.concatenate(held["codes"]), np.array([len(c) for c in held["codes"]])
+        who = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(codes, kind="stable")
+        codes, who = codes[order], who[order]
+        change = codes[1:] != codes[:-1]
+        first, alone = np.ones((2, len(codes)), bool)
+        first[1:] = change
+        alone[:-1] = change
+        alone &= first
+        own = np.bincount(who[alone], minlength=len(sizes)) - np.array(held["lack"])
+        size = len(sizes)
+        yield _rows(**{k: held[k] for k in ("key", "tag", "n", "digest")}, block=np.full(size, number), place=np.arange(size), own=own)
+        codes, who = codes[first], np.where(alone, who, size)[first]
+        cut = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
+        spans = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+        yield _rows(block=[number] * len(spans), bucket=[k for k, _, _ in spans], gaps=[_pack(np.diff(codes[lo:hi], prepend=_U(0))) for _, lo, hi in spans], who=[_pack(who[lo:hi]) for _, lo, hi in spans])
+
+    total = 0
     for batch in batches:
-        ids, ns, digests, mins, prefixes, bits = [], [], [], [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        again: dict[str, list] = {"key": [], "tag": [], "n": [], "digest": []}
+        for key, text, tag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             s = shingles(text, words)
-            d = hashlib.blake2b(s, digest_size=16).digest()
-            ids.append(key)
-            ns.append(len(s))
-            digests.append(d)
-            if len(s) and key is not None and d not in seen:  # a row without a key cannot hold its set
-                seen.add(d)
-                m = [int(s[0]) if not k else int(_mixed(s * _MIX[k]).min()) for k in range(KEYS)]
-                mins.append(np.array(m, np.uint64).view(np.int64))
-                at = np.searchsorted(heavy, s)
-                at[at == len(heavy)] = 0
-                order = np.where(heavy[at] == s, rank[at], 0) if len(heavy) else np.zeros(len(s), np.int64)
-                first = len(s) - -(-percent * len(s) // 100) + 1
-                prefixes.append(s[np.argsort(order, kind="stable")[:first]].view(np.int64))
-                bits.append(bitmap(s).tobytes())
-            else:
-                mins.append(None)
-                prefixes.append(None)
-                bits.append(None)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(mins, longs), pa.array(prefixes, longs), pa.array(bits, pa.binary())], names)
-
-
-def _verify(pairs: pd.DataFrame, texts: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """The pairs (a, b) of one deal that link, by the whole sets of its texts (id2, text)."""
-    sets: dict[int, np.ndarray] = {}
-    for i, text in texts[["id2", "text"]].itertuples(index=False):
-        sets[i] = shingles(text, words)
-    found = []
-    for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
-        s, t = sets[a], sets[b]
-        if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-            continue
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        if both and 100 * both >= percent * (len(s) + len(t) - both):
-            found.append((a, b))
+            d = _digest(s)
+            row = {"key": key, "tag": tag, "n": len(s), "digest": d}
+            if not len(s) or key is None or d in seen:
+                for k, v in row.items():
+                    again[k].append(v)
+                continue
+            seen.add(d)
+            lack = missable(len(s), percent)
+            tried = s[: np.searchsorted(s, _HALF)]
+            for k, v in (row | {"codes": _mixed(tried * _MIX[1]) >> _U(64 - bits), "lack": lack}).items():
+                held[k].append(v)
+            total += len(tried)
+            if total > PACKED:
+                yield from out((part << 32) + block)
+                block, total = block + 1, 0
+                held = {k: [] for k in held}
+        if again["key"]:
+            yield _rows(**again)
+    if held["key"]:
+        yield from out((part << 32) + block)
+
+
+def _recurrent(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket, by block the documents (once for each code) whose code another block holds too."""
+    codes = [np.cumsum(_unpack(g), dtype=np.uint64) for g in pdf["gaps"]]
+    whole = np.concatenate(codes)
+    order = np.argsort(whole, kind="stable")
+    ordered = whole[order]
+    same = ordered[1:] == ordered[:-1]
+    shared = np.zeros(len(whole), bool)
+    shared[order] = np.append(same, False) | np.append(False, same)
+    rows, at = [], 0
+    for block, who, c in zip(pdf["block"], pdf["who"], codes, strict=True):
+        hit = _unpack(who)[shared[at : at + len(c)]]
+        at += len(c)
+        if len(hit):
+            rows.append((block, _pack(hit)))
+    return pd.DataFrame(rows, columns=["block", "hits"]).astype({"block": "int64"})
+
+
+def _left(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one block that may link."""
+    own = np.zeros(len(docs) + 1, np.int64)
+    own[docs["place"].to_numpy()] = docs["own"].to_numpy()
+    for h in hits["hits"]:
+        own -= np.bincount(_unpack(h).astype(np.int64), minlength=len(own))
+    return docs.loc[own[docs["place"].to_numpy()] < 0, ["digest"]]
+
+
+def _sets(batches, words: int):
+    """(key, text) to key, digest, set, min-hashes."""
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        mins = [[int(s[0]) if not k else int(_mixed(s * _MIX[k]).min()) for k in range(KEYS)] if len(s) else [] for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], longs), pa.array([np.array(m, np.uint64).view(np.int64) for m in mins], longs)],
+            ["key", "digest", "set", "mins"],
+        )
+
+
+def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return bool(both) and 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _verify(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs (a, b) of one deal that link, by their whole sets."""
+    of = {i: s for i, s in zip(sets["id"], sets["set"], strict=True)}
+    found = [(a, b) for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False) if _links(of[a], of[b], percent)]
     return pd.DataFrame(found, columns=["u", "v"]).astype({"u": "int64", "v": "int64"})
 
 
-def _matrix(bits: list[bytes], width: int) -> np.ndarray:
-    """Bitmaps of up to ``width`` words, narrower ones tiled: their bit i then stands for i modulo their own width."""
-    return np.stack([np.tile(b := np.frombuffer(x, np.uint64), width // len(b)) for x in bits])
+class Forest:
+    """Components under links."""
+
+    def __init__(self, labels):
+        self.up = {int(c): int(c) for c in labels}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False if both were in one component."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
 class Tree:
     """Classes in the order of large components, then size; a node holds the OR of its bitmaps, its size range, the most
     shingles of a class that share bits, and its component if it lies in one."""
 
-    def __init__(self, ids, comp, n, bits, width: int):
+    def __init__(self, ids, comp, sets, bits: int):
+        n = np.array([len(s) for s in sets])
         _, where, count = np.unique(comp, return_inverse=True, return_counts=True)
         order = np.lexsort((ids, n, np.where(count[where] > 1, comp, -1)))
-        self.ids, self.comp, self.n = ids[order], comp[order], n[order]
-        self.own = np.array([len(b) * 8 for b in bits])[order] == width * 64  # bitmaps of full width
-        self.bits = _matrix([bits[k] for k in order], width)
-        self.excess = np.where(self.own, self.n - np.bitwise_count(self.bits).sum(1), 0)
+        self.ids, self.comp, self.n, self.sets = ids[order], comp[order], n[order], [sets[k] for k in order]
+        self.bits = np.stack([bitmap(s, bits) for s in self.sets])
+        self.excess = self.n - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
         self.nodes: dict[tuple[int, int], tuple] = {}
 
     def node(self, i: int, j: int) -> tuple:
         if (i, j) not in self.nodes:
-            whole, one = bool(self.own[i:j].all()), bool((self.comp[i:j] == self.comp[i]).all())
-            n = self.n[i:j]
-            self.nodes[i, j] = (np.bitwise_or.reduce(self.bits[i:j]), int(n.min()), int(n.max()), int(self.excess[i:j].max()) if whole else None, int(self.comp[i]) if one else None)
+            n, one = self.n[i:j], bool((self.comp[i:j] == self.comp[i]).all())
+            self.nodes[i, j] = (np.bitwise_or.reduce(self.bits[i:j]), int(n.min()), int(n.max()), int(self.excess[i:j].max()), int(self.comp[i]) if one else None)
         return self.nodes[i, j]
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Token bits of a set as 64-bit words; ``bits`` is a power of two, 64 at least."""
+    on = np.zeros(bits, np.uint8)
+    on[(s.view(np.uint64) & _U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little").view(np.uint64)
+
+
 def most(x: tuple, y: tuple) -> int:
     """The largest overlap that two nodes allow."""
     shared = int(np.bitwise_count(x[0] & y[0]).sum())
-    return min([x[2], y[2], *(shared + e[3] for e in (x, y) if e[3] is not None)])
+    return min(x[2], y[2], shared + min(x[3], y[3]))
 
 
-def _may(overlap: int, least_total: int, percent: int) -> bool:
+def _may(overlap, least_total, percent: int):
     return (100 + percent) * overlap >= percent * least_total
 
 
-def traverse(x: Tree, y: Tree, percent: int):
-    """Pairs (row of x, row of y, largest overlap) of different components that may link; of one tree, each pair once."""
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Exact overlaps of all sets of x with all sets of y."""
+    sets = [*x, *y]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[col] > 1
+    place = np.cumsum(count > 1) - 1
+    row, col = row[keep], place[col[keep]]
+    out = np.zeros((len(x), len(y)), np.int64)
+    order = np.argsort(col, kind="stable")
+    row, col, wide = row[order], col[order], 1 << 14
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, wide):  # so many shingles at once
+        i, j = np.searchsorted(col, [lo, lo + wide])
+        there = np.zeros((len(sets), wide), np.float32)
+        there[row[i:j], col[i:j] - lo] = 1
+        out += (there[: len(x)] @ there[len(x) :].T).astype(np.int64)
+    return out
+
+
+def traverse(x: Tree, y: Tree, percent: int, forest: Forest):
+    """Links (id of x, id of y) between components, which they join in ``forest``."""
     same = x is y
     stack = [((0, len(x.ids)), (0, len(y.ids)))]
     while stack:
@@ -197,15 +306,7 @@ def traverse(x: Tree, y: Tree, percent: int):
         if 100 * a[2] < percent * b[1] or 100 * b[2] < percent * a[1] or not _may(most(a, b), a[1] + b[1], percent):
             continue
         if p[1] - p[0] <= LEAF and q[1] - q[0] <= LEAF:
-            shared = np.bitwise_count(x.bits[p[0] : p[1], None] & y.bits[None, q[0] : q[1]]).sum(2).astype(np.int64)
-            nx, ny = x.n[p[0] : p[1], None], y.n[None, q[0] : q[1]]
-            top = np.minimum(nx, ny)
-            for own, excess in ((x.own[p[0] : p[1], None], x.excess[p[0] : p[1], None]), (y.own[None, q[0] : q[1]], y.excess[None, q[0] : q[1]])):
-                top = np.where(own, np.minimum(top, shared + excess), top)
-            may = ((100 + percent) * top >= percent * (nx + ny)) & (x.comp[p[0] : p[1], None] != y.comp[None, q[0] : q[1]])
-            for i, j in zip(*np.nonzero(may), strict=True):
-                if not same or p[0] + i < q[0] + j:
-                    yield p[0] + int(i), q[0] + int(j), int(top[i, j])
+            yield from _leaves(x, y, p, q, percent, forest)
         elif p[1] - p[0] >= q[1] - q[0]:
             mid = (p[0] + p[1]) // 2
             stack += [((p[0], mid), q), ((mid, p[1]), q)]
@@ -214,53 +315,39 @@ def traverse(x: Tree, y: Tree, percent: int):
             stack += [(p, (q[0], mid)), (p, (mid, q[1]))]
 
 
-def _dual(pdf: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Groups (h, i, j) of classes, each dealt to block i or j, with their sizes and bitmaps, to candidate pairs of classes."""
-    found: dict[tuple[int, int], float] = {}
-    col = {c: pdf[c].to_numpy() for c in ("h", "i", "j", "block", "id", "comp")}
-    sets = sets.sort_values("id", ignore_index=True)
-    at = np.searchsorted(sets["id"].to_numpy(), col["id"])
-    col |= {"n": sets["n"].to_numpy()[at] if len(at) else np.zeros(0, np.int64), "bits": sets["bits"].to_numpy()[at] if len(at) else np.zeros(0, object)}
-    order = np.lexsort((col["id"], col["block"], col["j"], col["i"], col["h"]))
-    col = {c: v[order] for c, v in col.items()}
-    cut = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
-    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
-        if hi - lo == 2 and col["i"][lo] == col["j"][lo]:
-            _pair(col, lo, percent, found)
-            continue
-        if hi == lo:
-            continue
-        width = max(map(len, col["bits"][lo:hi])) // 8
-        ends = [lo, hi] if col["i"][lo] == col["j"][lo] else [lo, lo + int(np.searchsorted(col["block"][lo:hi], col["j"][lo])), hi]
-        spans = list(zip(ends[:-1], ends[1:], strict=True))
-        if any(a == b for a, b in spans):
-            continue
-        trees = [Tree(col["id"][a:b], col["comp"][a:b], col["n"][a:b], col["bits"][a:b], width) for a, b in spans]
-        x, y = trees[0], trees[-1]
-        for r, c, t in traverse(x, y, percent):
-            a, b = int(x.ids[r]), int(y.ids[c])
-            key = (min(a, b), max(a, b))
-            bound = t / float(x.n[r] + y.n[c] - t)
-            found[key] = min(bound, found.get(key, bound))
-    deal = int(pdf["deal"].iloc[0]) if len(pdf) else 0
-    out = pd.DataFrame([(deal, a, b, v) for (a, b), v in found.items()], columns=["deal", "a", "b", "bound"])
-    return out.astype({"deal": "int64", "a": "int64", "b": "int64", "bound": "float64"})
-
-
-def _pair(col: dict, k: int, percent: int, found: dict) -> None:
-    """A group of two classes: two leaves and no tree above them."""
-    n, m = int(col["n"][k]), int(col["n"][k + 1])
-    if col["comp"][k] == col["comp"][k + 1] or 100 * min(n, m) < percent * max(n, m):
+def _leaves(x: Tree, y: Tree, p: tuple, q: tuple, percent: int, forest: Forest):
+    shared = np.bitwise_count(x.bits[p[0] : p[1], None] & y.bits[None, q[0] : q[1]]).sum(2, dtype=np.int64)
+    nx, ny = x.n[p[0] : p[1], None], y.n[None, q[0] : q[1]]
+    top = np.minimum(np.minimum(nx, ny), shared + np.minimum(x.excess[p[0] : p[1], None], y.excess[None, q[0] : q[1]]))
+    roots = [np.array([forest.find(int(c)) for c in t.comp[r[0] : r[1]]]) for t, r in ((x, p), (y, q))]
+    may = _may(top, nx + ny, percent) & (roots[0][:, None] != roots[1][None])
+    if x is y:
+        may &= np.arange(*p)[:, None] < np.arange(*q)[None]
+    i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(i):
         return
-    x, y = col["bits"][k], col["bits"][k + 1]
-    width = max(len(x), len(y))
-    own = [(len(b) == width, size, int.from_bytes(b)) for b, size in ((x, n), (y, m))]
-    a, b = (int.from_bytes(z * (width // len(z))) for z in (x, y))
-    shared = (a & b).bit_count()
-    top = min([n, m, *(shared + size - bits.bit_count() for full, size, bits in own if full)])
-    if _may(top, n + m, percent):
-        key = (int(col["id"][k]), int(col["id"][k + 1]))
-        found[key] = min(top / (n + m - top), found.get(key, 1.0))
+    both = overlaps([x.sets[p[0] + k] for k in i], [y.sets[q[0] + k] for k in j])
+    found = may[np.ix_(i, j)] & (both > 0) & _may(both, (nx + ny)[np.ix_(i, j)], percent)
+    for r, c in zip(*np.nonzero(found), strict=True):
+        r, c = p[0] + i[r], q[0] + j[c]
+        if forest.join(int(x.comp[r]), int(y.comp[c])):
+            yield int(x.ids[r]), int(y.ids[c])
+
+
+def _dual(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Units (unit, i, j) of classes, each in block i or j, with their sets, to links."""
+    found: set[tuple[int, int]] = set()
+    of = dict(zip(sets["id"], sets["set"], strict=True))
+    for (_, i, j), unit in rows.groupby(["unit", "i", "j"], sort=True):
+        parts = [unit] if i == j else [unit[unit["block"] == k] for k in (i, j)]
+        if any(not len(p) for p in parts):
+            continue
+        mean = sum(len(of[k]) for k in unit["id"]) / len(unit)
+        bits = 1 << max(6, math.ceil(math.log2(4 * mean)))
+        trees = [Tree(p["id"].to_numpy(), p["comp"].to_numpy(), [of[k] for k in p["id"]], bits) for p in parts]
+        for a, b in traverse(trees[0], trees[-1], percent, Forest(unit["comp"].unique())):
+            found.add((min(a, b), max(a, b)))
+    return pd.DataFrame(sorted(found), columns=["u", "v"]).astype({"u": "int64", "v": "int64"})
 
 
 def _second(both, name: str, last: tuple):
@@ -270,121 +357,148 @@ def _second(both, name: str, last: tuple):
 class Join:
     """One run of the join over a table."""
 
-    def __init__(self, df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"):
-        self.words, self.percent = words, percent
+    def __init__(self, df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND):
+        self.words, self.percent, self.bound = words, percent, bound
         self.docs = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
         self.scratch = Scratch(df.sparkSession, "neardup")
 
-    def near(self, ids: DataFrame, n: int) -> DataFrame:
-        """Whole texts of the classes in ``ids`` (key), ``n`` of them."""
-        rows = self.docs.where("text is not null and key is not null")
-        return rows.join(F.broadcast(ids) if n <= SMALL else ids, "key", "left_semi").dropDuplicates(["key"])
-
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (deal, a, b) that link, as (u, v), kept in the scratch folder.
-
-        A deal is a set of pairs that share texts; each of its texts is sent once.
-        """
-        pairs = self.scratch.keep(f"{name}-pairs", pairs.select("deal", "a", "b").distinct())
-        need = self.scratch.keep(f"{name}-need", pairs.select("deal", F.explode(F.array("a", "b")).alias("key")).distinct())
-        ids = self.scratch.keep(f"{name}-ids", need.select("key").distinct())
-        texts = need.join(self.near(ids, ids.count()), "key").select(F.col("deal").alias("deal2"), F.col("key").alias("id2"), "text")
-        both = pairs.groupBy("deal").cogroup(texts.groupBy("deal2"))
-        links = both.applyInPandas(pair_shipped(__name__, "_verify", self.words, self.percent), "u long, v long")
-        links = self.scratch.keep(f"{name}-links", links)
-        self.scratch.drop(f"{name}-pairs", f"{name}-need", f"{name}-ids")
-        return links
+    def small(self, ids: DataFrame) -> DataFrame:
+        """``ids`` to broadcast if there are few."""
+        return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+    def deals(self, total: int | None) -> int:
+        return max(1, -(-int(total or 0) // self.bound))
 
     def labelled(self, classes: DataFrame, comps: DataFrame) -> DataFrame:
-        n = comps.count()
-        found = comps.withColumnRenamed("id", "cid")
-        out = classes.join(F.broadcast(found) if n <= SMALL else found, classes["id"] == found["cid"], "left").drop("cid")
+        found = self.small(comps.withColumnRenamed("id", "cid"))
+        out = classes.join(found, classes["id"] == found["cid"], "left").drop("cid")
         return out.withColumn("comp", F.coalesce("comp", "id"))
 
     def fits(self, x: Column, y: Column) -> Column:
         return (100 * F.least(x, y)) >= self.percent * F.greatest(x, y)
 
+    def sifted(self) -> tuple[DataFrame, DataFrame]:
+        """(key, tag, n, digest) of every row; the digests of sets that may link."""
+        s = self.scratch
+        chars = self.docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        codes = max(1, chars // 12)  # about half the words
+        buckets, bits = max(16, -(-codes // PACKED)), min(62, math.ceil(math.log2(codes)) + 10)
+        rows = self.docs.select("key", "text", F.xxhash64("text").alias("tag"))
+        packed = s.keep("packed", rows.mapInArrow(shipped(__name__, "_blocks", self.words, self.percent, max(bits, 24), buckets), _BLOCKS_SQL))
+        hits = packed.where("bucket is not null").select("bucket", "block", "gaps", "who").groupBy("bucket").applyInPandas(shipped(__name__, "_recurrent"), "block long, hits binary")
+        placed = packed.where("place is not null").select("block", "place", "own", "digest")
+        left = placed.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(pair_shipped(__name__, "_left"), "digest binary")
+        left = s.keep("left", left.distinct())
+        members = s.keep("members", packed.where("bucket is null").select("key", "tag", "n", "digest"))
+        s.drop("packed")
+        return members, left
+
+    def sent(self, name: str, ids: DataFrame, classes: DataFrame) -> DataFrame:
+        """(deal, id, set): each deal gets each of its sets once."""
+        return classes.select("id", "set").join(self.small(self.scratch.keep(name, ids.distinct())), "id")
+
     def run(self) -> DataFrame:
-        """(key, n_shingles, comp) of every document."""
-        s, ship = self.scratch, lambda f, *a: shipped(__name__, f, *a)
-        spark = s.spark
-        text = self.docs.where("text is not null").select("text")
-        often = text.mapInArrow(ship("_frequent", self.words, 8, 2_000_000), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        top = often.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()  # at most HEAVY rows of 16 bytes
-        h, rank = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-        by = np.argsort(h)
-        spread = spark.sparkContext.broadcast((h[by], rank[by]))
-        prof = self.docs.mapInArrow(
-            ship("_profile", self.words, self.percent, spread),
-            "key long, n long, digest binary, mins array<long>, prefix array<long>, bits binary",
-        )
-        prof = s.keep("profiles", prof)
-        members = s.keep("members", prof.select("key", "n", "digest"))
-        # one holder of each set: a row that has its prefix, under the smallest id of all copies
+        """(key, tag, n_shingles, comp) of every document."""
+        s = self.scratch
+        members, left = self.sifted()
         held = members.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("id"))
-        holders = prof.where("prefix is not null and key is not null").groupBy("digest").agg(F.min("key").alias("key"))
-        holders = s.keep("holders", holders.join(held, "digest").select("key", "id"))
-        small = holders.count() <= SMALL
-        classes = prof.where("prefix is not null").drop("digest").join(F.broadcast(holders) if small else holders, "key")
+        # one row of each set, that with the smallest id of all copies
+        active = self.small(s.keep("active", held.join(left, "digest", "left_semi")))
+        rows = self.docs.where("text is not null").join(active.select(F.col("id").alias("key")), "key", "left_semi")
+        rows = rows.mapInArrow(shipped(__name__, "_sets", self.words), "key long, digest binary, set array<long>, mins array<long>")
+        rows = rows.join(active.withColumnRenamed("id", "key"), ["key", "digest"], "left_semi")
+        sets = rows.groupBy("digest").agg(F.first("key").alias("id"), F.first("set").alias("set"), F.first("mins").alias("mins"))
+        classes = s.keep("classes", sets.select("id", F.size("set").cast("long").alias("n"), "set", "mins"))
 
         keyed = classes.select("id", "n", F.posexplode("mins").alias("k", "m"))
         stars = keyed.groupBy("k", "m").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
         near = keyed.join(stars, ["k", "m"]).where(F.col("id") != F.col("lead.id")).where(self.fits(F.col("n"), F.col("lead.n")))
-        near = near.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.ceil(F.col("size") / 256).alias("salts"))
+        near = near.groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.max(F.ceil(F.col("size") / 256)).alias("salts"), F.max(8 * F.col("n")).alias("bytes"))
         near = s.keep("near", near)
-        deals = max(1, -(-near.count() // 2000))
-        deal = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(deals))
-        links = self.verified(near.select(deal.alias("deal"), "a", "b"), "stars")
-        comps = components(links, s, "cc-a")
-
-        # groups: shingles that classes of different components have in their prefixes
-        whole = self.labelled(classes.select("id", "n", "prefix"), comps)
-        rows = whole.select("id", "comp", F.explode("prefix").alias("h"))
-        over = Window.partitionBy("h")
-        mixed = rows.withColumns({"lo": F.min("comp").over(over), "hi": F.max("comp").over(over)}).where("lo < hi").select("h", "id", "comp")
-        mixed = s.keep("mixed", mixed)
-        # of groups with the same members one is enough
-        sets = mixed.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
-        one = s.keep("groups", sets.groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "least")).alias("g")).select("g.h", "g.least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        kept = mixed.join(one, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        kept = kept.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        kept = kept.withColumns({"i": F.least("block", "peer"), "j": F.greatest("block", "peer")})
-        # groups are dealt by their least member, so those of one family meet (a quarter each) and share its bitmaps
-        deals = max(1, -(-mixed.count() // 20_000))
-        kept = kept.withColumn("deal", F.pmod(F.xxhash64("least", F.pmod("h", F.lit(4))), F.lit(deals))).select("deal", "h", "i", "j", "block", "id", "comp")
-        kept = s.keep("dealt", kept)
-        bits = s.keep("wanted", kept.select("deal", "id").distinct()).join(classes.select("id", "n", "bits"), "id")
-        found = kept.groupBy("deal").cogroup(bits.groupBy("deal")).applyInPandas(pair_shipped(__name__, "_dual", self.percent), "deal long, a long, b long, bound double")
-        found = s.keep("candidates", found)
-        found = found.groupBy("a", "b").agg(F.min("bound").alias("bound"), F.min("deal").alias("deal"))
-
-        # the best pair of two components first, then all pairs whose components still differ
-        for step in ("best", "rest"):
-            n = comps.count()
-            lab = lambda c, k: c.join((F.broadcast if n <= SMALL else lambda d: d)(comps.toDF(k, f"comp_{k}")), k, "left").withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", k))  # noqa: E731, B023
-            open_ = lab(lab(found, "a"), "b").where("comp_a <> comp_b")
-            if step == "best":
-                open_ = open_.groupBy(F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y")).agg(F.max(F.struct("bound", "a", "b", "deal")).alias("t")).select("t.deal", "t.a", "t.b")
-            else:
-                open_ = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            tried = s.keep(f"tried-{step}", open_.select("deal", "a", "b"))
-            if tried.isEmpty():
-                break
-            links = s.keep(f"links-{step}", links.unionByName(self.verified(tried, step)))
-            comps = components(links, s, f"cc-{step}")
+        deals = self.deals(near.agg(F.sum("bytes")).first()[0])
+        pairs = near.select(F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(deals)).alias("deal"), "a", "b")
+        wanted = self.sent("near-ids", pairs.select("deal", F.explode(F.array("a", "b")).alias("id")), classes)
+        links = pairs.groupBy("deal").cogroup(wanted.groupBy("deal")).applyInPandas(pair_shipped(__name__, "_verify", self.percent), "u long, v long")
+        links = s.keep("links-stars", links)
+        comps = components(links, s, "cc-stars")
+
+        kept = self.units(self.groups(classes, comps))
+        wanted = self.sent("tree-ids", kept.select("deal", "id"), classes)
+        more = kept.groupBy("deal").cogroup(wanted.groupBy("deal")).applyInPandas(pair_shipped(__name__, "_dual", self.percent), "u long, v long")
+        more = s.keep("links-trees", more)
+        if not more.isEmpty():
+            comps = components(links.unionByName(more), s, "cc-trees")
         final = self.labelled(held, comps).select("digest", "comp")
-        return members.select("key", "digest", F.col("n").alias("n_shingles")).join(final, "digest", "left").select("key", "n_shingles", F.coalesce("comp", "key").alias("comp"))
-
-
-def jaccard_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return members.select("key", "tag", "digest", F.col("n").alias("n_shingles")).join(final, "digest", "left").select("key", "tag", "n_shingles", F.coalesce("comp", "key").alias("comp"))
+
+    def groups(self, classes: DataFrame, comps: DataFrame) -> DataFrame:
+        """(h, id, n, comp, least) of the classes of different components that share a prefix shingle h; of groups with the same members, one."""
+        s = self.scratch
+        rows = classes.select("id", "n", F.explode("set").alias("h"))
+        often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        # from the end of a set's order by frequency, what is beyond those that a linked set must hold is in its prefix
+        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("h")))
+        prefix = rows.join(often, "h").withColumn("last", last).where(F.col("last") * 100 >= F.col("n") * self.percent).select("h", "id", "n")
+        prefix = s.keep("prefixes", self.labelled(prefix, comps))
+        tally = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
+        one = tally.where("lo < hi").groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "least")).alias("g")).select("g.h", "g.least")
+        return s.keep("groups", prefix.join(one, "h"))
+
+    def units(self, groups: DataFrame) -> DataFrame:
+        """(deal, unit, i, j, block, id, comp): families, or their groups or pairs of blocks of these, of bounded size."""
+        s = self.scratch
+        edges = groups.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+        family = components(edges, s, "families").withColumnsRenamed({"id": "fid", "comp": "family"})
+        classes = groups.select("id", "n", "comp").distinct()
+        one = s.keep("members-of-families", classes.join(family, classes["id"] == family["fid"]).drop("fid"))
+        sizes = s.keep("families", one.groupBy("family").agg(F.sum(8 * F.col("n")).alias("bytes")))
+        total, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+        deals = self.deals(total)
+        flat = lambda df, unit: df.select(F.col(unit).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "id", "comp")
+        if (largest or 0) <= self.bound:
+            return s.keep("units", flat(one, "family").withColumn("deal", F.pmod(F.xxhash64("unit"), F.lit(deals))))
+        large = sizes.where(F.col("bytes") > self.bound)
+        whole = flat(one.join(large, "family", "left_anti"), "family")
+        rest = groups.join(one.join(large, "family", "left_semi").select("id"), "id", "left_semi")
+        # blocks of a group: classes of like size, and a component that alone is too much for one apart
+        rest = rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
+        parts = rest.groupBy("h", "band", "comp").agg(F.sum(8 * F.col("n")).alias("bytes"))
+        parts = parts.withColumn("pure", F.when(F.col("bytes") > self.bound, F.col("comp"))).withColumn("pool", F.coalesce("pure", F.lit(-1)))
+        cells = parts.groupBy("h", "band", "pool").agg(F.ceil(F.sum("bytes") / self.bound).cast("int").alias("subs"))
+        subs = parts.select("h", "band", "comp", "pool").join(cells, ["h", "band", "pool"])
+        rest = rest.join(subs, ["h", "band", "comp"]).withColumn("block", F.xxhash64("band", "pool", F.pmod(F.xxhash64("id"), F.col("subs"))))
+        rest = s.keep("blocks", rest.select("h", "id", "comp", "n", "band", "pool", "block"))
+        nodes = s.keep("block-nodes", rest.groupBy("h", "block", "band", "pool").agg(F.sum(8 * F.col("n")).alias("bytes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+        y = nodes.select("h", F.col("block").alias("j"), F.col("band").alias("jband"), F.col("lo").alias("jlo"), F.col("hi").alias("jhi"), F.col("bytes").alias("jbytes"))
+        twos = nodes.join(y, "h").where("block <= j and abs(band - jband) <= 1 and not (lo = hi and jlo = jhi and lo = jlo)")
+        twos = s.keep("block-pairs", twos.select("h", F.col("block").alias("i"), "j", (F.col("bytes") + F.col("jbytes")).alias("bytes")))
+        many = self.deals(twos.agg(F.sum("bytes")).first()[0])
+        ends = twos.select("h", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        cut = rest.join(ends, ["h", "block"]).select(F.col("h").alias("unit"), "i", "j", "block", "id", "comp", F.pmod(F.xxhash64("h", "i", "j"), F.lit(many)).alias("deal"))
+        whole = whole.select("unit", *[F.col(c).cast("long").alias(c) for c in ("i", "j", "block")], "id", "comp", (-1 - F.pmod(F.xxhash64("unit"), F.lit(deals))).alias("deal"))
+        return s.keep("units", whole.unionByName(cut))
+
+
+def jaccard_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> DataFrame:
     """id, n_shingles, component_id (the smallest linked id, itself included) of every row. Ids are integers."""
-    out = Join(df, words, percent, id_col, text_col).run()
+    out = Join(df, words, percent, id_col, text_col, bound).run()
     return out.select(F.col("key").alias(id_col), "n_shingles", F.col("comp").alias("component_id"))
 
 
 def representatives(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest; all columns stay. Rows without words stay."""
-    comp = jaccard_components(df, words, percent, id_col, text_col)
-    drop = comp.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    drop = Scratch(df.sparkSession, "neardup").keep("dropped", drop)
-    return df.join(F.broadcast(drop) if drop.count() <= SMALL else drop, id_col, "left_anti")
+    """One row of each component, the one with the smallest id (and, where rows share an id, the least hash of a text); all
+    columns stay. Rows without words or without an id stay. A row that repeats with its id and text is one document."""
+    join = Join(df, words, percent, id_col, text_col)
+    s = join.scratch
+    rows = s.keep("labelled", join.run().where("n_shingles > 0 and key is not null").select("key", "tag", "comp"))
+    best = rows.groupBy("comp").agg(F.min(F.struct("key", "tag")).alias("best"))
+    drop = rows.join(best, "comp").where("key <> best.key or tag <> best.tag").select("key", "tag").distinct()
+    drop = s.keep("dropped", drop.select(F.col("key").alias("__key"), F.col("tag").alias("__tag")))
+    twice = s.keep("twice", rows.groupBy("key", "tag").count().where("count > 1").select(F.col("key").alias("__key"), F.col("tag").alias("__tag")))
+    on = lambda other: (F.col(id_col).cast("long") == other["__key"]) & (F.xxhash64(text_col) == other["__tag"])
+    out = df.join(join.small(drop), on(drop), "left_anti")
+    if twice.isEmpty():
+        return out
+    many = join.small(twice)
+    once = out.join(many, on(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(many, on(twice), "left_anti").unionByName(once)

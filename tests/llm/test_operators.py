@@ -205,8 +205,14 @@ def test_media(spark, docs, odd, empty):
 
 
 # 6
+def plain_shingles(text):
+    """Sets of word tuples, without the operator's hashes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
 def brute_components(texts):
-    sets = {k: set(neardup.shingles(t).tolist()) for k, t in texts.items()}
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
     parent = {k: k for k in sets}
 
     def find(x):
@@ -224,9 +230,9 @@ def brute_components(texts):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-@pytest.mark.parametrize("block", [4096, 4])
-def test_near_duplicates(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize(("bound", "packed"), [(neardup.BOUND, neardup.PACKED), (1200, 300)])
+def test_near_duplicates(spark, monkeypatch, bound, packed):
+    monkeypatch.setattr(neardup, "PACKED", packed)
     rng = np.random.default_rng(2)
     vocab = [f"w{k}" for k in range(400)]
     texts = {}
@@ -237,17 +243,23 @@ def test_near_duplicates(spark, monkeypatch, block):
             for _ in range(copy):
                 t[rng.integers(len(t))] = rng.choice(vocab)
             texts[len(texts)] = " ".join(t)
-    shared = " ".join(rng.choice(vocab, 30))
-    for k in range(30):
-        texts[len(texts)] = shared + " " + " ".join(rng.choice(vocab, 8))
+    shared = " ".join(rng.choice(vocab, 40))
+    for k in range(40):
+        texts[len(texts)] = shared + " " + " ".join(rng.choice(vocab, 1 + k % 13))
     texts |= {len(texts) + k: t for k, t in enumerate(["", None, "one two", "ONE\ttwo", "one two three", "a b c d e", "A b c d e"])}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.jaccard_components(df).collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.jaccard_components(df, bound=bound).collect()}
     assert got == brute_components(texts)
     kept = neardup.representatives(df)
     assert kept.count() == len({c for n, c in got.values() if n}) + 2 and set(kept.columns) == set(df.columns)
 
 
+def test_near_duplicates_of_real_texts(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.jaccard_components(docs).collect()}
+    assert got == brute_components(texts)
+
+
 def test_a_row_without_id_hides_no_links(spark):
     words = [f"w{k}" for k in range(60)]
     text, near = " ".join(words), " ".join([*words[:-1], "other"])
@@ -256,16 +268,25 @@ def test_a_row_without_id_hides_no_links(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_tree_finds_every_pair():
+def test_rows_that_share_an_id_and_empty_tables(spark, odd, empty):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "unique words that stand here alone"), (4, "twice the very same row here"), (4, "twice the very same row here"), (5, None), (5, "")]
+    kept = neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit("x")))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, "a b c d e f"), (2, "unique words that stand here alone"), (4, "twice the very same row here"), (5, ""), (5, "")]
+    assert neardup.jaccard_components(empty).count() == 0 and neardup.representatives(empty).count() == 0
+    assert neardup.jaccard_components(odd).count() == odd.count()
+
+
+def test_tree_finds_every_component():
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(20)]
-    sets += [np.unique(np.concatenate([s[: 40 - k % 9], rng.integers(0, 2**63, k % 9).astype(np.uint64)])) for k, s in enumerate(sets)]
-    bits = [neardup.bitmap(s).tobytes() for s in sets]
+    sets = [np.unique(rng.integers(0, 2**63, 40)) for _ in range(100)]
+    sets += [np.unique(np.concatenate([s[: 40 - k % 9], rng.integers(0, 2**63, k % 9)])) for k, s in enumerate(sets)]
     n = np.array([len(s) for s in sets])
-    t = neardup.Tree(np.arange(len(sets)), np.arange(len(sets)), n, bits, max(map(len, bits)) // 8)
-    found = {tuple(sorted((int(t.ids[i]), int(t.ids[j])))) for i, j, _ in neardup.traverse(t, t, 75)}
     links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (n[a] + n[b] - c)}
-    assert links and links <= found
+    ids = np.arange(len(sets))
+    t = neardup.Tree(ids, ids, sets, 256)
+    assert {tuple(sorted(x)) for x in neardup.traverse(t, t, 75, neardup.Forest(ids))} == links != set()
+    x, y = neardup.Tree(ids[:100], ids[:100], sets[:100], 64), neardup.Tree(ids[100:], ids[100:], sets[100:], 64)
+    assert {tuple(sorted(p)) for p in neardup.traverse(x, y, 75, neardup.Forest(ids))} == links
 
 
 # 7
