@@ -3,11 +3,13 @@
 Obfuscated strings (digits or signs for letters, separators inside a word, letters set apart, repetitions)
 become lattices: every character may stand for itself, for the letters it resembles, or for nothing. The
 cheapest path under a character trigram model of the whole corpus (Viterbi) is the restored text. A text's
-words and restored words are then scored by a logistic model over words that the labels mark.
+words and restored words are then scored by a logistic model over the words, and the beginnings of words, that the
+labels mark.
 
 Defined results: null, empty and wordless texts get the intercept's score; without a labelled row of
 either class the score is the share of label 1 (0 with no rows at all); repeated rows get equal scores; ties
-in the choice of words fall to the smaller word; columns other than those named are not read.
+in the choice of words fall to the smaller word; of several labels of one id the greatest holds; columns other than
+those named are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SEPARATORS = " .-_*~'/\\,:;#^=`"
 LOOK_COST, DROP_SEPARATOR, KEEP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT, DROP_DOUBLE = 0.3, 0.2, 2.0, 0.1, 3.0, 4.0
 LONGEST = 64  # longer strings are decoded in windows that overlap by so much
 SMALL = 1_000_000
+START = 4  # letters of a word's beginning, a feature of its own: words of one stem share it
+RIDGE = 0.3
 CACHE = 200_000  # chunks remembered; affects speed alone
 
 #: The model's alphabet: 0 is a word's end, 1 any other letter.
@@ -100,23 +104,30 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+def readings(noisy: str, i: int, double: float = DROP_DOUBLE) -> list[tuple[str, float]]:
+    """What a character of a lattice may stand for (a letter, a space or nothing), each with its cost."""
+    c = noisy[i]
+    same = i > 0 and c == noisy[i - 1]
+    triple = same and (i > 1 and noisy[i - 2] == c or noisy[i + 1 : i + 2] == c)
+    options: list[tuple[str, float]] = []
+    if c in SEPARATORS:
+        options += [("", DROP_SEPARATOR), (" ", KEEP_SEPARATOR)]
+    elif c.isalpha():
+        options.append((c, KEEP_REPEAT if triple else 0.0))
+    if c in LOOKS:
+        options += [(x, LOOK_COST) for x in LOOKS[c]]
+    elif not options:
+        options.append((" ", KEEP_SEPARATOR))
+    if same and c not in SEPARATORS:
+        options.append(("", DROP_REPEAT if triple else double))
+    return options
+
+
 def decode(noisy: str, cost: np.ndarray, double: float = DROP_DOUBLE) -> str:
     """The cheapest text of a lattice of ``noisy`` (lower case); words are space-separated. double: cost of dropping one of a pair."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, c in enumerate(noisy):
-        same = c == noisy[i - 1 : i]
-        triple = same and (noisy[i - 2 : i - 1] == c or noisy[i + 1 : i + 2] == c)
-        options: list[tuple[str, float]] = []
-        if c in SEPARATORS:
-            options += [("", DROP_SEPARATOR), (" ", KEEP_SEPARATOR)]
-        elif c.isalpha():
-            options.append((c, KEEP_REPEAT if triple else 0.0))
-        if c in LOOKS:
-            options += [(x, LOOK_COST) for x in LOOKS[c]]
-        elif not options:
-            options.append((" ", KEEP_SEPARATOR))
-        if same and c not in SEPARATORS:
-            options.append(("", DROP_REPEAT if triple else double))
+    for i in range(len(noisy)):
+        options = readings(noisy, i, double)
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (x, out) in states.items():
             for sign, extra in options:
@@ -154,8 +165,13 @@ def windows(text: str):
     return [text] if len(text) <= LONGEST else [text[i : i + 5 * LONGEST] for i in range(0, max(1, len(text) - LONGEST), 4 * LONGEST)]
 
 
+def features(words) -> tuple[str, ...]:
+    """Words and, marked by ``*``, the beginnings of longer ones."""
+    return tuple(dict.fromkeys([*words, *(f"{w[:START]}*" for w in words if len(w) > START)]))
+
+
 class Reader:
-    """The words of a text, with those restored from disguise."""
+    """The words of a text, with those restored from disguise, and their beginnings."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost
@@ -180,6 +196,7 @@ class Reader:
             if wide != core and any(c in LOOKS for c in wide) and any(c.isalpha() for c in wide):
                 words += self.decoded(wide)
             found = tuple(dict.fromkeys(words))
+        found = features(found)
         if len(self.known) > CACHE:
             self.known.clear()
         self.known[chunk] = found
@@ -197,8 +214,7 @@ class Reader:
             if len(set(run) - {" "}) > 2:
                 for part in windows(run):
                     restored = decode(part, self.cost)
-                    out.update(restored.split())
-                    out.add(restored.replace(" ", ""))
+                    out.update(features([*restored.split(), restored.replace(" ", "")]))
         return out
 
 
@@ -228,7 +244,7 @@ def _hits(batches, cost: np.ndarray, index: dict[str, int]):
         yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["hits", "toxic"])
 
 
-def _logistic(hits: list[list[int]], y: np.ndarray, width: int, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+def _logistic(hits: list[list[int]], y: np.ndarray, width: int, ridge: float = RIDGE, rounds: int = 400) -> np.ndarray:
     """Weights and, last, the intercept; gradient steps scaled by each weight's own curvature bound."""
     w = np.zeros(width + 1)
     if not len(y) or not 0 < y.sum() < len(y):
@@ -255,13 +271,13 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int | None = None, min_docs
     """A model: the character model of all texts, and word weights from the labelled rows for which ``train`` holds.
 
     Document counts of words cover all these rows. The words are all that are associated with label 1
-    (G-squared of 10.8 or more, in ``min_docs`` documents or more), or the first ``max_words`` of these; their weights are fitted on at most
-    ``max_rows`` labelled rows, the first by a hash of their id.
+    (G-squared of 10.8 or more, 16 for beginnings, in ``min_docs`` documents or more), or the first ``max_words`` of these; their weights
+    are fitted on at most ``max_rows`` labelled rows, the first by a hash of their id.
     """
     scratch = Scratch(df.sparkSession, "toxicity")
     cost = language_model(df, text_col)
     docs = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (F.lit(True) if train is None else train).alias("train")).where("train and text is not null")
-    marks = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null").dropDuplicates(["key"])
+    marks = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null").groupBy("key").agg(F.max("toxic").alias("toxic"))
     marks = scratch.keep("marks", docs.select("key").join(marks, "key").dropDuplicates(["key"]))  # ids alone are shuffled
     total = marks.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     # labels are broadcast up to SMALL of them (16 MB), else texts are shuffled once
@@ -273,7 +289,7 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int | None = None, min_docs
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     share = (pos + neg) / (p + n)
     g2 = 2 * (part(pos, share * p) + part(neg, share * n) + part(p - pos, (1 - share) * p) + part(n - neg, (1 - share) * n))
-    marked = summed.withColumn("g2", g2).where("g2 >= 10.8").orderBy(F.desc("g2"), "word").select("word")
+    marked = summed.withColumn("g2", g2).where("g2 >= if(word like '%*', 16, 10.8)").orderBy(F.desc("g2"), "word").select("word")
     words = [r["word"] for r in (marked if max_words is None else marked.limit(max_words)).collect()]
     index = {w: i for i, w in enumerate(words)}
     chosen = scratch.keep("sample", marks.orderBy(F.xxhash64("key"), "key").limit(max_rows))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and small fixtures."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -378,6 +379,46 @@ def characters(spark):
     return toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
 
 
+@pytest.mark.parametrize("noisy", ["1d10t", "st.u-p1d", "id|0t", "stuupid", "i d i o t", "$tupid", "aaa11", "7#3", "gar.d3n"])
+def test_viterbi_takes_the_cheapest_of_all_paths(characters, noisy):
+    def total(path):
+        a = b = 0
+        x = 0.0
+        for sign, extra in path:
+            x += extra
+            k = None if sign == "" or (sign == " " and b == 0) else 0 if sign == " " else toxicity.SYMBOL.get(sign, 1)
+            if k is not None:
+                x += float(characters[a, b, k])
+                a, b = b, k
+        return x + (float(characters[a, b, 0]) if b else 0.0)
+
+    paths = list(itertools.product(*(toxicity.readings(noisy, i) for i in range(len(noisy)))))
+    texts = {}
+    for p in paths:
+        text = " ".join("".join(sign for sign, _ in p).split())
+        texts[text] = min(total(p), texts.get(text, np.inf))
+    assert texts[toxicity.decode(noisy, characters)] == pytest.approx(min(texts.values()))
+
+
+def test_of_several_labels_the_greatest_holds(spark):
+    rows = [(k, "river stone " + ("scoundrel" if k % 4 == 0 else "garden")) for k in range(80)]
+    labels = [(k, int(k % 4 == 0)) for k in range(80)] + [(k, 0) for k in range(0, 80, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.Scorer(model)("a scoundrel") > 0.5 > toxicity.Scorer(model)("a garden")
+
+
+def test_toxicity_held_out(spark):
+    """Words' beginnings carry over to words that no label shows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, labels, train=~held)
+    got = toxicity.score(docs.where(held), model).join(labels, "doc_id").select("toxic", (F.col("score") >= 0.3).cast("int").alias("p")).collect()
+    hits = Counter((r["toxic"], r["p"]) for r in got)
+    assert hits[1, 1] >= 0.9 * (hits[1, 1] + hits[1, 0]) and hits[0, 0] >= 0.99 * (hits[0, 0] + hits[0, 1])
+
+
 def test_doubled_letters_are_decided_as_by_decode(characters):
     rng = np.random.default_rng(8)
     words = ["stuupid", "iddiot", "letter", "coopper", "sstupidd", "ßßa", "жжя", "aa"]
