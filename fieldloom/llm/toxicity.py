@@ -38,6 +38,7 @@ LONGEST = 64  # longer strings are decoded in windows that overlap by so much
 SMALL = 1_000_000
 START = 4  # letters of a word's beginning, a feature of its own: words of one stem share it
 RIDGE = 0.3
+LIFT = 3  # times as frequent in documents of label 1 as in the others
 CACHE = 200_000  # chunks remembered; affects speed alone
 
 #: The model's alphabet: 0 is a word's end, 1 any other letter.
@@ -91,10 +92,9 @@ def _trigrams(batches):
 def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Cost in nats of each symbol after two others, from every text; at most ``WIDTH**3`` counts reach the driver."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    got = rows.mapInArrow(shipped(__name__, "_trigrams"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    got = rows.mapInArrow(shipped(__name__, "_trigrams"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     n3 = np.zeros(WIDTH**3)
-    for r in got:
-        n3[r["code"]] = r["n"]
+    n3[got["code"].to_numpy()] = got["n"].to_numpy()
     n3 = n3.reshape(WIDTH, WIDTH, WIDTH)
     n3[:, 0, 0] = 0  # between words
     n2, n1 = n3.sum(0), n3.sum((0, 1))
@@ -244,15 +244,17 @@ def _hits(batches, cost: np.ndarray, index: dict[str, int]):
         yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["hits", "toxic"])
 
 
-def _logistic(hits: list[list[int]], y: np.ndarray, width: int, ridge: float = RIDGE, rounds: int = 400) -> np.ndarray:
-    """Weights and, last, the intercept; gradient steps scaled by each weight's own curvature bound."""
+def _logistic(col: np.ndarray, sizes: np.ndarray, y: np.ndarray, width: int, ridge: float = RIDGE, rounds: int = 400) -> np.ndarray:
+    """Weights and, last, the intercept; gradient steps scaled by each weight's own curvature bound.
+
+    col: the words of all rows, one row after another; sizes: how many each row has.
+    """
     w = np.zeros(width + 1)
     if not len(y) or not 0 < y.sum() < len(y):
         share = min(1 - 1e-6, max(1e-6, float(y.mean()) if len(y) else 0.0))
         w[-1] = math.log(share / (1 - share))
         return w
-    row = np.repeat(np.arange(len(y)), [len(h) for h in hits])
-    col = np.array([i for h in hits for i in h], np.int64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     much = np.bincount(row, minlength=len(y)) + 1.0  # coupling between the weights of one row
     bound = np.append(np.bincount(col, much[row], width) / 4 + ridge, much.sum() / 4)
     w[-1] = math.log(y.mean() / (1 - y.mean()))
@@ -271,7 +273,7 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int | None = None, min_docs
     """A model: the character model of all texts, and word weights from the labelled rows for which ``train`` holds.
 
     Document counts of words cover all these rows. The words are all that are associated with label 1
-    (G-squared of 10.8 or more, 16 for beginnings, in ``min_docs`` documents or more), or the first ``max_words`` of these; their weights
+    (``LIFT``, G-squared of 10.8 or more, 16 for beginnings, in ``min_docs`` documents or more), or the first ``max_words`` of these; their weights
     are fitted on at most ``max_rows`` labelled rows, the first by a hash of their id.
     """
     scratch = Scratch(df.sparkSession, "toxicity")
@@ -284,18 +286,19 @@ def fit(df: DataFrame, labels: DataFrame, max_words: int | None = None, min_docs
     rows = docs.join(F.broadcast(marks) if sum(total) <= SMALL else marks, "key")
     counted = rows.select("text", "toxic").mapInArrow(shipped(__name__, "_word_counts", cost), "word string, pos long, neg long")
     p, n = (float(x) + 1e-9 for x in total)
-    summed = counted.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {int(min_docs)} and pos * {n!r} > neg * {p!r}")
+    summed = counted.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {int(min_docs)} and pos * {n!r} > {LIFT} * neg * {p!r}")
     part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     share = (pos + neg) / (p + n)
     g2 = 2 * (part(pos, share * p) + part(neg, share * n) + part(p - pos, (1 - share) * p) + part(n - neg, (1 - share) * n))
     marked = summed.withColumn("g2", g2).where("g2 >= if(word like '%*', 16, 10.8)").orderBy(F.desc("g2"), "word").select("word")
-    words = [r["word"] for r in (marked if max_words is None else marked.limit(max_words)).collect()]
+    words = (marked if max_words is None else marked.limit(max_words)).toArrow()["word"].to_pylist()
     index = {w: i for i, w in enumerate(words)}
     chosen = scratch.keep("sample", marks.orderBy(F.xxhash64("key"), "key").limit(max_rows))
     sample = docs.join(F.broadcast(chosen), "key").select("text", "toxic")  # max_rows rows at most
-    got = sample.mapInArrow(shipped(__name__, "_hits", cost, index), "hits array<int>, toxic int").collect()
-    w = _logistic([r["hits"] for r in got], np.array([r["toxic"] for r in got], float), len(words))
+    got = sample.mapInArrow(shipped(__name__, "_hits", cost, index), "hits array<int>, toxic int").toArrow()
+    hits = got["hits"].combine_chunks()
+    w = _logistic(hits.flatten().to_numpy(), hits.value_lengths().to_numpy(), got["toxic"].to_numpy().astype(float), len(words))
     return {"cost": cost, "weights": {x: float(w[i]) for x, i in index.items() if w[i] > 0}, "intercept": float(w[-1])}
 
 
