@@ -84,7 +84,8 @@ def _cut(batches, path: str, size: int, end: int):
     """Arrow batches of (id, text) to batches of token pieces."""
     from fieldloom.llm.tokens import load
 
-    encode, tail = load(path).ids, int(end).to_bytes(4, "little")
+    encoder, tail = load(path), int(end).to_bytes(4, "little")
+    encode = encoder.ids
     for batch in batches:
         out = {"key": [], "piece": [], "start": [], "length": [], "ids": []}
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -100,6 +101,7 @@ def _cut(batches, path: str, size: int, end: int):
             [pa.array(out["key"], batch.column(0).type), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids"], pa.binary())],
             ["key", "piece", "start", "length", "ids"],
         )
+    encoder.forget()
 
 
 def pieces(df: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,6 +20,7 @@ def shipped(module: str, name: str, *last, **params):
 
     def run(first):
         import importlib
+        import inspect
         import sys as _sys
 
         try:
@@ -23,11 +28,23 @@ def shipped(module: str, name: str, *last, **params):
         except ModuleNotFoundError:
             _sys.path.insert(0, root)
             m = importlib.import_module(module)
-        return getattr(m, name)(first, *last, **params)
+        got = getattr(m, name)(first, *last, **params)
+        if not inspect.isgenerator(got):
+            return got
+        return importlib.import_module("fieldloom.llm.ship").tidied(got)
 
     return run
 
 
+def tidied(batches):
+    """The batches; after the last, what a task has freed goes back to the system, as workers live on and others need it."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pair_shipped(module: str, name: str, *last):
     """``f(x, y) == module.name(x, y, *last)``, for functions of two frames."""
     one = shipped(module, "_second", name, last)

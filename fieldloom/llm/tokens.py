@@ -30,7 +30,7 @@ _END = b"\xff"  # never part of UTF-8: marks a word's end in the merge ranks
 class WordBPE:
     """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    CACHE = 250_000  # chunks remembered before the memory is given back; affects speed alone
+    CACHE = 100_000  # chunks remembered before the memory is given back; affects speed alone
 
     def __init__(self, path: str):
         from tiktoken import Encoding
@@ -81,6 +81,11 @@ class WordBPE:
         return b"".join([get(c) or new(c) for c in chunks])
 
 
+    def forget(self) -> None:
+        """Empties the cache; a worker lives on after its task."""
+        self.chunks, self.older = {}, {}
+
+
 _loaded: dict[str, WordBPE] = {}
 
 

@@ -39,7 +39,7 @@ SMALL = 1_000_000
 START = 4  # letters of a word's beginning, a feature of its own: words of one stem share it
 RIDGE = 0.3
 LIFT = 3  # times as frequent in documents of label 1 as in the others
-CACHE = 200_000  # chunks remembered; affects speed alone
+CACHE = 100_000  # chunks remembered; affects speed alone
 
 #: The model's alphabet: 0 is a word's end, 1 any other letter.
 ALPHABET = "".join(chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xDF, 0x100)) if chr(c).isalpha())
@@ -229,7 +229,7 @@ def _word_counts(batches, cost: np.ndarray):
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             (pos if toxic else neg).update(read.words(text))
-            if len(pos) + len(neg) > 400_000:
+            if len(pos) + len(neg) > 200_000:
                 yield out()
                 pos.clear()
                 neg.clear()
