@@ -28,14 +28,22 @@ def shipped(module: str, name: str, *last, **params):
         except ModuleNotFoundError:
             _sys.path.insert(0, root)
             m = importlib.import_module(module)
-        got = getattr(m, name)(first, *last, **params)
-        if not inspect.isgenerator(got):
-            return got
-        return importlib.import_module("fieldloom.llm.ship").tidied(got)
+        f = getattr(m, name)
+        if not inspect.isgeneratorfunction(f):
+            return f(first, *last, **params)
+        ship = importlib.import_module("fieldloom.llm.ship")
+        return ship.tidied(f(ship.sliced(first), *last, **params))
 
     return run
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches of few rows, which bounds the Python objects made of one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tidied(batches):
     """The batches; after the last, what a task has freed goes back to the system, as workers live on and others need it."""
     yield from batches

@@ -474,6 +474,29 @@ def test_edits_locate_branches(spark):
     assert [tuple(x) for x in got] == [(0, 0, 1), (1, 0, 1)]
 
 
+def test_stages_reject_what_they_should_and_keep_the_rest(spark, docs, odd, empty):
+    import corpus_pipeline as pipe
+
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (30, 100, 500)]
+    noise += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "", None, "12 34 -- 56"]
+    extra = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(noise)], "doc_id long, text string")
+    both = docs.unionByName(extra, allowMissingColumns=True)
+    kept = pipe.in_a_language(spark, both, DIR)
+    want = docs.where("text rlike '[a-zA-Z]'").count()
+    assert kept.where("doc_id >= 1000000").count() == 0 and kept.where("doc_id < 1000000").count() == want
+    assert pipe.not_toxic(spark, both, DIR).where("doc_id >= 1000000").count() == len(noise)
+    clean = pipe.no_secrets(spark, docs.unionByName(spark.createDataFrame([(-1, "api_key = 'abcd1234efgh'", 0)], "doc_id long, text string, n_chars long"), allowMissingColumns=True), DIR)
+    assert clean.count() == docs.count() + 1 and clean.where("doc_id = -1").first()["text"] == "[SECRET]'"
+    none = docs.limit(0)
+    for name, stage in pipe.STAGES:
+        assert stage(spark, none, DIR).count() == 0, name
+    clash = odd.withColumns({"n_chars": F.lit(1), "tag": F.lit("x"), "text2": F.lit(1)})
+    for name, stage in pipe.STAGES[:-1]:
+        got = stage(spark, clash, DIR)
+        assert got.columns == clash.columns and got.count() <= clash.count(), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
