@@ -1,8 +1,9 @@
 """A kernel language that compiles Python functions to DataFrame plans.
 
 ``@kernel`` reads a function's source once. Called with frames and scalars, it becomes column expressions: the top-level
-loop is the domain, locals are columns, ``if`` predicates assignments, inner ``range`` loops of constant trip are unrolled, ``while``
-loops run inside ``aggregate`` with a bound and a done flag, loads at computed indices are joins, stores at computed
+loop is the domain, locals are columns, ``if`` predicates assignments, short inner ``range`` loops are unrolled, other inner
+loops run inside ``aggregate`` (what they load is exploded, joined and collected before; a ``while`` loop that has not ended after
+``while_bound`` trips fails the query), loads at computed indices are joins, stores at computed
 indices are keyed aggregates, and ``@func`` helpers are inlined. Nothing runs per row in Python.
 
     @kernel
@@ -13,7 +14,8 @@ indices are keyed aggregates, and ``@func`` helpers are inlined. Nothing runs pe
     out = saxpy(x, y, None, 2.0, 1000)["out"]      # fields are (idx, val) frames; None is a field to be made
 
 Semantics: integer ``//`` and ``%`` truncate toward zero; ``/`` is true division with IEEE results; comparisons with NaN are
-false; ``and``/``or`` evaluate both sides; of several stores to one place the highest loop index holds. A kernel has one top-level loop;
+false; ``and``/``or`` evaluate both sides; of several stores to one place the highest loop index holds; a load sees what its own
+iteration has stored, and else the field as it was before the kernel. A kernel has one top-level loop;
 what the language lacks raises ``NotImplementedError``.
 """
 
@@ -34,7 +36,9 @@ from fieldloom.functions import ieee, types as ty
 from fieldloom.sources.field import Field, unpack
 
 UNROLL = 64  # longest inner loop that is unrolled
-WHILE = 256  # default bound of a while loop
+GATHERED = 8  # longest inner loop with loads that is unrolled
+WHILE = 1 << 16  # default bound of a while loop
+TRIPS = 256  # trips between two checks of whether a row's while loop has ended
 _FUNCS: dict[str, Callable] = {}
 _ATOMICS = {"atomic_add": "add", "atomic_min": "min", "atomic_max": "max"}
 _BLOCKS = {"block_sum": F.sum, "block_min": F.min, "block_max": F.max}
@@ -104,8 +108,9 @@ class Compiler:
         self.fields = {k: v for k, v in args.items() if v is None or isinstance(v, (Field, DataFrame))}
         self.args = {k: v for k, v in args.items() if k not in self.fields}
         self.env: dict[str, Any] = {}
-        self.stores: list[tuple[str, Column, Column, Column, str]] = []  # field, index, value, predicate, combine
-        self.loads: list[tuple[str, str, Column]] = []
+        self.stores: list[tuple[str, Column, Any, Column, str]] = []  # field, index, value, predicate, combine
+        self.loads: dict[tuple, list[tuple[list, Column, Any]]] = {}
+        self.keys = ["__idx"]  # columns that tell the rows of the working frame apart
         self.fresh = itertools.count()
         self.df: DataFrame | None = None
         self.trace: list[str] = []
@@ -233,6 +238,8 @@ class Compiler:
         return self.choose(_bool(self.expr(n.test)), self.expr(n.body), self.expr(n.orelse))
 
     def choose(self, cond: Column, a, b):
+        if a is None or b is None:
+            raise KernelError("a helper returns on some of its paths only")
         if isinstance(a, Vec):
             return Vec([self.choose(cond, x, y) for x, y in zip(a, b, strict=True)])
         if a.kind == b.kind == "b":
@@ -273,13 +280,43 @@ class Compiler:
                 out = out * int(d) + v.c.cast("bigint")
         return out
 
-    def load(self, name: str, s: ast.AST) -> Value:
-        """A gather: a left join of the working frame to the field on the index; loads of one text at one index are shared."""
-        at = self.settle(self.index(name, s), "i")
+    def load(self, name: str, s: ast.AST) -> Any:
+        """A gather: a left join of the working frame to the field on the index.
+
+        Loads of one text whose names have kept their values share a join. What this iteration has stored at the index is seen.
+        """
+        if any(f == name and how != "last" for f, *_, how in self.stores):
+            raise KernelError(f"{name} is loaded after an atomic update")
+        names = [n.id for n in ast.walk(s) if isinstance(n, ast.Name)]
+        state = [self.env.get(n, self.args.get(n)) for n in names] + [sum(f == n for f, *_ in self.stores) for n in names]
+        known = self.loads.setdefault((name, ast.dump(s)), [])
+        at, value = next(((at, v) for then, at, v in known if len(then) == len(state) and all(x is y or (isinstance(x, int) and x == y) for x, y in zip(then, state, strict=True))), (None, None))
+        if at is None:
+            at = self.settle(self.index(name, s), "i")
+            value = self.gather(name, at)
+            known.append((state, at, value))
+        for field, k, v, pred, _ in self.stores:
+            if field == name:
+                value = self.choose(pred & (k == at), v, value)
+        return value
+
+    def gather(self, name: str, at: Column) -> Any:
+        f = self.fields[name]
+        if f is None:
+            if not any(s[0] == name for s in self.stores):
+                raise KernelError(f"{name} is read before it is made")
+            first = next(s[2] for s in self.stores if s[0] == name)
+            none = lambda v: Value(F.lit(None).cast("double" if v.kind == "f" else "bigint"), v.kind)
+            return Vec([none(x) for x in first]) if isinstance(first, Vec) else none(first)
         out = f"__v{next(self.fresh)}"
         source = self.frame(name).select(F.col("idx").alias(f"{out}k"), F.col("val").alias(out))
         self.df = self.df.join(source, at == F.col(f"{out}k"), "left").drop(f"{out}k")
         self.trace.append(f"gather {name} -> {out}")
+        kind = self.frame(name).schema["val"].dataType
+        if isinstance(kind, T.ArrayType):
+            size = self.frame(name).select(F.size("val")).first()
+            c = "f" if isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else "i"
+            return Vec([Value(F.get(F.col(out), F.lit(k)), c) for k in range(size[0] if size else 0)])
         return Value(F.col(out), self.kind_of(name))
 
     def on_Call(self, n):
@@ -301,8 +338,10 @@ class Compiler:
             return _const(int(self.shape(n.args[0].id)[0]))
         if name in ("Vector", "vector"):
             return Vec([self.expr(a) for a in n.args[0].elts])
-        if name == "local_array":
-            return Vec([_const(0.0 if "f" in ast.unparse(n.args[0]) else 0) for _ in range(self.expr(n.args[1]).const)])
+        if name in ("local_array", "local_array_like"):
+            of = n.args[0].attr if isinstance(n.args[0], ast.Attribute) else n.args[0].id
+            kind = self.kind_of(of) if name == "local_array_like" else "f" if _CASTS[of].kind == "f" else "i"
+            return Vec([_const(0.0 if kind == "f" else 0) for _ in range(self.expr(n.args[1]).const)])
         if name in _BLOCKS:
             group = ieee.idiv(self.loop_index, 256)
             from pyspark.sql import Window
@@ -423,8 +462,10 @@ class Compiler:
                 v = v if old is None else self.choose(pred, v, old)
             self.env[t.id] = self.named(v, t.id)
         elif isinstance(t, ast.Subscript) and isinstance(t.value, ast.Name) and t.value.id in self.fields:
-            at = self.index(t.value.id, t.slice)
-            self.stores.append((t.value.id, self.settle(at, "k"), self.settle(_num(v).c, "s"), F.lit(True) if pred is None else self.settle(F.coalesce(pred, F.lit(False)), "q"), "last"))
+            at = self.settle(self.index(t.value.id, t.slice), "k")
+            kept = Vec([Value(self.settle(_num(x).c, "s"), _num(x).kind) for x in v]) if isinstance(v, Vec) else Value(self.settle(_num(v).c, "s"), _num(v).kind)
+            kept = self.as_stored(t.value.id, kept)
+            self.stores.append((t.value.id, at, kept, F.lit(True) if pred is None else self.settle(F.coalesce(pred, F.lit(False)), "q"), "last"))
         elif isinstance(t, ast.Subscript) and isinstance(t.value, ast.Name) and isinstance(self.env.get(t.value.id), Vec):
             k, vec = self.expr(t.slice), Vec(self.env[t.value.id])
             for i in range(len(vec)):
@@ -436,6 +477,12 @@ class Compiler:
         else:
             raise KernelError("assignment target")
 
+    def as_stored(self, name: str, v):
+        """A value as an integer field holds it."""
+        if isinstance(v, Vec) or self.fields[name] is None or v.kind != "f" or self.kind_of(name) == "f":
+            return v
+        return Value(v.c.try_cast("bigint"), "i")
+
     def named(self, v, stem: str):
         if isinstance(v, Vec):
             return Vec([self.named(x, stem) for x in v])
@@ -448,7 +495,7 @@ class Compiler:
         if name in _ATOMICS:
             target = n.args[0].id
             at, v = self.index(target, n.args[1]), _num(self.expr(n.args[2]))
-            self.stores.append((target, self.settle(at, "k"), self.settle(v.c, "s"), F.lit(True) if pred is None else self.settle(F.coalesce(pred, F.lit(False)), "q"), _ATOMICS[name]))
+            self.stores.append((target, self.settle(at, "k"), Value(self.settle(v.c, "s"), v.kind), F.lit(True) if pred is None else self.settle(F.coalesce(pred, F.lit(False)), "q"), _ATOMICS[name]))
         elif name in ("print", "barrier"):
             return
         else:
@@ -466,21 +513,92 @@ class Compiler:
         lo, hi, step = self.range_of(s.iter)
         has_break = any(isinstance(x, (ast.Break, ast.Continue)) for b in s.body for x in ast.walk(b))
         fixed = None not in (lo.const, hi.const, step.const)
-        if fixed and not has_break and len(range(lo.const, hi.const, step.const)) <= UNROLL:
+        loaded = self.loads_of(s.body)
+        stored = self.changes_fields(s)
+        if fixed and not has_break and len(range(lo.const, hi.const, step.const)) <= (GATHERED if loaded and not stored else UNROLL):
             for k in range(lo.const, hi.const, step.const):
                 self.env[s.target.id] = _const(k)
                 self.block(s.body, pred)
             return
-        top = Value(F.when(F.lit((step.const or 1) > 0), F.ceil((hi.c - lo.c) / step.c)).otherwise(F.ceil((hi.c - lo.c) / step.c)).cast("bigint"), "i")
-        self.fold(s.body, pred, trips=F.greatest(F.lit(0).cast("bigint"), top.c), target=s.target.id, start=lo, step=step)
+        if stored:
+            raise KernelError("a store inside a long loop")
+        trips = F.greatest(F.lit(0).cast("bigint"), F.ceil((hi.c - lo.c) / step.c).cast("bigint"))
+        if not loaded:
+            self.fold(s.body, pred, self.numbers(trips), target=s.target.id, start=lo, step=step)
+            return
+        steps, cols = self.collected(s, trips, lo, step)
+        self.fold(s.body, pred, steps, target=s.target.id, start=lo, step=step, loaded=cols)
+
+    def numbers(self, trips: Column) -> Column:
+        return F.when(trips > 0, F.sequence(F.lit(0).cast("bigint"), trips - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def changes_fields(self, s: ast.stmt) -> bool:
+        """Whether a statement stores to a field or updates one atomically."""
+        subs = (n.value for n in ast.walk(s) if isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Store))
+        calls = (n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id for n in ast.walk(s) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Attribute, ast.Name)))
+        return any(isinstance(v, ast.Name) and v.id in self.fields for v in subs) or any(c in _ATOMICS for c in calls)
+
+    def loads_of(self, body: list[ast.stmt]) -> list[ast.Subscript]:
+        return [n for b in body for n in ast.walk(b) if isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Load) and isinstance(n.value, ast.Name) and n.value.id in self.fields]
+
+    def collected(self, s: ast.For, trips: Column, lo: Value, step: Value) -> tuple[Column, dict[int, tuple[str, str]]]:
+        """What a loop loads, before it runs: its trips are exploded, each load is a join, and a row's trips are collected in order.
+
+        Gives the array of structs (k, loaded values) and the field and kind of each load by its index's node.
+        """
+        k = f"__k{next(self.fresh)}"
+        trips = self.settle(trips, "n")
+        outer, held = self.df, (self.env, self.keys, self.loads)
+        self.df = outer.where(trips > 0).withColumn(k, F.explode(F.sequence(F.lit(0).cast("bigint"), trips - 1)))
+        self.env, self.keys, self.loads = dict(self.env), [*self.keys, k], {}
+        self.env[s.target.id] = Value(self.settle(lo.c + F.col(k) * step.c, s.target.id), "i")
+        carried = {n.id for b in s.body for n in ast.walk(b) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store) and n.id in held[0]}
+        cols: dict[int, tuple[str, str]] = {}
+
+        def walk(body: list[ast.stmt], sure: bool) -> None:
+            for b in body:
+                if isinstance(b, (ast.For, ast.While)) and self.loads_of([b]):
+                    raise KernelError("a load in a loop inside a long loop")
+                whole = isinstance(b, ast.If)
+                for n in self.loads_of([ast.Expr(b.test)] if whole else [b]):
+                    if carried & {x.id for x in ast.walk(n.slice) if isinstance(x, ast.Name)}:
+                        raise KernelError("a load whose index depends on an earlier trip of its loop")
+                    v = self.load(n.value.id, n.slice)
+                    if isinstance(v, Vec):
+                        raise KernelError("a vector load in a long loop")
+                    cols[id(n.slice)] = (f"{n.value.id}{len(cols)}", v.kind)
+                    self.df = self.df.withColumn(f"{k}_{len(cols) - 1}", v.c)
+                if whole:
+                    walk(b.body, False)
+                    walk(b.orelse, False)
+                elif isinstance(b, (ast.Assign, ast.AugAssign)):
+                    names = {x.id for t in (b.targets if isinstance(b, ast.Assign) else [b.target]) for x in ast.walk(t) if isinstance(x, ast.Name)}
+                    used = {x.id for x in ast.walk(b.value) if isinstance(x, ast.Name)}
+                    if sure and not (names | used) & carried and isinstance(b, ast.Assign):
+                        self.stmt(b, None)
+                    else:
+                        carried.update(names)
+
+        walk(s.body, True)
+        got = F.struct(F.col(k).alias("k"), *[F.col(f"{k}_{j}").alias(c) for j, (c, _) in enumerate(cols.values())])
+        arrays = self.df.groupBy(*held[1]).agg(F.sort_array(F.collect_list(got)).alias(f"{k}_all"))
+        self.env, self.keys, self.loads = held
+        self.df = outer.join(arrays, held[1], "left")
+        return F.coalesce(F.col(f"{k}_all"), F.array().cast(arrays.schema[f"{k}_all"].dataType)), cols
 
     def inner_while(self, s: ast.While, pred: Column | None) -> None:
         if s.orelse:
             raise KernelError("loop else")
-        self.fold(s.body, pred, trips=F.lit(self.bound).cast("bigint"), test=s.test)
+        if self.loads_of([s]) or self.changes_fields(s):
+            raise KernelError("a load or store inside a while loop")
+        self.fold(s.body, pred, self.numbers(F.lit(-(-self.bound // TRIPS)).cast("bigint")), test=s.test)
+
+    def fold(self, body, pred, steps: Column, target: str | None = None, start: Value | None = None, step: Value | None = None, test: ast.AST | None = None, loaded: dict[int, tuple[str, str]] | None = None) -> None:
+        """A loop over locals inside ``aggregate``: the accumulator is a struct of the locals it assigns and a done flag.
 
-    def fold(self, body, pred, trips: Column, target: str | None = None, start: Value | None = None, step: Value | None = None, test: ast.AST | None = None) -> None:
-        """A loop over locals inside ``aggregate``: the accumulator is a struct of the locals it assigns and a done flag."""
+        ``steps`` holds the trips' numbers, or structs of these and what they load. With ``test``, each step takes ``TRIPS`` trips
+        unless the row is done, so a row that ends early costs few of them.
+        """
         changed = [n.id for b in body for n in ast.walk(b) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)]
         names = [n for n in dict.fromkeys(changed) if n in self.env]
         kinds = {n: "f" for n in names}
@@ -492,14 +610,16 @@ class Compiler:
             sub.env = dict(self.env) | {n: Value(F.lit(0).cast(spark_kind[kinds[n]]), kinds[n]) for n in names}
             if target:
                 sub.env[target] = Value(F.lit(0).cast("bigint"), "i")
+            sub.loaded = {i: Value(F.lit(0).cast(spark_kind[kind]), kind) for i, (_, kind) in (loaded or {}).items()}
             sub.run(body)
             kinds = {n: "f" if "f" in (kinds[n], _num(sub.env[n]).kind) else "i" for n in names}
         init = F.struct(*[_num(self.env[n]).c.cast(spark_kind[kinds[n]]).alias(n) for n in names], F.lit(False).alias("__done"))
 
         def merge(acc: Column, i: Column) -> Column:
             sub.env = dict(self.env) | {n: Value(acc[n], kinds[n]) for n in names}
+            sub.loaded = {at: Value(i[c], kind) for at, (c, kind) in (loaded or {}).items()}
             if target:
-                sub.env[target] = Value(start.c + i * step.c, "i")
+                sub.env[target] = Value(start.c + (i if loaded is None else i["k"]) * step.c, "i")
             go = ~acc["__done"]
             if test is not None:
                 go = go & F.coalesce(_bool(sub.expr(test)), F.lit(False))
@@ -507,10 +627,14 @@ class Compiler:
             new = F.struct(*[F.when(go, _num(sub.env[n]).c.cast(spark_kind[kinds[n]])).otherwise(acc[n]).alias(n) for n in names], (acc["__done"] | ~go | stop).alias("__done"))
             return F.when(acc["__done"], acc).otherwise(new)
 
-        steps = F.when(trips > 0, F.sequence(F.lit(0).cast("bigint"), trips - 1)).otherwise(F.array().cast("array<bigint>"))
-        out = self.settle(F.aggregate(steps, init, merge), "loop")
+        many = lambda acc, _: F.when(acc["__done"], acc).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(TRIPS)), acc, merge))
+        out = self.settle(F.aggregate(steps, init, merge if test is None else many), "loop")
+        late = None
+        if test is not None:
+            sub.env = dict(self.env) | {n: Value(out[n], kinds[n]) for n in names}
+            late = ~out["__done"] & F.coalesce(_bool(sub.expr(test)), F.lit(False)) & (F.lit(True) if pred is None else F.coalesce(pred, F.lit(False)))
         for n in names:
-            v = Value(out[n], kinds[n])
+            v = Value(out[n] if late is None else F.when(late, F.raise_error(F.lit(f"a while loop goes on after {self.bound} trips; see while_bound")).cast(spark_kind[kinds[n]])).otherwise(out[n]), kinds[n])
             self.env[n] = self.named(v if pred is None else self.choose(pred, v, self.env[n]), n)
 
     # ---- the whole
@@ -556,6 +680,7 @@ class Compiler:
         how = hows.pop()
         writes = None
         for k, (_, at, val, pred, _) in own:
+            val = F.array(*[x.c for x in val]) if isinstance(val, Vec) else val.c
             part = self.df.where(pred).select(at.alias("idx"), val.alias("val"), F.col("__idx").alias("__by"), F.lit(k).alias("__nth"))
             writes = part if writes is None else writes.unionByName(part)
         base = self.fields[name]
@@ -578,12 +703,15 @@ class _Inner(Compiler):
     def __init__(self, outer: Compiler):
         super().__init__(outer.tree, outer.args, outer.spark, outer.bound)
         self.outer, self.fields = outer, outer.fields
+        self.loaded: dict[int, Value] = {}
 
     def settle(self, value: Column, stem: str) -> Column:
         return value
 
     def load(self, name, s):
-        raise KernelError("a load inside a loop of unknown length")
+        if id(s) not in self.loaded:
+            raise KernelError("a load that is not collected before its loop")
+        return self.loaded[id(s)]
 
     def run(self, body) -> Column:
         self.stop, self.skip = F.lit(False), F.lit(False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldloom.plans.kernel import func, kernel
@@ -135,6 +137,101 @@ def kernel_vectors(spark, d):
     return _directions(flat, None, e.count())["out"].select("idx", F.round("val", 6).alias("val"))
 
 
+@kernel
+def _kick_and_drift(p, v, a, dt, n):
+    for i in range(n):
+        v[i] += a[i] * dt
+        v[i] = v[i] * 0.5
+        p[i] += v[i] * dt
+
+
+@query("SELECT event_id AS idx, round((value + event_id % 7 * 0.25) * 0.5, 6) AS v, round(event_id + (value + event_id % 7 * 0.25) * 0.5 * 0.25, 6) AS p FROM events")
+def kernel_nbody_update(spark, d):
+    """Loads of fields that the same iteration has stored."""
+    e = table(spark, d, "events")
+    field = lambda val: e.select(F.col("event_id").alias("idx"), val.cast("double").alias("val"))
+    out = _kick_and_drift(field(F.col("event_id")), field(F.col("value")), field(F.col("event_id") % 7), 0.25, e.count())
+    both = out["v"].select("idx", F.round("val", 6).alias("v")).join(out["p"].select("idx", F.round("val", 6).alias("p")), "idx")
+    return both.select("idx", "v", "p")
+
+
+@kernel
+def _row_sums(off, x, out, n):
+    for i in range(n):
+        acc = 0.0
+        for k in range(off[i], off[i + 1]):
+            acc += x[k]
+        out[i] = acc
+
+
+_ROWS = "(SELECT ceil((sqrt(8 * count(*) + 1) - 1) / 2)::BIGINT FROM events)"
+
+
+@query(f"SELECT r.i AS idx, round(sum(value), 4) AS val FROM (SELECT unnest(range({_ROWS})) AS i) r JOIN events ON event_id >= i * (i + 1) // 2 AND event_id < (i + 1) * (i + 2) // 2 GROUP BY r.i")
+def kernel_csr_sum(spark, d):
+    """Loops of a length that is loaded: row i of a ragged table has i + 1 values."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.col("value").alias("val"))
+    n = e.count()
+    rows = math.ceil((math.sqrt(8 * n + 1) - 1) / 2)
+    off = spark.range(rows + 1).select(F.col("id").alias("idx"), F.least(F.lit(n).cast("long"), F.expr("id * (id + 1) div 2")).alias("val"))
+    return _row_sums(off, e, None, rows)["out"].select("idx", F.round("val", 4).alias("val"))
+
+
+@kernel
+def _gram(x, out, m, n, wide):
+    for i, j in ndrange(m, m):  # noqa: F821
+        acc = 0.0
+        for k in range(n):
+            acc += x[k * wide + i] * x[k * wide + j]
+        out[i, j] = acc
+
+
+@query("SELECT i * 16 + j AS idx, round(sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE), 4) AS val FROM embeddings, (SELECT range AS i FROM range(16)), (SELECT range AS j FROM range(16)) GROUP BY i, j")
+def kernel_gram_matrix(spark, d):
+    """A long loop of loads: products of 16 columns of all vectors."""
+    from fieldloom.sources.field import from_tuples
+
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, 16).alias("val"))
+    flat = from_tuples(e, 16).withColumn("val", F.col("val").cast("double"))
+    return _gram(flat, None, 16, e.count(), 16)["out"].select("idx", F.round("val", 4).alias("val"))
+
+
+@kernel
+def _subtract(x, out, b, n):
+    for i in range(n):
+        u = x[i]
+        w = b
+        while u != w:
+            if u > w:
+                u = u - w
+            else:
+                w = w - u
+        out[i] = u
+
+
+@query("SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS idx, gcd(c_custkey + 1, 6)::BIGINT AS val FROM customer")
+def kernel_long_while(spark, d):
+    """Greatest common divisors by subtraction: as many trips as a key has sixths."""
+    c = table(spark, d, "customer").select((F.col("c_custkey") + 1).cast("long").alias("val"))
+    low = c.agg(F.min("val")).first()[0]
+    return _subtract(c.select((F.col("val") - low).alias("idx"), "val"), None, 6, c.count())["out"]
+
+
+@kernel
+def _reflected(v, out, n):
+    for i in range(n):
+        a = v[i]
+        out[i] = a - Vector([2.0 * a[0], 0.0, 0.0])  # noqa: F821
+
+
+@query("SELECT vec_id AS idx, round(-embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, round(embedding[3]::DOUBLE, 6) AS z FROM embeddings")
+def kernel_vector_field(spark, d):
+    """Loads and stores of whole vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, 3).cast("array<double>").alias("val"))
+    out = _reflected(e, None, e.count())["out"]
+    return out.select("idx", *[F.round(F.get("val", F.lit(k)), 6).alias(c) for k, c in enumerate("xyz")])
+
+
 _G = "(SELECT event_id AS idx, event_id // 50 AS i, event_id % 50 AS j, value AS val FROM events)"
 _STEP = lambda src: f"SELECT g.idx, g.i, g.j, CASE WHEN g.i BETWEEN 1 AND (SELECT count(*) // 50 - 2 FROM events) AND g.j BETWEEN 1 AND 48 THEN (a.val + b.val + c.val + e.val) / 4 ELSE g.val END AS val FROM {src} g LEFT JOIN {src} a ON a.i = g.i - 1 AND a.j = g.j LEFT JOIN {src} b ON b.i = g.i + 1 AND b.j = g.j LEFT JOIN {src} c ON c.i = g.i AND c.j = g.j - 1 LEFT JOIN {src} e ON e.i = g.i AND e.j = g.j + 1"
 

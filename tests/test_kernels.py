@@ -64,3 +64,108 @@ def test_errors(spark):
     with pytest.raises(RuntimeError):
         clamp(1, 2, 3)
     assert "FunctionDef" in inspect(strided, None)
+
+
+@kernel
+def bumped(x, out, n):
+    for i in range(n):
+        out[i] = x[i]
+        out[i] += 1
+        x[i] = out[i] * 2
+
+
+@kernel
+def endless(out, n):
+    for i in range(n):
+        c = 0
+        while c >= 0:
+            c += 1
+        out[i] = c
+
+
+@kernel
+def counted(out, n):
+    for i in range(n):
+        c = 0
+        while c < 1000 + i:
+            c += 1
+        out[i] = c
+
+
+@kernel
+def smoothed(x, at, out, n, m):
+    for i in range(n):
+        acc = 0.0
+        for k in range(at[i], at[i + 1]):
+            j = m - 1 - k
+            if x[j] > 90:
+                break
+            acc = acc * 0.5 + x[j]
+        out[i] = acc
+
+
+@func
+def half_way(v):
+    if v > 0:
+        return v
+
+
+@kernel
+def unreturned(x, out, n):
+    for i in range(n):
+        out[i] = half_way(x[i])
+
+
+@kernel
+def by_slots(x, out, n):
+    for i in range(n):
+        slots = local_array(i32, 3)  # noqa: F821
+        more = local_array_like(x, 2)  # noqa: F821
+        slots[i % 3] = 7 // 2
+        more[0] = x[i]
+        out[i] = slots[0] * 100 + slots[1] * 10 + slots[2] + more[0] + more[1]
+
+
+def test_a_load_sees_what_its_iteration_stored(spark):
+    got = bumped(fl.field_like(spark, np.array([5, 7], np.int64)), None, 2)
+    assert values(got["out"]) == [6, 8] and values(got["x"]) == [12, 16]
+
+
+def test_while_loops_end_or_fail(spark):
+    assert values(counted(None, 3)["out"]) == [1000, 1001, 1002]
+    with pytest.raises(Exception, match="goes on after"):
+        endless(None, 1)["out"].collect()
+
+
+def test_long_loops_of_loads_run_in_order(spark):
+    x = np.arange(100.0)
+    at = np.array([0, 9, 9, 30, 100])
+    got = smoothed(fl.field_like(spark, x), fl.field_like(spark, at), None, 4, 100)["out"]
+    want = []
+    for i in range(4):
+        acc = 0.0
+        for k in range(at[i], at[i + 1]):
+            if x[99 - k] > 90:
+                break
+            acc = acc * 0.5 + x[99 - k]
+        want.append(acc)
+    assert values(got) == pytest.approx(want)
+
+
+def test_equal_loads_share_a_join(spark):
+    @kernel
+    def squares(x, out, n):
+        for i in range(n):
+            out[i] = x[i] * x[i]
+
+    plan = inspect(squares, fl.arange(spark, 4), None, 4, mode="source")
+    assert plan.count("Join") == 1
+
+
+def test_helpers_return_on_every_path(spark):
+    with pytest.raises(KernelError):
+        unreturned(fl.arange(spark, 2), None, 2)
+
+
+def test_local_arrays(spark):
+    assert values(by_slots(fl.arange(spark, 3), None, 3)["out"]) == [300, 31, 5]
