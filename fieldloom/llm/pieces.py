@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text's words (a run of the space sign and what follows it, or a line end) never share a piece, so each distinct
-word is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, the
+A text's words (a run of the space sign and letters or other signs after it, or a line end) never share a piece, so each
+distinct word is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, the
 matches (lattice edges) are grouped by word, and a higher-order ``aggregate`` folds them to the word's segmentation.
 
 ``mode="unigram"`` folds Viterbi: the path with the greatest sum of scores, ties to the longer last piece. For
@@ -9,15 +9,20 @@ a BPE model that sum does not give the model's own segmentation, so ``mode="bpe"
 the merge with the best score, leftmost first, until none is left; its ids equal the library's. A character
 without an edge becomes its UTF-8 bytes' pieces.
 
-Words of more than ``LONGEST`` characters (data without spaces), on which the fold would take quadratic time, are encoded
-by the library, in Arrow batches.
+Documents go through this in blocks: a task numbers a block's distinct words, only these meet the vocabulary, and their ids come
+back to the block, whose documents are put together from them. Words of more than ``LONGEST`` characters (data without
+spaces), on which the folds' arrays would take quadratic time, take the same path in linear time on arrays (``viterbi``), or for
+``bpe`` in the library.
 
-Defined results: null and empty texts have no ids; an empty table gives no rows; repeated rows are encoded alike;
-columns other than id and text are not read.
+Defined results: null and empty texts have no ids and an empty decoded text; an empty table gives no rows; each row is a
+document of its own, also where rows repeat or share an id; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,54 +31,74 @@ from fieldloom.llm.ship import shipped
 from fieldloom.llm.store import Scratch
 
 SPACE = "▁"
-LONGEST = 64
-HOT = 20_000  # most frequent words, joined by broadcast; the others have no large share of the rows
-_WORD = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+LONGEST = 256
+UNKNOWN = -1e10  # score of a character without a piece
+PACKED = 1 << 22  # words that a block holds
+SLICE = 1000  # documents that a row of a block holds
 _BASE = LONGEST + 1
+_WORD = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+_CLASS = rf"\n|{SPACE}*\p{{L}}+|{SPACE}*[^{SPACE}\n\p{{L}}]+|{SPACE}+"
 
 
-def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
-    """(piece, id, score) of the model's ordinary pieces; the longest one's length; the id of byte 0."""
+def _model(path: str):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def _rows(sp) -> list[tuple[str, int, float]]:
+    return [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+
+
+def _first_byte(sp) -> int:
     first = next((i for i in range(sp.get_piece_size()) if sp.is_byte(i)), -1)
     if first < 0:
         raise ValueError("the model has no byte pieces")
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(r[0]) for r in rows), first
+    return first
+
+
+def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """(piece, id, score) of the model's ordinary pieces; the longest one's length; the id of byte 0."""
+    sp = _model(path)
+    rows = _rows(sp)
+    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(r[0]) for r in rows), _first_byte(sp)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, in order, with spaces as the space sign and one before all."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def word_pattern(path: str) -> str:
+    """The pattern of words: letters apart from other signs if no piece of the model holds both."""
+    cores = (r[0].lstrip(SPACE) for r in _rows(_model(path)))
+    return _CLASS if all(c.isalpha() or not any(map(str.isalpha, c)) for c in cores) else _WORD
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
     """Boundaries of the BPE segmentation."""
+    score = F.map_from_entries(F.transform(edges, lambda x: F.struct((x["s"] * _BASE + x["e"]).alias("k"), x["w"].alias("v"))))
+
+    def fold(score: Column) -> Column:
+        def step(b: Column, _: Column) -> Column:
+            tried = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(score[F.get(b, i) * _BASE + F.get(b, i + 2)].alias("s"), (-i).alias("i")))
+            best = F.array_max(F.filter(tried, lambda x: x["s"].isNotNull()))
+            cut = F.transform(F.array(best), lambda x: F.when(x.isNull(), b).otherwise(F.filter(b, lambda _v, k: k != 1 - x["i"])))[0]
+            return F.when(F.size(b) < 3, b).otherwise(cut)
 
-    def step(b: Column, _: Column) -> Column:
-        tried = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(edges[F.get(b, i) * _BASE + F.get(b, i + 2)]["score"].alias("s"), (-i).alias("i")))
-        best = F.array_max(F.filter(tried, lambda x: x["s"].isNotNull()))
-        cut = F.transform(F.array(best), lambda x: F.when(x.isNull(), b).otherwise(F.filter(b, lambda _v, k: k != 1 - x["i"])))[0]
-        return F.when(F.size(b) < 3, b).otherwise(cut)
+        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return F.transform(F.array(score), fold)[0]
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Boundaries of the path with the greatest sum of scores."""
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("from")))
+    """Boundaries of the path with the greatest sum of scores; edges are in the order of their ends, then starts."""
+    start = F.array(F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("s")))
+
+    def step(best: Column, x: Column) -> Column:
+        total = F.get(best, x["s"])["w"] + x["w"]
+        new = F.array(F.struct(total.alias("w"), x["s"].alias("s")))
+        return F.when(F.size(best) <= x["e"], F.concat(best, new)).when(total > F.get(best, x["e"])["w"], F.concat(F.slice(best, F.lit(1), x["e"]), new)).otherwise(best)
 
-    def step(best: Column, end: Column) -> Column:
-        froms = F.transform(F.sequence(F.lit(0), end - 1), lambda i: F.struct((F.get(best, i)["s"] + F.coalesce(edges[i * _BASE + end]["score"], F.when(i == end - 1, F.lit(-1e10)))).alias("s"), (-i).alias("i")))
-        top = F.array_max(F.filter(froms, lambda x: x["s"].isNotNull()))
-        return F.concat(best, F.transform(F.array(top), lambda x: F.struct(x["s"].alias("s"), (-x["i"]).alias("from"))))
+    def back(best: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda b, _: F.when(F.get(b, F.lit(0)) == 0, b).otherwise(F.concat(F.array(F.get(best, F.get(b, F.lit(0)))["s"]), b)))
 
-    table = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    walk = F.transform(F.array(table), lambda t: F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda b, _: F.when(F.get(b, F.lit(0)) == 0, b).otherwise(F.concat(F.array(F.get(t, F.get(b, F.lit(0)))["from"]), b))))
-    return walk[0]
+    return F.transform(F.array(F.aggregate(edges, start, step)), back)[0]
 
 
 def _byte_ids(char: Column, first: int) -> Column:
@@ -81,97 +106,195 @@ def _byte_ids(char: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.conv(F.substring(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + first)
 
 
-def _long(batches, path: str):
-    """(word, n) with the library's ids of each word."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+def viterbi(word: str, table: dict[str, tuple[int, float]], longest: int, first: int) -> list[int]:
+    """The ids that ``_viterbi_fold`` gives, in time linear in the word's length."""
+    best, prev, piece = [0.0], [0], [-1]
+    for e in range(1, len(word) + 1):
+        top = None
+        for s in range(max(0, e - longest), e):
+            i, w = table.get(word[s:e], (-1, UNKNOWN if s == e - 1 else None))
+            if w is not None and (top is None or best[s] + w > top[0]):
+                top = (best[s] + w, s, i)
+        best.append(top[0])
+        prev.append(top[1])
+        piece.append(top[2])
+    out, e = [], len(word)
+    while e:
+        out.append([piece[e]] if piece[e] >= 0 else [first + b for b in word[prev[e] : e].encode()])
+        e = prev[e]
+    return [i for part in reversed(out) for i in part]
+
+
+def _long(batches, path: str, mode: str):
+    """(word) of any length with its ids."""
+    sp = _model(path)
+    table = {p: (i, w) for p, i, w in _rows(sp)}
+    longest, first = max(map(len, table)), _first_byte(sp)
     lead = sp.encode("\n")  # the library sets a space sign before a text; a line end takes it off the word
     for batch in batches:
-        texts = ["\n" + w.replace(SPACE, " ") for w in batch.column(0).to_pylist()]
-        ids = [x[len(lead) :] for x in sp.encode(texts, num_threads=1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+        words = batch.column(0).to_pylist()
+        ids = [viterbi(w, table, longest, first) for w in words] if mode == "unigram" else [x[len(lead) :] for x in sp.encode(["\n" + w.replace(SPACE, " ") for w in words], num_threads=1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
 
-def encode_words(words: DataFrame, path: str, mode: str = "bpe") -> DataFrame:
-    """(word, n) of distinct words to (word, n, ids)."""
+def encode_words(words: DataFrame, path: str, mode: str = "unigram") -> DataFrame:
+    """(word) of distinct words to (word, ids)."""
     if mode not in ("bpe", "unigram"):
         raise ValueError(f"unknown mode {mode!r}")
     table, longest, first = piece_table(words.sparkSession, path)
-    short = words.where(F.length("word") <= LONGEST).select("word", "n", F.length("word").alias("len"))
+    short = words.where(F.length("word") <= LONGEST).select("word", F.length("word").alias("len"))
     at = short.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
     at = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("len") - F.col("s")))))
     at = at.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l")))
     # the table is the model's vocabulary, a file of fixed size
     edges = at.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
-    edge = F.struct((F.col("s") * _BASE + F.col("s") + F.col("l")).alias("k"), F.struct("score", "id").alias("v"))
-    by_word = edges.groupBy("word").agg(F.first("n").alias("n"), F.first("len").alias("len"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
-    fold = _merge_fold if mode == "bpe" else _viterbi_fold
-    cut = by_word.withColumn("b", fold(F.col("edges"), F.col("len")))
-    ids = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size("b") - 2),
-            lambda i: F.transform(F.array(F.col("edges")[F.get("b", i) * _BASE + F.get("b", i + 1)]["id"]), lambda x: F.when(x.isNull(), _byte_ids(F.substring("word", F.get("b", i) + 1, F.lit(1)), first)).otherwise(F.array(x)))[0],
-        )
-    )
-    rest = words.where(F.length("word") > LONGEST).select("word", "n").mapInArrow(shipped(__name__, "_long", path), "word string, n long, ids array<int>")
-    return cut.select("word", "n", ids.alias("ids")).unionByName(rest)
-
+    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", F.coalesce("score", F.lit(UNKNOWN)).alias("w"), "id")
+    by_word = edges.groupBy("word").agg(F.first("len").alias("len"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    cut = by_word.withColumn("b", (_merge_fold if mode == "bpe" else _viterbi_fold)(F.col("edges"), F.col("len")))
 
-def vocabulary(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts; counts are combined before they are shuffled."""
-    return df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    def ids(i: Column) -> Column:
+        s, e = F.get("b", i), F.get("b", i + 1)
+        return F.transform(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), lambda x: F.when(x["id"].isNull(), _byte_ids(F.substring("word", s + 1, F.lit(1)), first)).otherwise(F.array(x["id"])))[0]
 
+    cut = cut.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids)).alias("ids"))
+    return cut.unionByName(words.where(F.length("word") > LONGEST).select("word").mapInArrow(shipped(__name__, "_long", path, mode), "word string, ids array<int>"))
 
-def _by_document(df: DataFrame, coded: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, w of the rows that have words: each document's words in order, as structs of their place and their columns in ``coded``."""
-    cols = [c for c in coded.columns if c not in ("word", "n")]
-    hot = Scratch(df.sparkSession, "pieces").keep("hot", coded.orderBy(F.desc("n"), "word").limit(HOT))
-    placed = df.select(id_col, F.posexplode(words_of(F.col(text_col))).alias("__at", "word"))
-    often = placed.join(F.broadcast(hot.select("word", *cols)), "word")
-    seldom = placed.join(F.broadcast(hot.select("word")), "word", "left_anti").join(coded.select("word", *cols), "word")
-    rows = often.unionByName(seldom).select(id_col, F.struct("__at", *cols).alias("w"))
-    return rows.groupBy(id_col).agg(F.array_sort(F.collect_list("w")).alias("w"))
 
+def _blocks(batches, pattern: str):
+    """(key, text) to rows of a block: its distinct words, and its documents' keys, word counts and words by number."""
+    import regex
+    from pyspark import TaskContext
 
-def _wordless(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.where(F.coalesce(F.length(text_col), F.lit(0)) == 0).select(id_col, F.array().cast("array<int>").alias("ids"))
+    find = regex.compile(pattern)
+    part, block = TaskContext.get().partitionId(), 0
+    known: dict[str, int] = {}
+    total, keys, sizes, codes = 0, [], [], []
+    schema = None
 
+    def docs():
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + block]), pa.array([None], pa.list_(pa.string())), pa.array([keys], pa.list_(schema)), pa.array([np.array(sizes, "<u4").tobytes()]), pa.array([_pack(codes)])], ["block", "words", "keys", "sizes", "codes"])
 
-def encode(df: DataFrame, path: str, mode: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids of every row: each document's words, joined to the encoded words. Ids must be unique."""
-    coded = Scratch(df.sparkSession, "pieces").keep("words", encode_words(vocabulary(df, text_col), path, mode))
-    got = _by_document(df, coded, id_col, text_col)
-    return got.select(id_col, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids")).unionByName(_wordless(df, id_col, text_col))
+    def words():
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + block]), pa.array([list(known)], pa.list_(pa.string())), pa.array([None], pa.list_(schema)), pa.array([None], pa.binary()), pa.array([None], pa.binary())], ["block", "words", "keys", "sizes", "codes"])
 
+    for batch in batches:
+        schema = batch.schema.field(0).type
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = find.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            keys.append(key)
+            sizes.append(len(found))
+            codes += [known.setdefault(w, len(known)) for w in found]
+            total += len(found)
+            if len(keys) >= SLICE or len(codes) > PACKED:
+                yield docs()
+                keys, sizes, codes = [], [], []
+            if total > PACKED:
+                if keys:
+                    yield docs()
+                yield words()
+                known, block, total, keys, sizes, codes = {}, block + 1, 0, [], [], []
+    if keys:
+        yield docs()
+    if known:
+        yield words()
+
+
+def _pack(codes: list[int]) -> bytes:
+    """Numbers by their bytes' planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _assembled(docs: pa.Table, words: pa.Table, path: str, digests: bool) -> pa.Table:
+    """One block's documents: key, ids and the text that these decode to, or the number of ids and both's digests."""
+    sp = _model(path)
+    raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in _rows(sp)} | {_first_byte(sp) + b: bytes([b]) for b in range(256)}
+    order = np.argsort(words["at"].to_numpy())
+    ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    ids = ids.take(pa.array(order))
+    flat, size = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64) if words.num_rows else np.zeros(0, np.int64)
+    start = np.cumsum(size) - size
+    part = [raw[i] for i in flat.tolist()]
+    said = [b"".join(part[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+    keys, found, texts = [], [], []
+    for i in range(docs.num_rows):
+        keys += docs["keys"][i].as_py()
+        codes, at = _unpack(docs["codes"][i].as_py()).astype(np.int64), 0
+        for n in np.frombuffer(docs["sizes"][i].as_py(), "<u4").tolist():
+            c = codes[at : at + n]
+            at += n
+            many = size[c]
+            mine = flat[np.repeat(start[c] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            text = b"".join([said[k] for k in c.tolist()]).removeprefix(b" ")
+            if digests:
+                found.append((len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            else:
+                found.append(mine.astype(np.int32))
+                texts.append(text.decode("utf-8", "replace"))
+    kind = docs.schema.field("keys").type.value_type
+    if digests:
+        n, a, b = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["key", "n_pieces", "ids_sha256", "decoded_sha256"])
+    return pa.table([pa.array(keys, kind), pa.array(found, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["key", "ids", "text"])
+
+
+def _block(path: str, digests: bool):
+    f = shipped(__name__, "_both", path, digests)
+
+    def run(docs, words):
+        return f((docs, words))
+
+    return run
+
+
+def _both(pair, path: str, digests: bool):
+    return _assembled(*pair, path, digests)
+
+
+def round_trip(df: DataFrame, path: str, mode: str = "unigram", id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """id, ids, text of every row: its ids, and what they decode to; or, with ``digests``, n_pieces, ids_sha256 (of little-endian
+    32-bit ids) and decoded_sha256."""
+    scratch = Scratch(df.sparkSession, "pieces")
+    src = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    kind = src.schema["key"].dataType.simpleString()
+    packed = scratch.keep("packed", src.mapInArrow(shipped(__name__, "_blocks", word_pattern(path)), f"block long, words array<string>, keys array<{kind}>, sizes binary, codes binary"))
+    words = packed.where("words is not null").select("block", F.posexplode("words").alias("at", "word"))
+    coded = scratch.keep("words", encode_words(words.select("word").distinct(), path, mode))
+    back = words.join(coded, "word").select(F.col("block").alias("of"), "at", "ids")
+    docs = packed.where("sizes is not null").select("block", "keys", "sizes", "codes")
+    out = f"key {kind}, " + ("n_pieces long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, text string")
+    return docs.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_block(path, digests), out).withColumnRenamed("key", id_col)
 
-def round_trip(df: DataFrame, path: str, mode: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids, text of every row: its ids, and what they decode to.
 
-    No piece crosses a word, so a sequence decodes to its words' texts in order; each distinct word's ids are decoded once.
-    """
-    scratch = Scratch(df.sparkSession, "pieces")
-    coded = scratch.keep("words", encode_words(vocabulary(df, text_col), path, mode))
-    coded = scratch.keep("texts", coded.join(decode(coded, path, ["word"], keep_lead=True), "word"))
-    got = _by_document(df, coded, id_col, text_col)
-    text = F.regexp_replace(F.array_join(F.transform("w", lambda x: x["text"]), ""), "^ ", "")
-    got = got.select(id_col, F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"), text.alias("text"))
-    return got.unionByName(_wordless(df, id_col, text_col).withColumn("text", F.lit("")))
+def encode(df: DataFrame, path: str, mode: str = "unigram", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids of every row."""
+    return round_trip(df, path, mode, id_col, text_col).select(id_col, "ids")
 
 
 def decoded(pieces: Column) -> Column:
-    """The text of an array of (piece, byte) structs; the space before all goes."""
+    """The text of an array of (piece, byte) structs."""
     code = lambda x: F.when(x["byte"].isNotNull(), F.lpad(F.hex(x["byte"]), 2, "0")).otherwise(F.hex(F.encode(F.replace(x["piece"], F.lit(SPACE), F.lit(" ")), "utf-8")))
     raw = F.array_join(F.transform(pieces, code), "")
     return F.decode(F.unhex(raw), "utf-8")
 
 
 def decode(df: DataFrame, path: str, key_cols: list[str], ids_col: str = "ids", keep_lead: bool = False) -> DataFrame:
-    """key columns, text of rows with an array of ids: ids are exploded, equi-joined to the table and folded back in order."""
+    """key columns, text of rows with an array of ids: ids are exploded, equi-joined to the table and folded back in order.
+
+    Keys must tell the rows apart; a row without ids gives an empty text, control ids give nothing.
+    """
     spark = df.sparkSession
     table, _, first = piece_table(spark, path)
     codes = table.select("piece", "id", F.lit(None).cast("int").alias("byte")).unionByName(spark.range(256).select(F.lit(None).cast("string").alias("piece"), (F.col("id") + first).cast("int").alias("id"), F.col("id").cast("int").alias("byte")))
-    rows = df.select(*key_cols, F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(codes), "id")
-    got = rows.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("at", "piece", "byte"))).alias("p"))
-    got = got.select(*key_cols, decoded(F.col("p")).alias("text"))
+    rows = df.select(*key_cols, F.posexplode_outer(ids_col).alias("at", "id")).join(F.broadcast(codes), "id", "left")
+    got = rows.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull() | F.col("byte").isNotNull(), F.struct("at", "piece", "byte")))).alias("p"))
+    got = got.select(*key_cols, F.coalesce(decoded(F.col("p")), F.lit("")).alias("text"))
     return got if keep_lead else got.withColumn("text", F.regexp_replace("text", "^ ", ""))

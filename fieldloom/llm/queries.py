@@ -64,9 +64,8 @@ def op3_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: its ids, and the digest of the text that they decode to."""
-    back = pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    return back.select("doc_id", F.size("ids").alias("n_pieces"), F.array_join("ids", ",").alias("ids"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """Every document by Viterbi: how many pieces it has, and the digests of their ids and of the text that these decode to."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

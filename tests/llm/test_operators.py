@@ -139,52 +139,66 @@ def test_tokenizer_counts_are_registered(spark):
 
 
 # 4
-def test_sentencepiece(spark, docs, odd):
+PIECES = queries.vocabulary("piece_bpe_32k.model")
+
+
+@pytest.mark.parametrize("packed", [pieces.PACKED, 500])
+def test_sentencepiece(spark, docs, odd, empty, monkeypatch, packed):
+    """BPE against the library, repeated rows and shared ids included; decoding against the texts."""
     import sentencepiece
 
-    path = queries.vocabulary("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text").distinct()).where("doc_id <> 8 or length(text) > 0").cache()
-    rows = rows.withColumn("doc_id", F.col("doc_id") * 1000 + F.length(F.coalesce("text", F.lit(""))) % 1000)
-    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    coded = pieces.encode(rows, path)
-    got = {r["doc_id"]: r["ids"] for r in coded.collect()}
-    assert got == {k: sp.encode(t or "") for k, t in texts.items()}
-    back = {r["doc_id"]: r["text"] for r in pieces.decode(coded, path, ["doc_id"]).collect()}
-    assert back == {k: t for k, t in texts.items() if t}
+    monkeypatch.setattr(pieces, "PACKED", packed)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    more = spark.createDataFrame([(8, "another text under this id"), (8, " a  b\n\n c, (d) 12x e-f "), (9, "y" * 3000)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).unionByName(more).cache()
+    want = Counter((r["doc_id"], tuple(sp.encode(r["text"] or "")), r["text"] or "") for r in rows.collect())
+    got = pieces.round_trip(rows, PIECES, "bpe")
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in got.collect()) == want
+    assert pieces.encode(empty, PIECES).count() == 0
+    coded = pieces.encode(docs.select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")), PIECES)
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(coded, PIECES, ["doc_id"]).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in docs.limit(40).collect()} | {-1: "", -2: ""}
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
-def test_sentencepiece_query_codes_every_document(spark, docs, monkeypatch, tmp_path, hot):
-    import sentencepiece
+def test_sentencepiece_query_codes_every_document(spark, docs, tmp_path):
+    import regex
 
-    monkeypatch.setattr(pieces, "HOT", hot)
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " "), (-4, " a  b\n\n c "), (-5, "y" * 3000), (-6, "漢字 😀 á"), (-7, "the " * 5000)], "doc_id long, text string")
     docs.select("doc_id", "text").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES)[0].collect()}
     want = set()
     for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
-        ids = sp.encode(r["text"] or "")
-        want.add((r["doc_id"], len(ids), ",".join(map(str, ids)), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
-    got = queries.op4_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "ids", "decoded_sha256").collect()
+        text = r["text"] or ""
+        # words end at spaces alone here: that letters stand apart must not change a path
+        words = regex.findall("\n|▁*[^▁\n]+|▁+", "▁" + text.replace(" ", "▁")) if text else []
+        ids = [i for w in words for i in pieces.viterbi(w, table, 16, 3)]
+        want.add((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = queries.op4_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "ids_sha256", "decoded_sha256").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_viterbi(spark):
-    """The unigram fold against brute force over all segmentations."""
-    path = queries.vocabulary("piece_bpe_32k.model")
-    table = {r["piece"]: r["score"] for r in pieces.piece_table(spark, path)[0].collect()}
-    words = ["▁there", "▁abc", "▁naive"]
+def test_viterbi(spark, docs):
+    """The fold and its linear form against brute force over all segmentations, and against each other on all words."""
+    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES)[0].collect()}
+    words = ["▁there", "▁abc", "▁naive", "ﬁx😀", "aaaaaaaa"]
 
     def best(w):
         if not w:
             return 0.0
-        return max(table.get(w[:k], -1e10 if k == 1 else -np.inf) + best(w[k:]) for k in range(1, len(w) + 1))
+        return max(table.get(w[:k], (0, pieces.UNKNOWN if k == 1 else -np.inf))[1] + best(w[k:]) for k in range(1, len(w) + 1))
 
-    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
-    by_id = {r["id"]: r["score"] for r in pieces.piece_table(spark, path)[0].collect()}
-    for r in pieces.encode_words(df, path, "unigram").collect():
-        assert sum(by_id[i] for i in r["ids"]) == pytest.approx(best(r["word"]))
+    def worth(w, ids):
+        by_id = {i: (p, x) for p, (i, x) in table.items()}
+        unknown = sum(c not in table for c in w)
+        return sum(by_id[i][1] for i in ids if i in by_id) + unknown * pieces.UNKNOWN
+
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: list(r["ids"]) for r in pieces.encode_words(df, PIECES).collect()}
+    for w in words:
+        assert worth(w, got[w]) == pytest.approx(best(w)) and worth(w, pieces.viterbi(w, table, 16, 3)) == pytest.approx(best(w))
+    every = docs.select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
+    for r in pieces.encode_words(every, PIECES).collect():
+        assert list(r["ids"]) == pieces.viterbi(r["word"], table, 16, 3)
 
 
 # 5
