@@ -35,9 +35,11 @@ def moller_trumbore(prefix: str = "") -> Column:
 
 
 class Grid:
-    """A uniform grid over a mesh, cells of about one triangle's size."""
+    """A uniform grid over a mesh. By default a side has as many cells as a square surface of the mesh's triangles would cross,
+    128 at most, as each ray's plan lists the planes."""
 
-    def __init__(self, points: DataFrame, tris: DataFrame, cells: int = 16):
+    def __init__(self, points: DataFrame, tris: DataFrame, cells: int | None = None):
+        cells = cells or max(4, min(128, round((tris.count() / 2) ** 0.5)))
         b = bounds(points).first()
         lo = np.array([b[f"min_{a}"] for a in "xyz"], float)
         hi = np.array([b[f"max_{a}"] for a in "xyz"], float)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.mesh import HEX
 from fieldloom.operators.scan import dense_index
+from fieldloom.sources.scratch import materialized
 
 #: Corners of the cube's edges (each from its lower corner) ...
 EDGES = [(0, 1), (1, 2), (3, 2), (0, 3), (4, 5), (5, 6), (7, 6), (4, 7), (0, 4), (1, 5), (3, 7), (2, 6)]
@@ -92,7 +93,7 @@ def flying_edges(nodes: DataFrame, iso: float, origin=(0.0, 0.0, 0.0), spacing=(
     Seams between blocks keep both blocks' points.
     """
     keys = (block,) if block else ()
-    at = corners(nodes, val, keys)
+    at = materialized(corners(nodes, val, keys))  # points and triangles both start from it
     pts = dense_index(cut_edges(at, iso, keys), [*keys, "axis", "k", "j", "i"], "pt_id")
     xyz = [(F.lit(float(origin[d])) + (F.col(n) + F.when(F.col("axis") == d, F.col("t")).otherwise(0.0)) * float(spacing[d])).alias(c) for d, (n, c) in enumerate(zip("ijk", "xyz", strict=True))]
     points = pts.select("pt_id", *keys, "axis", "i", "j", "k", *xyz)

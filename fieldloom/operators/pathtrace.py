@@ -30,7 +30,7 @@ def _names(p: str, v: list[Column]) -> dict[str, Column]:
     return {f"{p}{a}": c for a, c in zip("xyz", v, strict=True)}
 
 
-def trace(scene: Scene, camera: Camera, spark: SparkSession, samples: int = 1, bounces: int = 2, cells: int = 16) -> DataFrame:
+def trace(scene: Scene, camera: Camera, spark: SparkSession, samples: int = 1, bounces: int = 2, cells: int | None = None) -> DataFrame:
     """(pid, r, g, b, depth): summed samples are averaged; depth is the first sample's first hit, -1 for none."""
     prepared = scene.prepare("solid")
     rays = spark.range(camera.width * camera.height).select(F.col("id").alias("pid"))

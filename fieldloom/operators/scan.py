@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.sources.scratch import materialized
+
 BLOCK = 65_536
 
 
@@ -42,30 +44,20 @@ def total(df: DataFrame, val: str = "val") -> int:
     return int(df.agg(F.coalesce(F.sum(F.col(val).cast("bigint")), F.lit(0))).first()[0])
 
 
-def dense_index(df: DataFrame, order: list[str], out: str = "idx", block: int = BLOCK, most: int = 512) -> DataFrame:
+def dense_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Rows numbered 0 .. n-1 in the order of columns, which must be a total order for a fixed result.
 
-    Rows are dealt to about n / ``block`` ranges (``most`` at most; ranges spill, they need not fit in memory) by
-    boundaries taken from a bounded sample, numbered within their range and offset by the counts of those before. The
-    boundaries are literals, so a row's range does not depend on how a plan is run.
+    Rows are range-partitioned and sorted, as many partitions as the session shuffles to, and written with their place in
+    their partition; partitions' sizes, one row each, are summed and added. A place is fixed once it is written.
     """
-    n = df.count()
-    ranges = max(1, min(most, -(-n // block)))
-    if ranges > 1:
-        per = 20
-        sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * per).orderBy(*order).collect()
-        kinds = [df.schema[c].dataType for c in order]
-        at = lambda r: F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order, r, kinds, strict=True)])
-        cuts = F.array(*[at(sample[k]) for k in range(per, len(sample), per)])
-        rows = df.withColumn("__block", F.aggregate(cuts, F.lit(0), lambda k, c: k + (F.struct(*order) >= c).cast("int")))
-    else:
-        rows = df.withColumn("__block", F.lit(0))
-    totals = rows.groupBy("__block").agg(F.count("*").alias("__total"))
-    w = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__block", F.coalesce(F.sum("__total").over(w), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1)
-    got = ranked.join(F.broadcast(offsets), "__block")  # ``most`` rows at most
-    return got.withColumn(out, (F.col("__k") + F.col("__before")).cast("bigint")).drop("__block", "__k", "__before")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # below the partition's number
+    placed = materialized(dealt.withColumns({"__part": F.spark_partition_id(), "__k": place}))
+    totals = placed.groupBy("__part").agg(F.count("*").alias("__total"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", F.coalesce(F.sum("__total").over(w), F.lit(0)).alias("__before"))
+    got = placed.join(F.broadcast(offsets), "__part")  # a row a partition
+    return got.withColumn(out, (F.col("__k") + F.col("__before")).cast("bigint")).drop("__part", "__k", "__before")
 
 
 def compact(df: DataFrame, keep: Column, idx: str = "idx", block: int = BLOCK) -> DataFrame:

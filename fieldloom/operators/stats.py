@@ -91,16 +91,24 @@ def histogram(df: DataFrame, val: str = "val", bins: int = 10, range_: tuple[flo
     return edges.join(placed, "bin", "left").select("bin", "lo", "hi", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
 
 
-def keyed(base: DataFrame, updates: DataFrame, how: str, key: str = "idx", val: str = "val") -> DataFrame:
-    """Atomic add, min or max of updates (key, val) into a base field: aggregated by key first, then merged."""
-    agg = {"add": F.sum, "min": F.min, "max": F.max}[how]
-    delta = updates.groupBy(key).agg(agg(val).alias("delta"))
-    old, new = F.col(val), F.col("delta")
-    merged = {"add": old + F.coalesce(new, F.lit(0)), "min": F.least(old, new), "max": F.greatest(old, new)}[how]
-    return base.join(delta, key, "left").withColumn(val, merged).drop("delta")
-
-
-def block_reduce(df: DataFrame, how: str, val: str = "val", idx: str = "idx", size: int = 256) -> DataFrame:
-    """sum, min or max of each workgroup of ``size`` consecutive elements: (block, val)."""
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    return df.groupBy(F.call_function("div", F.col(idx), F.lit(size).cast("bigint")).alias("block")).agg(agg(val).alias(val))
+def keyed(base: DataFrame, updates: DataFrame, how: str | dict[str, str], key: str = "idx", val: str = "val") -> DataFrame:
+    """Atomic add, min or max of updates (key, val) into a base field: aggregated by key first, then merged.
+
+    ``how`` may name the operation of several columns, which share one grouping.
+    """
+    ops = {val: how} if isinstance(how, str) else how
+    agg = {"add": F.sum, "min": F.min, "max": F.max}
+    delta = updates.groupBy(key).agg(*[agg[h](c).alias(f"__{c}") for c, h in ops.items()])
+    merge = {"add": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    merged = {c: merge[h](F.col(c), F.col(f"__{c}")) for c, h in ops.items()}
+    return base.join(delta, key, "left").withColumns(merged).drop(*[f"__{c}" for c in ops])
+
+
+def block_reduce(df: DataFrame, how: str | dict[str, str], val: str = "val", idx: str = "idx", size: int = 256) -> DataFrame:
+    """sum, min or max of each workgroup of ``size`` consecutive elements: (block, val).
+
+    ``how`` may name the operation of several columns, which share one grouping.
+    """
+    ops = {val: how} if isinstance(how, str) else how
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}
+    return df.groupBy(F.call_function("div", F.col(idx), F.lit(size).cast("bigint")).alias("block")).agg(*[agg[h](c).alias(c) for c, h in ops.items()])

@@ -18,13 +18,15 @@ def shifted(df: DataFrame, val: str, offsets: Sequence[int], idx: str = "idx", b
     and no task sees more than a block. NULL beyond the ends.
     """
     reach = max(abs(o) for o in offsets)
-    own = df.withColumn("block", block_of(F.col(idx), block)).withColumn("own", F.lit(True))
-    at = F.col(idx) % block
-    before = own.where(at >= block - reach).withColumn("block", F.col("block") + 1).withColumn("own", F.lit(False))
-    after = own.where(at < reach).withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False))
+    if reach > block:
+        raise ValueError("the stencil reaches beyond the next block")
+    own, at = block_of(F.col(idx), block), F.col(idx) % block
+    place = lambda b, mine: F.struct(b.alias("block"), F.lit(mine).alias("own"))
+    places = F.array(place(own, True), F.when(at >= block - reach, place(own + 1, False)), F.when(at < reach, place(own - 1, False)))
+    dealt = df.withColumn("__p", F.explode(F.array_compact(places))).select(*df.columns, F.col("__p.block").alias("block"), F.col("__p.own").alias("own"))
     w = Window.partitionBy("block").orderBy(idx)
     name = lambda o: f"{val}_{'m' if o < 0 else 'p'}{abs(o)}"
-    out = own.unionByName(before).unionByName(after).withColumns({name(o): F.lag(val, -o).over(w) for o in offsets})
+    out = dealt.withColumns({name(o): F.lag(val, -o).over(w) for o in offsets})
     return out.where("own").drop("block", "own")
 
 
@@ -114,12 +116,13 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
 
 
-def nbody_forces(bodies: DataFrame, softening: float = 0.01, blocks: int = 8) -> DataFrame:
+def nbody_forces(bodies: DataFrame, softening: float = 0.01, size: int = 2048) -> DataFrame:
     """(id, x, y, z, m) to (id, fx, fy, fz) of all pairs, the whole sum of which is the operator.
 
-    Bodies are cut into blocks by id; each pair of blocks meets in its own tasks, so nothing is broadcast. A body
-    meets itself with zero force.
+    Bodies are cut into blocks of about ``size`` by id, 8 at least; each pair of blocks meets in its own tasks, so nothing is
+    broadcast. A body meets itself with zero force.
     """
+    blocks = max(8, -(-bodies.count() // size))
     b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = bodies.withColumn("bi", b).withColumn("bj", others)

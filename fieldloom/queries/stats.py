@@ -78,8 +78,7 @@ def dot(spark, d):
 @query("SELECT event_id // 256 AS block, sum(round(value * 100)::BIGINT)::BIGINT AS s, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 def block_sum_256(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("idx"), cents("value").alias("s"), F.col("value").alias("lo"), F.col("value").alias("hi"))
-    out = stats.block_reduce(e, "sum", "s")
-    return out.join(stats.block_reduce(e, "min", "lo"), "block").join(stats.block_reduce(e, "max", "hi"), "block")
+    return stats.block_reduce(e, {"s": "sum", "lo": "min", "hi": "max"})
 
 
 @query("""SELECT s_suppkey AS idx, round(s_acctbal * 100)::BIGINT + coalesce(q, 0)::BIGINT AS val FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""")
@@ -93,7 +92,7 @@ def atomic_add_scatter(spark, d):
 def atomic_minmax(spark, d):
     base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("low"), F.col("s_acctbal").alias("high"))
     up = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("idx"), F.col("l_extendedprice").alias("low"), F.col("l_extendedprice").alias("high"))
-    return stats.keyed(stats.keyed(base, up, "min", val="low"), up, "max", val="high")
+    return stats.keyed(base, up, {"low": "min", "high": "max"})
 
 
 @query("SELECT " + ", ".join(f"{f}(embedding[{k + 1}])::DOUBLE AS {f}_{c}" for f in ("min", "max") for k, c in enumerate("xyz")) + " FROM embeddings")

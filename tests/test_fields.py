@@ -81,7 +81,7 @@ def test_scans(spark, n):
 def test_dense_index_over_several_ranges(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(int(x), k) for k, x in enumerate(rng.integers(0, 50, 500))], "a int, b int").repartition(5)
-    got = scan.dense_index(df, ["a", "b"], "at", block=40).orderBy("at").collect()
+    got = scan.dense_index(df.repartition(5), ["a", "b"], "at").orderBy("at").collect()
     assert [r["at"] for r in got] == list(range(500)) and [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in got)
 
 
