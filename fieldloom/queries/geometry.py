@@ -162,13 +162,37 @@ def flying_edges_points(spark, d):
     return pts.select("pt_id", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query(None)
+def _corner_values() -> str:
+    return ", ".join(f"({c}, {x}, {y}, {z})" for c, (x, y, z) in enumerate(mesh.HEX))
+
+
+def _case_values() -> str:
+    """(case_id, t, n, corner a's offsets, corner b's offsets) of every triangle's vertices; the table itself is tested by its invariants."""
+    rows = [(c, t, n, *mesh.HEX[contour.EDGES[e][0]], *mesh.HEX[contour.EDGES[e][1]]) for c in range(256) for t, tri in enumerate(contour.triangles(c)) for n, e in enumerate(tri)]
+    return ", ".join(str(r).replace(" ", "") for r in rows)
+
+
+def _cases(keys: str, iso: float) -> str:
+    """SQL of the cells' cases and of their triangles' vertices, over nodes n (keys, i, j, k, s)."""
+    on = lambda t, o: " AND ".join([*[f"{t}.{k} = c.{k}" for k in keys.split(", ") if k], *[f"{t}.{x} = c.{x} + v.{o}{x}" for x in "ijk"]])
+    lead = f"{keys}, " if keys else ""
+    return f"""h(c, di, dj, dk) AS (VALUES {_corner_values()}), v(case_id, t, n, ai, aj, ak, bi, bj, bk) AS (VALUES {_case_values()}),
+    c AS (SELECT {lead}i - di AS i, j - dj AS j, k - dk AS k, sum(CASE WHEN s > {iso} THEN 1 << c ELSE 0 END) AS case_id FROM n, h GROUP BY ALL HAVING count(*) = 8),
+    w AS (SELECT c.*, v.* EXCLUDE (case_id), greatest(0.0, least(1.0, CASE WHEN abs(b.s - a.s) <= 1e-10 THEN 0.5 ELSE ({iso} - a.s) / (b.s - a.s) END)) AS w FROM c JOIN v USING (case_id) JOIN n a ON {on("a", "a")} JOIN n b ON {on("b", "b")})"""
+
+
+@query(f"""WITH o AS {_S3}, n AS (SELECT block, o.* FROM o, (SELECT range AS block FROM range(2))), {_cases("block", 0.0)},
+    e AS (SELECT DISTINCT a.block, a.i, a.j, a.k, CASE WHEN b.i > a.i THEN 0 WHEN b.j > a.j THEN 1 ELSE 2 END AS axis FROM n a JOIN n b ON a.block = b.block AND (a.s > 0) <> (b.s > 0) AND b.i - a.i + b.j - a.j + b.k - a.k = 1 AND b.i >= a.i AND b.j >= a.j AND b.k >= a.k),
+    p AS (SELECT *, row_number() OVER (ORDER BY block, axis, k, j, i) - 1 AS pt FROM e),
+    u AS (SELECT *, row_number() OVER (ORDER BY block, k, j, i, t) - 1 AS tri_id FROM (SELECT DISTINCT block, i, j, k, t FROM w WHERE block = 0 OR i >= 6))
+    SELECT u.tri_id, u.block, max(CASE WHEN n = 0 THEN pt END) AS v0, max(CASE WHEN n = 1 THEN pt END) AS v1, max(CASE WHEN n = 2 THEN pt END) AS v2 FROM u JOIN w USING (block, i, j, k, t) JOIN p ON p.block = u.block AND p.i = w.i + least(ai, bi) AND p.j = w.j + least(aj, bj) AND p.k = w.k + least(ak, bk) AND p.axis = CASE WHEN ai <> bi THEN 0 WHEN aj <> bj THEN 1 ELSE 2 END GROUP BY ALL""")
 def flying_edges_triangles(spark, d):
     """Two stacked blocks; half the cells of the second are masked."""
     one = sphere_nodes(spark)
     both = one.withColumn("block", F.lit(0)).unionByName(one.withColumn("block", F.lit(1)))
     mask = one.where("i < 6").select(F.lit(1).alias("block"), "i", "j", "k", F.lit(1).alias("mask"))
-    return contour.flying_edges(both, 0.0, (-1.5,) * 3, (0.25,) * 3, mask=mask, block="block")[1]
+    out = contour.flying_edges(both, 0.0, (-1.5,) * 3, (0.25,) * 3, mask=mask, block="block")[1]
+    return out.withColumn("block", F.col("block").cast("bigint"))
 
 
 @query("SELECT 2::BIGINT AS euler, true AS closed")
@@ -181,9 +205,13 @@ def flying_edges_topology(spark, d):
     return v.crossJoin(e).crossJoin(f).select((F.col("nv") - F.col("ne") + F.col("nf")).alias("euler"), "closed")  # three rows of one
 
 
-@query(None)
+_AT = lambda x, a: f"round({a} + ({x} + a{x} + w * (b{x} - a{x})) * 0.25, 6)::DOUBLE + 0.0"
+
+
+@query(f"""WITH n AS {_S3}, {_cases("", 0.0)} SELECT i, j, k, t, n, {", ".join(f"{_AT(x, -1.5)} AS {c}" for x, c in zip("ijk", "xyz", strict=True))} FROM w""")
 def marching_cubes(spark, d):
-    return contour.marching_cubes(contour.corners(sphere_nodes(spark)), 0.0, (-1.5,) * 3, (0.25,) * 3)
+    out = contour.marching_cubes(contour.corners(sphere_nodes(spark)), 0.0, (-1.5,) * 3, (0.25,) * 3)
+    return out.select("i", "j", "k", "t", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
 
 
 # adaptive grids
@@ -224,20 +252,30 @@ def fe_quad_map(spark, d):
     return geo.select("elem", F.round(fe.quad_map("x", r, s), 9).alias("x"), F.round(fe.quad_map("y", r, s), 9).alias("y"), F.round(det, 9).alias("det"))
 
 
-@query(None)
+_V = lambda a, b: f"((elem + 1) * {a} * {b} / 16.0 + {a} / 4.0)::DOUBLE"
+_SIDES = [((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0))]
+
+
+@query(f"""WITH g AS (SELECT e.range AS elem, a.range AS si, b.range AS sj FROM range(5) e, range(4) a, range(4) b),
+    x AS ({" UNION ALL ".join(f"SELECT elem, si, sj, {k} AS k, {_V(f'(si + {a[0]})', f'(sj + {a[1]})')} AS va, {_V(f'(si + {b[0]})', f'(sj + {b[1]})')} AS vb, {a[0]} AS ar, {a[1]} AS a_s, {b[0]} AS br, {b[1]} AS bs FROM g" for k, (a, b) in enumerate(_SIDES))}),
+    c AS (SELECT elem, si, sj, row_number() OVER (PARTITION BY elem, si, sj ORDER BY k) - 1 AS q, elem + (si + ar + (0.8 - va) / (vb - va) * (br - ar)) * 0.25 AS x, (sj + a_s + (0.8 - va) / (vb - va) * (bs - a_s)) * 0.25 AS y FROM x WHERE (va >= 0.8) <> (vb >= 0.8))
+    SELECT a.elem, a.si, a.sj, a.q // 2 AS seg, round(a.x, 6)::DOUBLE AS ax, round(a.y, 6)::DOUBLE AS ay, round(b.x, 6)::DOUBLE AS bx, round(b.y, 6)::DOUBLE AS by FROM c a JOIN c b ON b.elem = a.elem AND b.si = a.si AND b.sj = a.sj AND b.q = a.q + 1 AND a.q % 2 = 0""")
 def fe_isolines(spark, d):
     g = grid(spark, 5, 5, 5, names="eab").select(F.col("e").alias("elem"), F.col("b").alias("si"), F.col("a").alias("sj"))
     vals = g.withColumn("v", (F.col("elem") + 1) * F.col("si") * F.col("sj") / 16.0 + F.col("si") / 4.0)
     geo = spark.range(5).select(F.col("id").alias("elem"), *[(F.col("id") + x).cast("double").alias(f"x{k}") for k, x in enumerate((0, 1, 1, 0))], *[F.lit(float(y)).alias(f"y{k}") for k, y in enumerate((0, 0, 1, 1))])
-    return contour.isolines(vals, geo, 4, 0.8)
+    out = contour.isolines(vals, geo, 4, 0.8)
+    return out.select("elem", "si", "sj", F.col("seg").cast("bigint").alias("seg"), *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
-@query(None)
+@query(f"""WITH n AS (SELECT e.range AS elem, a.range AS i, b.range AS j, c.range AS k, (pow(a.range / 4.0 - 0.5, 2) + pow(b.range / 4.0 - 0.5, 2) + pow(c.range / 4.0 - 0.5, 2))::DOUBLE AS s FROM range(3) e, range(5) a, range(5) b, range(5) c), {_cases("elem", 0.1)}
+    SELECT elem, i, j, k, t, n, {", ".join(f"{_AT(x, a)} AS {c}" for x, a, c in (("i", "elem", "x"), ("j", "0", "y"), ("k", "0", "z")))} FROM w""")
 def fe_isosurface(spark, d):
     g = grid(spark, 3, 5, 5, 5, names="ekji").withColumnRenamed("e", "elem").drop("idx")
     vals = g.withColumn("v", F.pow(F.col("i") / 4.0 - 0.5, 2) + F.pow(F.col("j") / 4.0 - 0.5, 2) + F.pow(F.col("k") / 4.0 - 0.5, 2))
     cols = [(F.col("id") + float(o[0])).alias(f"x{k}") for k, o in enumerate(mesh.HEX)] + [F.lit(float(o[d])).alias(f"{c}{k}") for k, o in enumerate(mesh.HEX) for d, c in ((1, "y"), (2, "z"))]
-    return contour.isosurface(vals, spark.range(3).select(F.col("id").alias("elem"), *cols), 4, 0.1)
+    out = contour.isosurface(vals, spark.range(3).select(F.col("id").alias("elem"), *cols), 4, 0.1)
+    return out.select("elem", "i", "j", "k", "t", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
 
 
 @query("SELECT elem, j, idx * 1.5 AS val FROM (SELECT range AS elem, unnest(range(4)) AS j, unnest([range * 3 + 1, range * 3 + 0, range * 3 + 2, range * 3 + 3]) AS idx FROM range(6))")

@@ -126,9 +126,14 @@ def shadow_rays(spark, d):
     return bvh.Grid(*height_mesh(spark), cells=8).blocked(rays, ["pid"], "dist")
 
 
-@query(None)
+_Q = lambda c: f"least(1023, trunc((t.{c} - b.{c}0) / (b.{c}1 - b.{c}0) * 1024.0))::BIGINT"
+_SPREAD = lambda e: "(" + " | ".join(f"((({e} >> {k}) & 1) << {3 * k})" for k in range(10)) + ")"
+
+
+@query(f"""WITH b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {_PTS}), t AS (SELECT tri_id, (a.x + b.x + c.x) / 3 AS x, (a.y + b.y + c.y) / 3 AS y, (a.z + b.z + c.z) / 3 AS z FROM {_TRIS} JOIN {_PTS} a ON a.pt_id = v0 JOIN {_PTS} b ON b.pt_id = v1 JOIN {_PTS} c ON c.pt_id = v2),
+    q AS (SELECT tri_id, {_Q("x")} AS x, {_Q("y")} AS y, {_Q("z")} AS z FROM t, b), m AS (SELECT tri_id, (({_SPREAD("x")} << 2) | ({_SPREAD("y")} << 1) | {_SPREAD("z")})::BIGINT AS code FROM q) SELECT tri_id, code, row_number() OVER (ORDER BY code, tri_id) - 1 AS place FROM m""")
 def bvh_order(spark, d):
-    return bvh.morton_order(*height_mesh(spark))
+    return bvh.morton_order(*height_mesh(spark)).select("tri_id", "code", "place")
 
 
 @query("SELECT range AS node, CASE WHEN range = 0 THEN NULL ELSE (range - 1) // 2 END AS parent FROM range(1, 15)")
