@@ -110,16 +110,17 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_a_range: int = 100
     lie unevenly make ranges uneven, which costs time alone.
     """
     scratch = Scratch(df.sparkSession, "fingerprint")
+    df = df.select(id_col, text_col)
     n, low, high = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
     ranges = max(1, -(-n // rows_a_range))
     width = (high - low) // ranges + 1 if n else 1
     range_of = F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)).cast("long")
-    first = df.select(F.col(id_col).alias("head"), range_of.alias("range")).where("range is not null").groupBy("range").agg(F.max("head").alias("head"))
+    first = df.select(F.col(id_col).alias("__head"), range_of.alias("range")).where("range is not null").groupBy("range").agg(F.max("__head").alias("__head"))
     down = Window.orderBy("range")
-    chain = first.select("head", F.coalesce(F.lead("range").over(down), F.min("range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    chain = first.select("__head", F.coalesce(F.lead("range").over(down), F.min("range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__to"))
     chain = scratch.keep("chain", chain)  # written, so that its size is known and the join below does not move texts
     s = F.struct("text", "fingerprint")
-    heads = fingerprints(df.join(chain, df[id_col] == chain["head"]).select(F.col("to").alias(id_col), text_col), id_col, text_col)
+    heads = fingerprints(df.join(chain, df[id_col] == chain["__head"]).select(F.col("__to").alias(id_col), text_col), id_col, text_col)
     heads = scratch.keep("heads", heads.groupBy(F.col(id_col).alias("range")).agg(F.min(s).alias("over")))
     placed = fingerprints(df, id_col, text_col).withColumn("range", range_of)
     led = placed.withColumn("led", F.lead(s).over(Window.partitionBy("range").orderBy(F.desc(id_col), "text")))
@@ -127,9 +128,10 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_a_range: int = 100
 
 
 def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, n_chars, fingerprint, next_fingerprint, edited_text, edited_fingerprint, near_edited, near_next.
+    """id, text, n_chars, fingerprint, next_fingerprint, edited_text, edited_fingerprint, edits, near_edited, near_next.
 
-    The edited text is the text with its last half (rounded down) replaced by the start of the next document's.
+    The edited text is the text with its last half (rounded down) replaced by the start of the next document's; ``edits`` are
+    the places of its leaves that differ.
     """
     rows = with_next(df, id_col, text_col)
     n = F.char_length("text")
@@ -143,7 +145,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(F.col("next.fingerprint"), F.col("fingerprint")).alias("next_fingerprint"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring(following, F.lit(1), half)).alias("edited_text"),
     )
-    out = out.withColumn("t", tree(F.col("edited_text"))).withColumn("edited_fingerprint", fingerprint(F.col("t"))).drop("t")
+    out = out.withColumn("t", tree(F.col("edited_text"))).withColumns({"edited_fingerprint": fingerprint(F.col("t")), "edits": edits(tree(F.col("text")), F.col("t"))}).drop("t")
     out = out.withColumns({"a": leaves(F.col("fingerprint")), "b": leaves(F.col("edited_fingerprint")), "c": leaves(F.col("next_fingerprint"))})
     like = lambda fp, x: likeness(F.col("fingerprint"), F.col(fp), F.col("a"), F.col(x))
     return out.withColumns({"near_edited": like("edited_fingerprint", "b"), "near_next": like("next_fingerprint", "c")}).drop("a", "b", "c")
@@ -160,6 +162,8 @@ t AS (SELECT *, list_transform([text, nxt, edited], lambda x: list_transform(str
 f AS (SELECT *, list_transform(ts, lambda x: sha256(array_to_string(list_transform(x, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ','))), ','))), ','))) AS roots,
     list_transform(ts, lambda x: list_transform(flatten(flatten(x)), lambda h: substring(h, 1, 12))) AS leaves FROM t)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+    list_sum(list_transform(range(1, greatest(len(ts[1]), len(ts[3])) + 1), lambda i: list_sum(list_transform(range(1, greatest(len(ts[1][i]), len(ts[3][i])) + 1),
+        lambda j: len(list_filter(range(1, greatest(len(ts[1][i][j]), len(ts[3][i][j]), 1) + 1), lambda k: ts[1][i][j][k] IS DISTINCT FROM ts[3][i][j][k]))))))::BIGINT AS n_edits,
     roots[1] || ':' || array_to_string(leaves[1], '.') AS fingerprint,
     roots[3] || ':' || array_to_string(leaves[3], '.') AS edited_fingerprint,
     CASE WHEN roots[1] = roots[3] THEN 1.0::DOUBLE WHEN len(leaves[1]) + len(leaves[3]) = 0 THEN 0.0::DOUBLE

@@ -97,7 +97,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.with_edits(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("edits").cast("long").alias("n_edits"))
 
 
 SHARD_BYTES = 1 << 20

@@ -479,6 +479,8 @@ def test_fingerprints(spark, docs, odd, empty):
     rows = {r["doc_id"]: r for r in fingerprint.with_edits(odd).collect()}
     assert rows[1]["fingerprint"] == rows[2]["fingerprint"] and rows[2]["near_next"] == 1.0
     assert fingerprint.with_edits(empty).count() == 0
+    clash = fingerprint.with_edits(odd.withColumns({"to": F.lit(1), "head": F.lit(2), "next": F.lit(3), "t": F.lit(4)}))
+    assert clash.columns == fingerprint.with_edits(odd).columns and clash.count() == odd.count()
 
 
 def test_edits_locate_branches(spark):
