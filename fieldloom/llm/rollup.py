@@ -9,11 +9,13 @@ again changes nothing; a batch that broke off is written anew over its own remai
 
 Defined results: null text counts 0 tokens; null source or language are groups of their own; deleting an
 unknown document changes nothing; inserting a known one revises it; of rows with one id in a batch the one with the
-greatest (operation, source, language, counts) holds; an empty batch commits no rows; other columns are not read.
+greatest ``seq`` holds if the changes have that column, else, and among equals, the one with the greatest (operation, source,
+language, counts); an empty batch commits no rows; other columns are not read. Names of batches are letters, digits and ``_.-``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,14 +87,16 @@ class Rollup:
         return s.groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "alive"), "seq").alias("s")).select("doc_id", "version", "s.*")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commits changes (op, doc_id, source, lang, text); False if the batch was committed before."""
+        """Commits changes (op, doc_id, source, lang, text[, seq]); False if the batch was committed before."""
+        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", batch):
+            raise ValueError(f"not a batch's name: {batch!r}")
         done = self.committed()
         if batch in done:
             return False
         text = F.coalesce("text", F.lit(""))
         new = changes.select(
             "doc_id",
-            F.struct((F.col("op") != "delete").alias("alive"), "source", "lang", F.struct(*[c(text).cast("long").alias(f"v{k}") for k, c in enumerate(self.counters.values())]).alias("n")).alias("c"),
+            F.struct((F.col("seq") if "seq" in changes.columns else F.lit(0)).alias("seq"), (F.col("op") != "delete").alias("alive"), "source", "lang", F.struct(*[c(text).cast("long").alias(f"v{k}") for k, c in enumerate(self.counters.values())]).alias("n")).alias("c"),
         )
         new = new.groupBy("doc_id").agg(F.max("c").alias("c"))
         versions = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"c.n.v{k}").alias("tokens")) for k, v in enumerate(self.counters)]))

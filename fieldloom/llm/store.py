@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,10 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of the warehouse, or of a single machine's (tests) own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        at = f"{spark.conf.get('spark.sql.warehouse.dir')}/_fieldloom"
     if not at:
         at = _local.setdefault("dir", "") or tempfile.mkdtemp(prefix="fieldloom-")
         _local["dir"] = at

@@ -57,6 +57,16 @@ def test_novel_secrets():
     assert [k for *_, k in secrets.find("bearer x9Kq2LmZ8vTr4WpYc7Nd1BsF")] == ["novel"]
     assert secrets.find("session configuration1configuration1configuration1") == []
     assert secrets.find("the token of thereationing, and private things") == []
+    draw = np.random.default_rng(12)
+    kinds = ["0123456789abcdefABCDEF", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = ["".join(draw.choice(list(kinds[k % 4]), [20, 32, 64, 128, 40][k % 5])) for k in range(80)]
+    forms = ["credential {}", "the session cookie was {} today", "authorization of the app-server:\n{}\n", "bearer {} and bearer {}", "private application_settings_v2 then {}"]
+    texts = [forms[k % 5].replace("{}", key) for k, key in enumerate(keys)]
+    hit = [all(any(s <= m.start() and m.end() <= e for s, e, _ in secrets.find(t)) for m in re.finditer(re.escape(key), t)) for t, key in zip(texts, keys, strict=True)]
+    assert sum(hit) >= 0.9 * len(hit)
+    harmless = "internationalization authentication_middleware_factory getElementsByClassName com/example/application/configuration administrators/documentation connection_timeout_seconds representation/implementation content-management-system requirements-development user_registration_service production-environment-settings Verantwortungsbewusstsein responsabilidades-internacionales src/main/java/com/example/Controller development_database_backup environmental-protection-agency".split()
+    reported = [w for w in harmless if secrets.find(f"the private session of {w} is a token for {w} here")]
+    assert len(reported) <= 0.1 * len(harmless), reported
     assert secrets.redact("a password=abcdefgh1 b", secrets.find("a password=abcdefgh1 b"), "#") == "a # b"
 
 
@@ -117,6 +127,10 @@ def test_rollup(spark, tmp_path):
     assert r.apply("2", make([("revise", 1, "b", "en", "x y"), ("delete", 2, None, None, None), ("delete", 9, None, None, None)]))
     assert total() == {("b", "en"): (1, 2), (None, None): (1, 0)}
     assert r.apply("3", make([])) and total() == {("b", "en"): (1, 2), (None, None): (1, 0)}
+    later = spark.createDataFrame([("insert", 7, "c", "en", "x", 1), ("delete", 7, None, None, None, 2), ("delete", 8, None, None, None, 1), ("insert", 8, "c", "en", "x y", 2)], "op string, doc_id long, source string, lang string, text string, seq int")
+    assert r.apply("4", later) and total() == {("b", "en"): (1, 2), (None, None): (1, 0), ("c", "en"): (1, 2)}
+    with pytest.raises(ValueError):
+        r.apply("../5", later)
     count = rollup.bpe(queries.vocabulary())
     n = spark.createDataFrame([("hello world",), (None,)], "t string").select(count(F.col("t")).alias("n")).collect()
     assert [x["n"] for x in n] == [2, 0]
