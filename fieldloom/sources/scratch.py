@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where the session names none."""
+    """``spark.checkpoint.dir``; where the session names none, a folder of the warehouse, or of a single machine's own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_fieldloom"
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="fieldloom-"))
     return _own[0]
