@@ -45,7 +45,7 @@ def _inside(df: DataFrame, camera: Camera) -> DataFrame:
 
 def wire_fragments(points: DataFrame, tris: DataFrame, camera: Camera) -> DataFrame:
     """Edges of triangles (tri_id, v0, v1, v2[, r, g, b]) with both ends visible, one fragment a step along the longer axis,
-    depth interpolated. Places along the shorter axis are rounded, which differs from an error-accumulating line by a pixel at most."""
+    depth interpolated. Along the shorter axis the line steps as Bresenham's does: to the nearest pixel, halves towards its start."""
     scr = camera.project(points).select("pt_id", F.col("sx").cast("int").alias("x"), F.col("sy").cast("int").alias("y"), "depth", "visible")
     rgb = [F.col(c) if c in tris.columns else F.lit(0.8).alias(c) for c in "rgb"]
     pairs = F.explode(F.array(*[F.struct(F.col(a).alias("p"), F.col(b).alias("q")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])).alias("e")
@@ -55,7 +55,8 @@ def wire_fragments(points: DataFrame, tris: DataFrame, camera: Camera) -> DataFr
     e = e.where("visiblep and visibleq").withColumn("n", F.greatest(F.abs(F.col("xq") - F.col("xp")), F.abs(F.col("yq") - F.col("yp")), F.lit(1)))
     e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("t", F.col("k") / F.col("n"))
     lerp = lambda c: F.col(f"{c}p") + F.col("t") * (F.col(f"{c}q") - F.col(f"{c}p"))
-    e = e.withColumns({"px": F.round(lerp("x")).cast("int"), "py": F.round(lerp("y")).cast("int"), "depth": lerp("depth")})
+    along = lambda c: F.expr(f"cast((2 * abs({c}q - {c}p) * k + n - 1) div (2 * n) as int)") * F.signum(F.col(f"{c}q") - F.col(f"{c}p")).cast("int")
+    e = e.withColumns({"px": F.col("xp") + along("x"), "py": F.col("yp") + along("y"), "depth": lerp("depth")})
     return _inside(e, camera).select("pid", "depth", "r", "g", "b", "id")
 
 

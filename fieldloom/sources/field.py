@@ -70,8 +70,24 @@ class Field:
             raise ValueError(f"cannot reshape {self.shape} to {new}")
         return replace(self, shape=new)
 
-    def copy(self) -> Field:
-        return replace(self, writable=True)
+    def copy(self, n: int | None = None) -> Field:
+        """A writable copy, of the first n elements if given."""
+        if n is None:
+            return replace(self, writable=True)
+        if not 0 <= n <= self.size:
+            raise ValueError(f"{n} is not a number of elements of {self.shape}")
+        return replace(self, df=self.df.where(F.col("idx") < n), shape=(n,), writable=True)
+
+    def with_copied(self, src: Field, n: int | None = None, offset: int = 0) -> Field:
+        """This field with the first n elements of ``src`` (all if not given) in the places from ``offset`` on, converted to its type.
+
+        Elements beyond either end are left out.
+        """
+        self._check_writable()
+        m = src.size if n is None else min(n, src.size)
+        new = src.df.where(F.col("idx") < m).select((F.col("idx") + offset).alias("idx"), ty.cast(F.col("val"), self.dtype, src.dtype).alias("__new"), F.lit(True).alias("__hit"))
+        both = self.df.join(new, "idx", "left")
+        return replace(self, df=both.select("idx", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("val")).alias("val")))
 
     def index(self, *subscripts: Column | int) -> Column:
         """The row-major linear index of subscripts."""
@@ -98,8 +114,19 @@ class Field:
             raise ValueError(f"shape {tuple(a.shape)} is not {self.shape}")
         return field_like(self.df.sparkSession, a.astype(self.dtype.numpy), self.dtype)
 
-    def __dlpack__(self, **kw):
-        return self.to_numpy().__dlpack__(**kw)
+    def __dlpack__(self, *, stream=None, max_version=None, dl_device=None, copy=None):
+        """The values on the host. A read-only field is exported as such, for which a consumer must ask for version 1 or later;
+        a consumer that wants no copy is refused, as a distributed field has none to share."""
+        if stream is not None:
+            raise ValueError("host memory has no stream")
+        if dl_device is not None and tuple(dl_device) != self.__dlpack_device__():
+            raise BufferError("fields are exported to host memory only")
+        if copy is False:
+            raise BufferError("a field's values are always copied")
+        a = self.to_numpy()
+        if not self.writable:
+            a.flags.writeable = False
+        return a.__dlpack__(max_version=max_version)
 
     def __dlpack_device__(self):
         return (1, 0)
@@ -184,9 +211,10 @@ def field_like(spark: SparkSession, a, dtype: Scalar | None = None) -> Field:
     return Field(spark.createDataFrame(table, schema), dtype, tuple(a.shape))
 
 
-def from_dlpack(spark: SparkSession, source, writable: bool = False) -> Field:
-    """A field of what exports DLPack on the host; read-only unless asked. Values are copied once, to Arrow."""
-    a = np.from_dlpack(source)
+def from_dlpack(spark: SparkSession, source, writable: bool = False, copy: bool | None = None) -> Field:
+    """A field of what exports DLPack on the host; read-only unless asked, or if the exporter is to copy. Values are copied once, to Arrow."""
+    a = np.from_dlpack(source) if copy is None else np.from_dlpack(source, copy=copy)
+    writable = writable or copy is True
     if not a.flags.c_contiguous:
         raise ValueError("only C-contiguous arrays are taken")
     return replace(field_like(spark, a), writable=writable)
@@ -229,6 +257,32 @@ def from_tuples(df: DataFrame, n: int, key: str = "idx", val: str = "val") -> Da
     return df.select(F.col(key).alias("t"), F.posexplode(val).alias("k", "val")).select((F.col("t") * n + F.col("k")).alias("idx"), "val")
 
 
+def tuples_of(f: Field, n_components: int | None = None, name: str = "val") -> DataFrame:
+    """A field as rows (idx, ``name`` array) of tuples. A second dimension is the number of components; of a flat field of
+    interleaved values it must be given."""
+    if n_components is None:
+        if len(f.shape) > 2:
+            raise ValueError(f"a field of shape {f.shape} has no order of tuples; give the components or reshape it")
+        n_components = f.shape[1] if len(f.shape) == 2 else 1
+    elif n_components < 1:
+        raise ValueError(f"{n_components} components")
+    elif len(f.shape) == 2 and f.shape[1] != n_components:
+        raise ValueError(f"{n_components} components of a field of shape {f.shape}")
+    elif f.size % n_components:
+        raise ValueError(f"{f.size} values are no tuples of {n_components}")
+    return to_tuples(f.df, n_components).withColumnRenamed("val", name)
+
+
+def field_of_tuples(df: DataFrame, dtype: Scalar, val: str = "val", flatten: bool = False) -> Field:
+    """Rows (idx, array) of tuples as a field of shape (tuples, components); one component, or ``flatten``, gives a flat one."""
+    sizes = df.agg(F.count("*").alias("n"), F.min(F.size(val)).alias("lo"), F.max(F.size(val)).alias("hi")).first()
+    if sizes["n"] and sizes["lo"] != sizes["hi"]:
+        raise ValueError("tuples of different lengths")
+    n, m = sizes["n"], sizes["hi"] or 1
+    flat = from_tuples(df, m, "idx", val).select("idx", F.col("val").cast(dtype.spark).alias("val"))
+    return Field(flat, dtype, (n * m,) if flatten or m == 1 else (n, m))
+
+
 def last(f: Field) -> float:
     return f.df.where(F.col("idx") == f.size - 1).first()["val"]
 

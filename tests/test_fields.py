@@ -94,3 +94,62 @@ def test_scatter_takes_the_last_writer(spark):
 def test_bits(spark):
     r = spark.range(1).select(bits.clz32(F.lit(1)), bits.clz32(F.lit(0)), bits.morton(F.lit(1.0), F.lit(0.0), F.lit(0.0)), bits.halton(F.lit(0), 2), bits.halton(F.lit(1), 3)).first()
     assert tuple(r) == (31, 32, int("100" * 10, 2), 0.5, pytest.approx(2 / 3))
+
+
+def test_copies_of_parts(spark):
+    a, b = fl.arange(spark, 5, ty.i32), fl.full(spark, ty.f64, 4, 9.5)
+    assert a.copy(3).to_numpy().tolist() == [0, 1, 2] and a.copy(3).shape == (3,)
+    assert b.with_copied(a, 2, 1).to_numpy().tolist() == [9.5, 0.0, 1.0, 9.5]
+    assert b.with_copied(a, offset=2).to_numpy().tolist() == [9.5, 9.5, 0.0, 1.0]
+    with pytest.raises(ValueError):
+        a.copy(6)
+
+
+def test_dlpack_flags(spark):
+    f = fl.arange(spark, 4, ty.f64)
+    assert np.from_dlpack(f).tolist() == [0, 1, 2, 3]
+    locked = fl.from_dlpack(spark, np.arange(3.0))
+    assert not locked.writable and fl.from_dlpack(spark, np.arange(3.0), copy=True).writable
+    assert not np.from_dlpack(locked).flags.writeable
+    with pytest.raises(BufferError):
+        f.__dlpack__(copy=False)
+    with pytest.raises(BufferError):
+        f.__dlpack__(dl_device=(2, 0))
+
+
+def test_tuples_and_their_errors(spark):
+    f = fl.arange(spark, 6, ty.f64)
+    rows = fl.tuples_of(f, 3, "p").orderBy("idx").collect()
+    assert [r["p"] for r in rows] == [[0, 1, 2], [3, 4, 5]]
+    assert fl.field_of_tuples(fl.tuples_of(f.reshape(2, 3)), ty.f64).shape == (2, 3)
+    assert fl.field_of_tuples(fl.tuples_of(f, 3), ty.f64, flatten=True).to_numpy().tolist() == list(range(6))
+    for bad, n in ((f, 4), (f, 0), (f.reshape(2, 3), 2), (f.reshape(1, 2, 3), None)):
+        with pytest.raises(ValueError):
+            fl.tuples_of(bad, n)
+
+
+def test_lines_step_as_bresenham(spark):
+    from fieldloom.operators import camera, raster
+
+    cam = camera.orthographic((0, 0, 5), (0, 0, 0), view_height=2.0, width=64, height=64)
+    rng = np.random.default_rng(5)
+    pts = spark.createDataFrame([(k, *map(float, rng.uniform(-0.9, 0.9, 3))) for k in range(9)], "pt_id long, x double, y double, z double")
+    tris = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5), (2, 6, 7, 8)], "tri_id long, v0 long, v1 long, v2 long")
+    at = {r["pt_id"]: (int(r["sx"]), int(r["sy"])) for r in cam.project(pts).collect()}
+    want = set()
+    for t in tris.collect():
+        for p, q in ((t["v0"], t["v1"]), (t["v1"], t["v2"]), (t["v2"], t["v0"])):
+            (x, y), (x1, y1) = at[p], at[q]
+            dx, dy = abs(x1 - x), -abs(y1 - y)
+            err = dx + dy
+            while True:
+                want.add((t["tri_id"], y * 64 + x))
+                if (x, y) == (x1, y1):
+                    break
+                e2 = 2 * err
+                if e2 > dy:
+                    err, x = err + dy, x + (1 if x1 > x else -1)
+                if e2 < dx:
+                    err, y = err + dx, y + (1 if y1 > y else -1)
+    got = {(r["id"], r["pid"]) for r in raster.wire_fragments(pts, tris, cam).collect()}
+    assert got == want
