@@ -68,6 +68,11 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
 
 def edits(a: Column, b: Column) -> Column:
     """array<struct<section,paragraph,leaf>> of the leaves of tree ``b`` that differ from tree ``a``, descending only where hashes differ."""
+    # bound as one value, so that the trees are not computed again at every step down
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: _edits(x["a"], x["b"]))[0]
+
+
+def _edits(a: Column, b: Column) -> Column:
     at = lambda c, i: F.get(c, i)
 
     def in_paragraph(i, j, p, q):
