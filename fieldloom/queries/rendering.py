@@ -157,6 +157,20 @@ def volume_render(spark, d):
     return volume.render(cam, _voxels(spark), (_N,) * 3, (-1, -1, -1), (1, 1, 1), colour.TransferFunction("cool_to_warm", n=64, range_=(0.0, 6.1)), 0.1)
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT range AS pid, -1.2e0 + (range % 16 + 0.5e0) * 0.15e0 AS ox, 1.2e0 - (range // 16 + 0.5e0) * 0.15e0 AS oy FROM range(256)),
+    q AS (SELECT pid, k.range AS step, (ox + 1) / 2 * 7 AS a, (oy + 1) / 2 * 7 AS b, (5 - (4 + k.range * 0.1e0) + 1) / 2 * 7 AS c FROM p, range(20) k WHERE abs(ox) <= 1 AND abs(oy) <= 1),
+    o AS (SELECT q.*, floor(a)::INT + x.range AS ia, floor(b)::INT + y.range AS ib, floor(c)::INT + z.range AS ic, CASE WHEN x.range = 1 THEN a - floor(a) ELSE 1 - (a - floor(a)) END * CASE WHEN y.range = 1 THEN b - floor(b) ELSE 1 - (b - floor(b)) END * CASE WHEN z.range = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END AS w FROM q, range(2) x, range(2) y, range(2) z),
+    s AS (SELECT pid, step, sum(w * s) AS val FROM o JOIN {_VOX} v ON v.ix = least(7, ia) AND v.iy = least(7, ib) AND v.iz = least(7, ic) GROUP BY 1, 2),
+    e AS (SELECT pid, step, least(10, trunc(least(1.0e0, greatest(0.0e0, val / 6.1e0)) * 10)) / 10 AS c FROM s), t AS (SELECT *, 1 - exp(-(0.5e0 * c) * 4 * 0.1e0) AS al FROM e),
+    f(pid, step, r, al) AS (SELECT pid, -1::BIGINT, 0.0e0, 0.0e0 FROM p UNION ALL SELECT f.pid, f.step + 1, CASE WHEN f.al > 0.99e0 THEN f.r ELSE f.r + (1 - f.al) * t.al * t.c END, CASE WHEN f.al > 0.99e0 THEN f.al ELSE f.al + (1 - f.al) * t.al END FROM f JOIN t ON t.pid = f.pid AND t.step = f.step + 1)
+    SELECT pid, round(r, 6) AS r, round(al, 6) AS alpha FROM f QUALIFY step = max(step) OVER (PARTITION BY pid)""")
+def volume_render_parallel(spark, d):
+    """Parallel rays through a volume, shaded from black to white."""
+    cam = camera.orthographic((0, 0, 5), (0, 0, 0), view_height=2.4, width=16, height=16)
+    out = volume.render(cam, _voxels(spark), (_N,) * 3, (-1, -1, -1), (1, 1, 1), colour.TransferFunction("grayscale", n=11, range_=(0.0, 6.1)), 0.1, 4.0)
+    return out.select("pid", F.round("r", 6).alias("r"), F.round("alpha", 6).alias("alpha"))
+
+
 @query("""SELECT event_id, arg_max(b, lvl * 100 + b)::BIGINT AS block_id FROM (SELECT event_id, (event_id % 64) / 4.0 AS x, (event_id % 48) / 4.0 AS y FROM events) p JOIN (SELECT range AS b, CASE WHEN range = 0 THEN 0 ELSE 1 END AS lvl, CASE WHEN range = 0 THEN 0 ELSE range * 4.0 END AS lx, CASE WHEN range = 0 THEN 16.0 ELSE range * 4.0 + 3 END AS hx FROM range(4)) k ON x >= lx AND x < hx AND y < 16 GROUP BY 1""")
 def block_lookup(spark, d):
     e = F.col("event_id")
