@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.sources.scratch import materialized
+
 
 def gather(left: DataFrame, key: str, source: DataFrame, idx: str = "idx", val: str = "val", out: str = "gathered") -> DataFrame:
     """``source[left[key]]``; Spark picks broadcast or shuffle by the source's size."""
@@ -37,23 +39,24 @@ def indirect(df: DataFrame, keys: list[tuple[str, DataFrame]], out: str) -> Data
 
 
 def asof_cell(points: DataFrame, pos: str, axis: DataFrame, coord: str = "coord", cell: str = "cell") -> DataFrame:
-    """The cell (interval between neighbouring coordinates) of each position, clamped at the ends.
+    """The cell (interval between neighbouring coordinates) of each position, clamped at the ends; a null position is in the first.
 
-    Axis and positions are bucketed by a grid of the axis' mean spacing; an axis interval is copied to each bucket that
-    it meets, so the join is an equi-join. ``axis`` holds (cell, coord), cells numbered 0 .. n-1.
+    Coordinates and positions are sorted together by range, and each position takes the last cell before it; a range that
+    begins between two coordinates takes the last cell of the ranges before, one row each. However uneven the axis is, no
+    cell meets more than its own positions. ``axis`` holds (cell, coord), cells numbered 0 .. n-1 in the order of coordinates.
     """
-    ends = axis.agg(F.min(coord).alias("lo"), F.max(coord).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = float(ends["lo"]), float(ends["hi"]), int(ends["n"])
-    width = (hi - lo) / max(1, n - 1) or 1.0
-    nxt = axis.select((F.col(cell) - 1).alias(cell), F.col(coord).alias("right"))
-    spans = axis.select(cell, F.col(coord).alias("left")).join(nxt, cell)
-    place = lambda x: F.floor((x - lo) / width)
-    spans = spans.withColumn("bucket", F.explode(F.sequence(place(F.col("left")), place(F.col("right")))))
-    clamped = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(pos).cast("double")))
-    at = points.withColumn("__p", clamped).withColumn("bucket", place(F.col("__p")))
-    last = n - 2
-    hit = (F.col("__p") >= F.col("left")) & ((F.col("__p") < F.col("right")) | ((F.col(cell) == last) & (F.col("__p") <= F.col("right"))))
-    return at.join(spans, "bucket").where(hit).drop("bucket", "left", "right", "__p")
+    n = axis.count()
+    order = ["__p", "__kind", "__cell"]
+    marks = axis.select(F.col(coord).cast("double").alias("__p"), F.lit(0).alias("__kind"), F.col(cell).alias("__cell"), F.lit(None).cast(points.schema).alias("__row"))
+    rows = points.select(F.col(pos).cast("double").alias("__p"), F.lit(1).alias("__kind"), F.lit(None).cast(axis.schema[cell].dataType).alias("__cell"), F.struct("*").alias("__row"))
+    dealt = marks.unionByName(rows).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = materialized(dealt)
+    ends = dealt.groupBy("__part").agg(F.max("__cell").alias("__end"))
+    before = ends.select("__part", F.max("__end").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = F.last("__cell", ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumn("__in", inside).where("__kind = 1").join(F.broadcast(before), "__part")  # a row a partition
+    at = F.least(F.coalesce("__in", "__before", F.lit(0)), F.lit(n - 2)).cast(axis.schema[cell].dataType)
+    return found.select("__row.*", at.alias(cell))
 
 
 def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, axes: list[str], size: int) -> DataFrame:

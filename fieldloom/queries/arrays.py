@@ -190,6 +190,13 @@ def asof_cell(spark, d):
     return joins.asof_cell(table(spark, d, "events").select("event_id", "value"), "value", axis).select("event_id", "cell")
 
 
+@query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, least(99, cell) AS cell FROM lineitem l ASOF JOIN (SELECT range AS cell, CASE WHEN range = 0 THEN 0.0 ELSE pow(1.13, range) END::DOUBLE AS coord FROM range(101)) a ON l.l_extendedprice::DOUBLE >= a.coord")
+def asof_uneven(spark, d):
+    """Intervals that grow by a factor: most lie below all positions."""
+    axis = spark.range(101).select(F.col("id").alias("cell"), F.when(F.col("id") == 0, 0.0).otherwise(F.pow(F.lit(1.13), F.col("id"))).alias("coord"))
+    return joins.asof_cell(table(spark, d, "lineitem").select(*LINE_KEYS), "l_extendedprice", axis)
+
+
 _BOXES = """a AS (SELECT p_partkey AS a, p_partkey % 100 AS lx, p_partkey % 100 + p_size AS hx, p_partkey // 100 % 50 AS ly, p_partkey // 100 % 50 + 2 AS hy FROM part), b AS (SELECT s_suppkey AS b, s_suppkey % 40 * 3 AS lx, s_suppkey % 40 * 3 + 4 AS hx, s_suppkey // 4 AS ly, s_suppkey // 4 + 3 AS hy FROM supplier)"""
 
 

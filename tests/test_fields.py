@@ -153,3 +153,12 @@ def test_lines_step_as_bresenham(spark):
                     err, y = err + dx, y + (1 if y1 > y else -1)
     got = {(r["id"], r["pid"]) for r in raster.wire_fragments(pts, tris, cam).collect()}
     assert got == want
+
+
+def test_asof_takes_the_last_cell_before(spark):
+    axis = np.array([0.0, 1e-3, 2e-3, 5.0, 5.0, 1e6])
+    at = [-1.0, 0.0, 1e-3, 1.5e-3, 4.9, 5.0, 7.0, 1e6, 2e6, None] * 3
+    cells = spark.createDataFrame([(k, float(c)) for k, c in enumerate(axis)], "cell long, coord double")
+    pts = spark.createDataFrame(list(enumerate(at)), "id long, x double").repartition(4)
+    got = {r["id"]: r["cell"] for r in joins.asof_cell(pts, "x", cells).collect()}
+    assert got == {k: 0 if x is None else int(np.clip(np.searchsorted(axis, x, "right") - 1, 0, 4)) for k, x in enumerate(at)}
