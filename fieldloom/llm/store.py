@@ -44,6 +44,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_by(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """``keep`` with rows of equal key in one of as many buckets as a shuffle has partitions: grouping them by key needs no shuffle."""
+        table = f"fieldloom_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(n, key).saveAsTable(table)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the name alone: the files are this folder's, and the frame has found them
+        return out
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

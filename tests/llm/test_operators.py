@@ -191,6 +191,26 @@ def test_sentencepiece_query_codes_every_document(spark, docs, tmp_path):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_sentencepiece_shuffles_words_alone(spark, docs, odd, monkeypatch):
+    """Texts and their codes stay in their blocks, whose words go through many tasks and come back to their places."""
+    import re
+
+    import regex
+
+    monkeypatch.setattr(pieces, "PACKED", 500)
+    monkeypatch.setattr(pieces, "SHARE", 100, raising=False)
+    more = spark.createDataFrame([(8, " a  b\n\n c, \x01\x02 漢\U000f0000😀"), (8, "y" * 3000 + " \U000f0001" * 300), (9, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).unionByName(more).cache()
+    got = pieces.round_trip(rows, PIECES)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert sorted(sent) == ["block", "word", "word"], plan  # ids to their blocks; words to the lattice, those too long for it apart
+    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES)[0].collect()}
+    words = lambda t: regex.findall("\n|▁*[^▁\n]+|▁+", "▁" + t.replace(" ", "▁")) if t else []
+    want = Counter((r["doc_id"], tuple(i for w in words(r["text"] or "") for i in pieces.viterbi(w, table, 16, 3)), r["text"] or "") for r in rows.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in got.collect()) == want
+
+
 def test_viterbi(spark, docs):
     """The fold and its linear form against brute force over all segmentations, and against each other on all words."""
     table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES)[0].collect()}
