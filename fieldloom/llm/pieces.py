@@ -36,7 +36,7 @@ LONGEST = 256
 UNKNOWN = -1e10  # score of a character without a piece
 PACKED = 1 << 22  # words that a block holds
 SLICE = 1000  # documents that a row of a block holds
-SHARE = 300_000  # blocks' words that a task encodes: their lattice is sorted in memory
+SHARE = 200_000  # blocks' words that a task encodes: their lattice is sorted in memory
 _BASE = LONGEST + 1
 _WORD = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 _CLASS = rf"\n|{SPACE}*\p{{L}}+|{SPACE}*[^{SPACE}\n\p{{L}}]+|{SPACE}+"
@@ -224,7 +224,7 @@ def _pack(codes) -> bytes:
     """Numbers by their bytes' planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.asarray(codes).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(np.asarray(codes).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(b: bytes) -> np.ndarray:
