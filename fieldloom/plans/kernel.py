@@ -2,8 +2,9 @@
 
 ``@kernel`` reads a function's source once. Called with frames and scalars, it becomes column expressions: the top-level
 loop is the domain, locals are columns, ``if`` predicates assignments, short inner ``range`` loops are unrolled, other inner
-loops run inside ``aggregate`` (what they load is exploded, joined and collected before; a ``while`` loop that has not ended after
-``while_bound`` trips fails the query), loads at computed indices are joins, stores at computed
+loops run inside ``aggregate`` (what they load is exploded, joined and collected before; a ``while`` loop of linear steps on
+integers leaps over trips that repeat each other; one that has not ended after ``while_bound`` steps, a trip or a leap each, fails
+the query), loads at computed indices are joins, stores at computed
 indices are keyed aggregates, and ``@func`` helpers are inlined. Nothing runs per row in Python.
 
     @kernel
@@ -38,6 +39,7 @@ from fieldloom.sources.field import Field, unpack
 UNROLL = 64  # longest inner loop that is unrolled
 GATHERED = 8  # longest inner loop with loads that is unrolled
 WHILE = 1 << 16  # default bound of a while loop
+FAR = 1 << 62  # trips of a leap that no comparison limits
 TRIPS = 256  # trips between two checks of whether a row's while loop has ended
 _FUNCS: dict[str, Callable] = {}
 _ATOMICS = {"atomic_add": "add", "atomic_min": "min", "atomic_max": "max"}
@@ -597,7 +599,7 @@ class Compiler:
         """A loop over locals inside ``aggregate``: the accumulator is a struct of the locals it assigns and a done flag.
 
         ``steps`` holds the trips' numbers, or structs of these and what they load. With ``test``, each step takes ``TRIPS`` trips
-        unless the row is done, so a row that ends early costs few of them.
+        unless the row is done, so a row that ends early costs few of them, and a trip that repeats is taken as many times at once.
         """
         changed = [n.id for b in body for n in ast.walk(b) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)]
         names = [n for n in dict.fromkeys(changed) if n in self.env]
@@ -613,6 +615,7 @@ class Compiler:
             sub.loaded = {i: Value(F.lit(0).cast(spark_kind[kind]), kind) for i, (_, kind) in (loaded or {}).items()}
             sub.run(body)
             kinds = {n: "f" if "f" in (kinds[n], _num(sub.env[n]).kind) else "i" for n in names}
+        leaps = test is not None and "f" not in kinds.values() and _Repeated.takes(self, test, body, names)
         init = F.struct(*[_num(self.env[n]).c.cast(spark_kind[kinds[n]]).alias(n) for n in names], F.lit(False).alias("__done"))
 
         def merge(acc: Column, i: Column) -> Column:
@@ -624,6 +627,9 @@ class Compiler:
             if test is not None:
                 go = go & F.coalesce(_bool(sub.expr(test)), F.lit(False))
             stop = sub.run(body)
+            if leaps:
+                after = F.struct(*[_num(sub.env[n]).c.cast("bigint").alias(n) for n in names], F.lit(False).alias("__done"))
+                return F.when(acc["__done"], acc).when(go, _bound(after, lambda new: _Repeated.leap(self, test, body, names, acc, new))).otherwise(F.struct(*[acc[n].alias(n) for n in names], F.lit(True).alias("__done")))
             new = F.struct(*[F.when(go, _num(sub.env[n]).c.cast(spark_kind[kinds[n]])).otherwise(acc[n]).alias(n) for n in names], (acc["__done"] | ~go | stop).alias("__done"))
             return F.when(acc["__done"], acc).otherwise(new)
 
@@ -733,6 +739,159 @@ class _Inner(Compiler):
             super().stmt(s, here)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+class _Repeated:
+    """How many trips of a while loop repeat the present one, if its steps are sums and products of integers.
+
+    Each value is followed with what it changes by from trip to trip (None: nothing) if the loop's locals go on changing as in this
+    trip. While no comparison on the way changes its outcome and every local's change stays the same, all trips are this one, so
+    their changes are added at once. Where that is not certain, as in an overflow, values are NULL and the trip is taken alone.
+    """
+
+    def __init__(self, outer: Compiler, env: dict[str, tuple[Column, Column | None]]):
+        self.outer, self.env = outer, env
+        self.limits: list[Column] = []
+        self.lines: list[tuple[Column, Column]] = []  # what changes: it may not overflow on the way
+
+    @classmethod
+    def takes(cls, outer: Compiler, test: ast.AST, body: list[ast.stmt], names: list[str]) -> bool:
+        zero = F.lit(0).cast("bigint")
+        try:
+            cls(outer, {n: (zero, zero) for n in names}).trip(test, body)
+        except KernelError:
+            return False
+        return True
+
+    @classmethod
+    def leap(cls, outer: Compiler, test: ast.AST, body: list[ast.stmt], names: list[str], acc: Column, new: Column) -> Column:
+        """The locals after the trip from ``acc`` to ``new`` and all that repeat it."""
+
+        def taken(by: Column) -> Column:
+            one = cls(outer, {n: (acc[n], by[n]) for n in names})
+            one.trip(test, body)
+            same = [F.when(by[n] == (F.lit(0) if one.env[n][1] is None else one.env[n][1]), F.lit(FAR)).otherwise(F.lit(1)) for n in names]
+
+            def ends(times: Column) -> Column:
+                to = lambda c, d: F.try_add(c, F.try_multiply(d, times))
+                at = {n: to(acc[n], by[n]) for n in names}
+                sure = times > 1
+                for c in [*at.values(), *[to(*x) for x in one.lines]]:
+                    sure = sure & c.isNotNull()
+                leapt = F.struct(*[at[n].alias(n) for n in names], F.lit(False).alias("__done"))
+                return F.when(sure, leapt).otherwise(new)
+
+            return _bound(F.least(F.lit(FAR), *one.limits, *same), ends)
+
+        return _bound(F.struct(*[F.try_subtract(new[n], acc[n]).alias(n) for n in names]), taken)
+
+    def trip(self, test: ast.AST, body: list[ast.stmt]) -> None:
+        self.truth(test, None)
+        self.block(body, None)
+
+    def block(self, body: list[ast.stmt], pred: Column | None) -> None:
+        for s in body:
+            if isinstance(s, ast.Assign) and len(s.targets) == 1:
+                self.assign(s.targets[0], [self.line(e) for e in s.value.elts] if isinstance(s.value, ast.Tuple) else self.line(s.value), pred)
+            elif isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
+                self.assign(s.target, self.line(ast.BinOp(ast.Name(s.target.id, ast.Load()), s.op, s.value)), pred)
+            elif isinstance(s, ast.If):
+                cond = F.coalesce(self.truth(s.test, pred), F.lit(False))
+                self.block(s.body, cond if pred is None else pred & cond)
+                self.block(s.orelse, ~cond if pred is None else pred & ~cond)
+            elif not isinstance(s, ast.Pass):
+                raise KernelError("no linear step")
+
+    def assign(self, t: ast.AST, v, pred: Column | None) -> None:
+        if isinstance(t, ast.Tuple) and isinstance(v, list) and len(t.elts) == len(v):
+            for x, y in zip(t.elts, v, strict=True):
+                self.assign(x, y, pred)
+        elif isinstance(t, ast.Name) and isinstance(v, tuple):
+            old = self.env.get(t.id) or (self.line(t) if t.id in self.outer.env else None)
+            if pred is not None and old is not None:
+                by = None if v[1] is None and old[1] is None else F.when(pred, F.lit(0) if v[1] is None else v[1]).otherwise(F.lit(0) if old[1] is None else old[1])
+                v = (F.when(pred, v[0]).otherwise(old[0]), by)
+            self.env[t.id] = v
+        else:
+            raise KernelError("no linear step")
+
+    def line(self, n: ast.AST) -> tuple[Column, Column | None]:
+        """A value and what it changes by."""
+        if isinstance(n, ast.Name) and n.id in self.env:
+            return self.env[n.id]
+        if isinstance(n, (ast.Constant, ast.Name)):
+            v = self.outer.expr(n)
+            if not isinstance(v, Value) or v.kind != "i":
+                raise KernelError("no integer")
+            return v.c.cast("bigint"), None
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.USub, ast.UAdd)):
+            return self.sum(F.try_subtract if isinstance(n.op, ast.USub) else F.try_add, (F.lit(0).cast("bigint"), None), self.line(n.operand))
+        if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Add, ast.Sub)):
+            return self.sum(F.try_add if isinstance(n.op, ast.Add) else F.try_subtract, self.line(n.left), self.line(n.right))
+        if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mult):
+            (a, da), (b, db) = self.line(n.left), self.line(n.right)
+            by = None
+            if da is not None and db is not None:  # one factor stays, or it is no line
+                by = F.when(db == 0, F.try_multiply(da, b)).when(da == 0, F.try_multiply(a, db))
+            elif da is not None or db is not None:
+                by = F.try_multiply(da, b) if db is None else F.try_multiply(a, db)
+            return self.kept(F.try_multiply(a, b), by)
+        raise KernelError("no linear step")
+
+    def sum(self, f: Callable, x: tuple[Column, Column | None], y: tuple[Column, Column | None]) -> tuple[Column, Column | None]:
+        zero = F.lit(0).cast("bigint")
+        by = None if x[1] is None and y[1] is None else f(zero if x[1] is None else x[1], zero if y[1] is None else y[1])
+        return self.kept(f(x[0], y[0]), by)
+
+    def kept(self, c: Column, by: Column | None) -> tuple[Column, Column | None]:
+        if by is not None:
+            self.lines.append((c, by))
+        return c, by
+
+    def truth(self, n: ast.AST, pred: Column | None) -> Column:
+        """A condition; its comparisons limit how often the trip repeats, if ``pred`` holds."""
+        if isinstance(n, ast.BoolOp):
+            parts = [self.truth(v, pred) for v in n.values]
+            for p in parts[1:]:
+                parts[0] = parts[0] & p if isinstance(n.op, ast.And) else parts[0] | p
+            return parts[0]
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            return ~self.truth(n.operand, pred)
+        if isinstance(n, ast.Constant) and isinstance(n.value, bool):
+            return F.lit(n.value)
+        if not isinstance(n, ast.Compare):
+            raise KernelError("no comparison")
+        left, out = self.line(n.left), None
+        for op, r in zip(n.ops, n.comparators, strict=True):
+            right = self.line(r)
+            one = self.compared(op, left, right, pred)
+            out, left = one if out is None else out & one, right
+        return out
+
+    def compared(self, op: ast.cmpop, x: tuple[Column, Column | None], y: tuple[Column, Column | None], pred: Column | None) -> Column:
+        if not isinstance(op, (ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE)):
+            raise KernelError("no comparison")
+        a, b = (y, x) if isinstance(op, (ast.Gt, ast.LtE)) else (x, y)
+        gap, by = self.sum(F.try_subtract, a, b)
+        div = lambda p, q: F.call_function("div", p, q)
+        if by is not None:
+            if isinstance(op, (ast.Eq, ast.NotEq)):  # until the gap closes, or opens
+                closes = ((gap > 0) != (by > 0)) & (gap % by == 0)
+                trips = F.when(by == 0, F.lit(FAR)).when(gap == 0, F.lit(1)).when(closes, -F.greatest(div(gap, by), F.lit(-FAR))).otherwise(F.lit(FAR))
+            else:  # until the gap's sign changes
+                down = F.when(by <= 0, F.lit(FAR)).otherwise(F.least(div(F.bitwise_not(gap), by), F.lit(FAR - 1)) + 1)
+                up = F.when(by >= 0, F.lit(FAR)).otherwise(F.least(-F.greatest(div(gap, by), F.lit(1 - FAR)), F.lit(FAR - 1)) + 1)
+                trips = F.when(gap < 0, down).otherwise(up)
+            trips = F.when(gap.isNull() | by.isNull(), F.lit(1)).otherwise(trips)
+            self.limits.append(trips if pred is None else F.when(pred, trips).otherwise(F.lit(FAR)))
+        if isinstance(op, (ast.Eq, ast.NotEq)):
+            return a[0] == b[0] if isinstance(op, ast.Eq) else a[0] != b[0]
+        return a[0] < b[0] if isinstance(op, (ast.Lt, ast.Gt)) else a[0] >= b[0]
+
+
 class Kernel:
     """A compiled-on-call function; returns its stored fields by name."""
 
@@ -758,7 +917,7 @@ class Kernel:
 
 
 def kernel(f: Callable | None = None, *, while_bound: int = WHILE):
-    """Decorator of a kernel; ``while_bound`` is the most trips of a while loop."""
+    """Decorator of a kernel; ``while_bound`` is the most steps of a while loop, each a trip or a leap over trips that repeat."""
     if f is None:
         return lambda g: Kernel(g, while_bound)
     return Kernel(f, while_bound)

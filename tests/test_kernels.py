@@ -169,3 +169,81 @@ def test_helpers_return_on_every_path(spark):
 
 def test_local_arrays(spark):
     assert values(by_slots(fl.arange(spark, 3), None, 3)["out"]) == [300, 31, 5]
+
+
+@kernel
+def subtracted(x, y, out, trips, n):
+    for i in range(n):
+        u = x[i]
+        w = y[i]
+        c = 0
+        while u != w and w > 0:
+            if u > w:
+                u = u - w
+            else:
+                w -= u
+            c += 1
+        out[i] = u
+        trips[i] = c
+
+
+@kernel
+def tangled(x, out, n):
+    for i in range(n):
+        a = x[i]
+        b = 3
+        c = 0
+        k = 0
+        while k <= 400 and not a == 57:
+            if a < 100 or c >= 90:
+                a, b = a + 2 * b - 1, b
+                if b * 2 > c - 7:
+                    c += b
+            else:
+                a = a - b * c
+                b = -b + k
+                c = -1
+            k += 1
+        out[i] = a * 1000003 + b * 1009 + c * 31 + k
+
+
+@kernel
+def overflowing(x, out, n):
+    for i in range(n):
+        a = x[i]
+        k = 0
+        while a * 4 > 0 and k < 10:
+            a += 2305843009213693000
+            k += 1
+        out[i] = k
+
+
+def test_while_loops_leap_over_trips_that_repeat(spark):
+    x, y = [10**15 + 1, 900_000, 7, 600, 5], [3, 6, 7, 10**12, 0]
+    got = subtracted(fl.field_like(spark, np.array(x)), fl.field_like(spark, np.array(y)), None, None, 5)
+    trips = lambda u, w: 0 if w == 0 else u // w + trips(w, u % w)
+    assert values(got["out"]) == [1, 6, 7, 200, 5]
+    assert values(got["trips"]) == [trips(u, w) - 1 if w else 0 for u, w in zip(x, y, strict=True)]
+
+
+def test_leaps_equal_single_trips(spark):
+    x = list(range(-60, 180, 7)) + [57]
+    want = []
+    for a in x:
+        b, c, k = 3, 0, 0
+        while k <= 400 and a != 57:
+            if a < 100 or c >= 90:
+                a = a + 2 * b - 1
+                if b * 2 > c - 7:
+                    c += b
+            else:
+                a, b, c = a - b * c, -b + k, -1
+            k += 1
+        want.append(a * 1000003 + b * 1009 + c * 31 + k)
+    assert values(tangled(fl.field_like(spark, np.array(x)), None, len(x))["out"]) == want
+
+
+def test_leaps_keep_overflows(spark):
+    x = fl.field_like(spark, np.array([1, 2]))
+    with pytest.raises(Exception, match="OVERFLOW"):
+        overflowing(x, None, 2)["out"].collect()
