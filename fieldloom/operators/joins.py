@@ -59,6 +59,37 @@ def asof_cell(points: DataFrame, pos: str, axis: DataFrame, coord: str = "coord"
     return found.select("__row.*", at.alias(cell))
 
 
+def nearest(points: DataFrame, pos: str, sites: DataFrame, site: str, coord: str, cost: str, out: str = "nearest") -> DataFrame:
+    """The site of the least ``abs(pos - coord) + cost`` for each point, as a struct (total, site) in ``out``; NULL where the position is.
+
+    Of the sites before a point the one of the least cost - coord is best, of those after it the one of the least cost + coord. Sites
+    and points are sorted together by range and take the running best from both ends; ranges pass theirs on, one row each. Equal
+    positions are dealt to several ranges, and of sites at one place the cheapest stays, so no task meets more than its share.
+    Totals that differ by less than the rounding of ``coord`` count as equal.
+    """
+    at, kinds = F.col(coord).cast("double"), sites.schema
+    found = F.min(F.struct(F.col(cost).alias("cost"), F.col(site).alias("site"))).alias("__best")
+    cheapest = sites.where(F.col(coord).isNotNull() & F.col(cost).isNotNull() & F.col(site).isNotNull()).groupBy(at.alias("__p")).agg(found)
+    order = ["__p", "__kind", "__tie"]
+    marks = cheapest.select("__p", F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__tie"), "__best", F.lit(None).cast(points.schema).alias("__row"))
+    none = F.lit(None).cast(f"struct<cost: {kinds[cost].dataType.simpleString()}, site: {kinds[site].dataType.simpleString()}>")
+    rows = points.select(F.col(pos).cast("double").alias("__p"), F.lit(1).alias("__kind"), F.xxhash64(*points.columns).alias("__tie"), none.alias("__best"), F.struct("*").alias("__row"))
+    dealt = materialized(marks.unionByName(rows).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    is_mark = F.col("__kind") == 0
+    sides = {"__left": F.col("__best.cost") - F.col("__p"), "__right": F.col("__best.cost") + F.col("__p")}
+    near = {"__left": -F.col("__p"), "__right": F.col("__p")}  # of equal ones the nearer
+    held = dealt.withColumns({k: F.when(is_mark, F.struct(v.alias("by"), near[k].alias("near"), F.col("__p").alias("p"), F.col("__best.cost").alias("cost"), F.col("__best.site").alias("site"))) for k, v in sides.items()})
+    ends = held.groupBy("__part").agg(*[F.min(k).alias(k) for k in sides])
+    past = lambda *by: Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = ends.select("__part", F.min("__left").over(past("__part")).alias("__before"), F.min("__right").over(past(F.desc("__part"))).alias("__after"))
+    inside = lambda *by: Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    run = held.withColumns({"__left": F.min("__left").over(inside(*order)), "__right": F.min("__right").over(inside(*[F.desc(c) for c in order]))})
+    best = run.where(~is_mark).join(F.broadcast(beyond), "__part")  # a row a partition
+    total = lambda c: F.when(c.isNotNull(), F.struct((F.abs(F.col("__p") - c["p"]) + c["cost"]).alias("total"), c["site"].alias("site")))
+    best = best.withColumns({"__left": F.least("__left", "__before"), "__right": F.least("__right", "__after")})
+    return best.select("__row.*", F.when(F.col("__p").isNotNull(), F.least(total(F.col("__left")), total(F.col("__right")))).alias(out))
+
+
 def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, axes: list[str], size: int) -> DataFrame:
     """Pairs of boxes (``lo_x, hi_x`` inclusive for each axis) that overlap, with the intersection.
 

@@ -121,23 +121,13 @@ def argsort_morton(spark, d):
 
 @query("""SELECT p_partkey, arg_min(s_suppkey, abs(p_retailprice - s_acctbal) + s_suppkey / 1e9) AS s_suppkey FROM part, supplier GROUP BY 1""")
 def closest(spark, d):
-    """Nearest supplier by balance: suppliers sorted once, each part's candidates are its neighbours in that order."""
+    """Nearest supplier by balance, and of equal ones the first: suppliers and parts in one order, the best so far from both ends."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"))
-    width = 250.0
-    ends = s.agg(F.floor(F.min("y") / width).alias("a"), F.floor(F.max("y") / width).alias("b")).first()
-    cell = F.least(F.lit(ends["b"]), F.greatest(F.lit(ends["a"]), F.floor(F.col("x") / width)))
-    # each occupied cell knows its nearest occupied cells, so candidates are exact whatever the gaps
-    occupied = sorted(r[0] for r in s.select(F.floor(F.col("y") / width).alias("c")).distinct().collect())  # at most (max - min) / width
-    near = {}
-    for c in range(ends["a"], ends["b"] + 1):
-        left = [o for o in occupied if o <= c][-2:]
-        right = [o for o in occupied if o >= c][:2]
-        near[c] = sorted({*left, *right, *([c] if c in occupied else [])})
-    table_ = F.create_map(*[x for c, n in near.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in n]))])
-    tried = p.withColumn("cell", F.explode(table_[cell]))
-    both = tried.join(s.withColumn("cell", F.floor(F.col("y") / width)), "cell")
-    return both.groupBy("p_partkey").agg(F.min_by("s_suppkey", F.abs(F.col("x") - F.col("y")) + F.col("s_suppkey") / 1e9).alias("s_suppkey"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), (F.col("s_suppkey") / 1e9).alias("cost"))
+    if s.isEmpty():  # no pair
+        p = p.limit(0)
+    found = joins.nearest(p, "x", s, "s_suppkey", "y", "cost")
+    return found.groupBy("p_partkey").agg(F.min("nearest")["site"].alias("s_suppkey"))
 
 
 @query("""WITH b AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 1.0 + label AS m FROM embeddings), p AS (SELECT a.id, o.x - a.x AS dx, o.y - a.y AS dy, o.z - a.z AS dz, a.m * o.m AS mm FROM b a, b o),

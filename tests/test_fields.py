@@ -162,3 +162,34 @@ def test_asof_takes_the_last_cell_before(spark):
     pts = spark.createDataFrame(list(enumerate(at)), "id long, x double").repartition(4)
     got = {r["id"]: r["cell"] for r in joins.asof_cell(pts, "x", cells).collect()}
     assert got == {k: 0 if x is None else int(np.clip(np.searchsorted(axis, x, "right") - 1, 0, 4)) for k, x in enumerate(at)}
+
+
+def test_nearest_takes_the_least_sum(spark):
+    rng = np.random.default_rng(11)
+    coord = np.concatenate([rng.integers(-50, 50, 60) / 4, rng.normal(0, 1, 20), [500.0, -800.0]])
+    cost = np.concatenate([rng.uniform(0, 3, 60), np.zeros(20), [0.0, 450.0]])
+    at = [*map(float, rng.uniform(-900, 900, 100)), *map(float, coord[::5]), *[3.0] * 200, None]
+    sites = spark.createDataFrame([(k, float(c), float(w)) for k, (c, w) in enumerate(zip(coord, cost, strict=True))] + [(99, None, 0.0)], "site long, y double, w double")
+    pts = spark.createDataFrame(list(enumerate(at)), "id long, x double").repartition(3)
+    got = {r["id"]: r["nearest"] for r in joins.nearest(pts, "x", sites, "site", "y", "w").collect()}
+    assert len(got) == len(at)
+    for k, x in enumerate(at):
+        if x is None:
+            assert got[k] is None
+        else:
+            sums = np.abs(x - coord) + cost
+            assert got[k]["total"] == sums.min() and sums[got[k]["site"]] == sums.min()
+
+
+def test_closest_compares_few_pairs_and_keeps_parts_without_a_price(spark, tmp_path):
+    """As many suppliers in one cent as parts: no join of the two grows with both."""
+    from fieldloom.queries import QUERIES
+
+    n = 3000
+    parts = [(k, 900.0 + k % 7 / 100) for k in range(n)] + [(n, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, 900.0 + k % 2 / 100) for k in range(n)] + [(n, None)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["closest"](spark, str(tmp_path))
+    assert {r["p_partkey"]: r["s_suppkey"] for r in df.collect()} == {k: None if x is None else 0 if x == 900.0 else 1 for k, x in parts}
+    joined = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joined and all("__part" in line for line in joined)
