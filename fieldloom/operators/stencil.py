@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.operators.scan import BLOCK, block_of
 
@@ -116,19 +117,68 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
 
 
-def nbody_forces(bodies: DataFrame, softening: float = 0.01, size: int = 2048) -> DataFrame:
+def _pair_forces(softening: float, tile: int):
+    """A pair of blocks, as an Arrow table of bodies with their ``side``, to each body's force by the other block's (side 0 alone: by its own)."""
+
+    def meet(bodies):
+        import numpy as np
+        import pyarrow as pa
+
+        side = bodies["side"].to_numpy()
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        own = not bodies["other"][0].as_py()
+        if own:
+            rows[1] = rows[0]
+        every = np.stack([bodies[c].to_numpy() for c in ("x", "y", "z", "m")])
+        left, right = (every[:, r] for r in rows)
+        by_right, by_left = (np.zeros((3, v.shape[1])) for v in (left, right))
+        held = np.empty((5, min(tile, left.shape[1]) * min(8 * tile, right.shape[1])))
+        with np.errstate(all="ignore"):
+            for a in range(0, left.shape[1], tile):
+                p = left[:, a : a + tile]
+                for b in range(0, right.shape[1], 8 * tile):
+                    q = right[:, b : b + 8 * tile]
+                    *d, r2, s = (h[: p.shape[1] * q.shape[1]].reshape(p.shape[1], q.shape[1]) for h in held)
+                    for c in range(3):
+                        np.subtract(q[c], p[c, :, None], out=d[c])
+                        np.multiply(d[c], d[c], out=s if c else r2)
+                        if c:
+                            r2 += s
+                    r2 += softening
+                    np.sqrt(r2, out=s)
+                    r2 *= s
+                    if not softening:
+                        r2[r2 == 0] = np.inf
+                    np.divide(1.0, r2, out=r2)
+                    for c in range(3):
+                        np.multiply(d[c], r2, out=s)
+                        by_right[c, a : a + tile] += p[3] * np.einsum("ij,j->i", s, q[3])  # not @, whose threads would be beside the session's cores
+                        if not own:
+                            by_left[c, b : b + 8 * tile] -= q[3] * np.einsum("i,ij->j", p[3], s)
+        both = [(rows[0], by_right)] if own else [(rows[0], by_right), (rows[1], by_left)]
+        ids = pa.chunked_array([x for r, _ in both for x in bodies["id"].take(pa.array(r)).chunks], bodies["id"].type)
+        return pa.table({"id": ids, **{f"f{c}": pa.array(np.concatenate([f[k] for _, f in both])) for k, c in enumerate("xyz")}})
+
+    return meet
+
+
+def nbody_forces(bodies: DataFrame, softening: float = 0.01, size: int = 16384, tile: int = 64) -> DataFrame:
     """(id, x, y, z, m) to (id, fx, fy, fz) of all pairs, the whole sum of which is the operator.
 
-    Bodies are cut into blocks of about ``size`` by id, 8 at least; each pair of blocks meets in its own tasks, so nothing is
-    broadcast. A body meets itself with zero force.
+    Bodies are cut into blocks of about ``size``, 8 at least of more than some thousands; each two blocks meet once, in one group of rows, on Arrow columns and
+    in tiles, so nothing is broadcast and no pair is a row. What one body does to another is turned round for the other; a body
+    meets itself with zero force. One with a NULL acts on none and has NULL forces.
     """
-    blocks = max(8, -(-bodies.count() // size))
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = bodies.withColumn("bi", b).withColumn("bj", others)
-    right = bodies.select(*[F.col(c).alias(f"o_{c}") for c in ("id", "x", "y", "z", "m")]).withColumn("bj", F.pmod(F.xxhash64("o_id"), F.lit(blocks)).cast("int")).withColumn("bi", others)
-    both = left.join(right, ["bi", "bj"])
-    d = {c: F.col(f"o_{c}") - F.col(c) for c in "xyz"}
-    r2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] + softening
-    f = F.col("m") * F.col("o_m") / (r2 * F.sqrt(r2))
-    return both.groupBy("id").agg(*[F.sum(f * d[c]).alias(f"f{c}") for c in "xyz"])
+    cols = ["x", "y", "z", "m"]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    b = bodies.select("id", *[F.col(c).cast("double").alias(c) for c in cols])
+    n = b.count()
+    blocks = max(1, min(8, -(-n // 1024)), -(-n // size))
+    own = F.pmod(F.xxhash64("id", *cols), F.lit(blocks)).cast("int")
+    dealt = b.where(whole).withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", *cols, F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), (F.col("own") != F.col("to")).alias("other"))
+    dealt = dealt.repartition(min(blocks * (blocks + 1), 2000), "bi", "bj")  # twice the groups: few of them share a task
+    kinds = T.StructType([b.schema["id"], *[T.StructField(f"f{c}", T.DoubleType()) for c in "xyz"]])
+    met = dealt.groupBy("bi", "bj").applyInArrow(_pair_forces(softening, tile), kinds)
+    none = b.where(~whole).select("id", *[F.lit(None).cast("double").alias(f"f{c}") for c in "xyz"])
+    return met.unionByName(none).groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"])

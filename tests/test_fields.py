@@ -193,3 +193,29 @@ def test_closest_compares_few_pairs_and_keeps_parts_without_a_price(spark, tmp_p
     assert {r["p_partkey"]: r["s_suppkey"] for r in df.collect()} == {k: None if x is None else 0 if x == 900.0 else 1 for k, x in parts}
     joined = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert joined and all("__part" in line for line in joined)
+
+
+def test_forces_of_all_pairs_meet_in_blocks_without_a_row_a_pair(spark):
+    from fieldloom.operators import stencil
+
+    rng = np.random.default_rng(7)
+    n = 150
+    at, m = rng.normal(0, 1, (n, 3)), rng.uniform(1, 9, n)
+    at[9] = at[4]  # a copy, elsewhere
+    rows = [(k % 140, *map(float, at[k]), float(m[k])) for k in range(n)]  # ten ids repeat
+    rows += [(500, None, 0.0, 0.0, 1.0), (501, 0.0, 0.0, 0.0, None), (3, 0.0, 0.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, m double").repartition(3)
+    want = np.zeros((n, 3))
+    for k in range(n):
+        d = at - at[k]
+        want[k] = (m[k] * m / ((d * d).sum(1) + 0.01) ** 1.5) @ d
+    for size, tile in ((16384, 64), (7, 2), (40, 3)):
+        out = stencil.nbody_forces(df, size=size, tile=tile)
+        got = {r["id"]: (r["fx"], r["fy"], r["fz"]) for r in out.collect()}
+        assert set(got) == {*range(140), 500, 501} and got[500] == got[501] == (None, None, None)
+        for k in range(140):
+            assert got[k] == pytest.approx(want[k] + (want[k + 140] if k < 10 else 0), rel=1e-9, abs=1e-9)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert stencil.nbody_forces(df.limit(0)).count() == 0
+    one = stencil.nbody_forces(df.where("id = 20"), softening=0.0).first()
+    assert (one["fx"], one["fy"], one["fz"]) == (0.0, 0.0, 0.0)
